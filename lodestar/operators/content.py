@@ -64,10 +64,12 @@ def to_dense(vecs: DataFrame, key: str, dim: int) -> DataFrame:
 
 
 def content_recommend(user_vec: DataFrame, item_vec: DataFrame, owned: DataFrame | None, n: int = 10,
-                      dim: int = VOCAB_SIZE) -> DataFrame:
+                      dim: int | None = None) -> DataFrame:
     """M3: cosine(player, item) over items the player does not own, top
     ``n`` (score desc, item asc); only positive scores. Item vectors are
-    L2-normalised by M1."""
+    L2-normalised by M1. ``dim`` defaults to the vocabulary actually used."""
+    if dim is None:
+        dim = int(item_vec.agg(F.max("idx").alias("m")).first()["m"] or 0) + 1
     users = to_dense(user_vec, "player_id", dim)
     items = to_dense(item_vec, "game_id", dim)
     own = owned.select("player_id", "game_id") if owned is not None else None
@@ -83,7 +85,7 @@ def popular_items(sessions: DataFrame, n: int = 10) -> list[tuple[int, int]]:
 
 
 def cold_start(players: DataFrame, sessions: DataFrame, item_vec: DataFrame, as_of: str, days: int = 14,
-               n: int = 10, dim: int = VOCAB_SIZE) -> DataFrame:
+               n: int = 10, dim: int | None = None) -> DataFrame:
     """M4: profile from the last ``days`` only (F3 -> M2 -> M3, weight =
     sessions per game); players with nothing recent get the popularity list
     (top games by distinct players). Output (player_id, game_id, score, rank,

@@ -8,8 +8,9 @@ numpy (``mapInPandas``), masks owned items, and emits only the top N per
 player - like ALS' blocked recommendForAll.
 
 The item matrix is broadcast only behind a size check
-(``MAX_ITEM_MATRIX_BYTES``); beyond it the exact sparse path is used: an
-equi-join on the vector dimension and a group-limited top N.
+(``MAX_ITEM_MATRIX_BYTES``); a larger catalogue is processed in item blocks
+that each fit the bound, and the per-block top N lists are merged with a
+group-limited top N (exact).
 
 Scores are quantised to ``SCORE_DIGITS`` decimals before ranking so float
 summation order cannot reorder ties; ties go to the smaller item id.
@@ -27,45 +28,70 @@ from lodestar.operators.ranking import top_n
 
 SCORE_DIGITS = 9
 MAX_ITEM_MATRIX_BYTES = 256 * 1024 * 1024
-USER_BATCH = 512
+USER_BATCH = 1024
+BLOCK_BYTES = 64 * 1024 * 1024
 
 OUT_SCHEMA = "player_id long, game_id long, score double, rank int"
 
 
-def _topn_batches(item_ids: np.ndarray, item_mat: np.ndarray, n: int, cosine: bool):
+def _topn_rows(item_ids: np.ndarray, item_mat: np.ndarray, u: np.ndarray, owned, n: int):
+    """(row, item index, score, rank) of the top ``n`` per row of ``u``;
+    owned items and non-positive scores never qualify."""
+    s = np.round(u @ item_mat.T, SCORE_DIGITS)
+    lens = np.fromiter((0 if o is None else len(o) for o in owned), dtype=np.int64, count=len(owned))
+    if lens.sum():
+        flat = np.concatenate([np.asarray(o, dtype=np.int64) for o in owned if o is not None and len(o)])
+        rows = np.repeat(np.arange(len(owned)), lens)
+        cols = np.minimum(np.searchsorted(item_ids, flat), len(item_ids) - 1)
+        hit = item_ids[cols] == flat
+        s[rows[hit], cols[hit]] = -np.inf
+    s[~(s > 0)] = -np.inf
+    m = s.shape[1]
+    if m > n:
+        kth = np.partition(s, m - n, axis=1)[:, m - n]
+        keep = (s >= kth[:, None]) & np.isfinite(s)
+    else:
+        keep = np.isfinite(s)
+    r, c = np.nonzero(keep)
+    if r.size == 0:
+        return r, c, np.zeros(0), r
+    sc = s[r, c]
+    order = np.lexsort((c, -sc, r))  # row, then score desc, then item asc
+    r, c, sc = r[order], c[order], sc[order]
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    rank = np.arange(r.size) - np.repeat(starts, np.diff(np.r_[starts, r.size]))
+    sel = rank < n
+    return r[sel], c[sel], sc[sel], rank[sel] + 1
+
+
+def _topn_batches(ids_bc, mat_bc, n: int, cosine: bool):
     def run(batches):
+        item_ids, item_mat = ids_bc.value, mat_bc.value
+        # keep one score block near BLOCK_BYTES whatever the catalogue size
+        step = max(1, min(USER_BATCH, BLOCK_BYTES // max(1, 8 * len(item_ids))))
         for pdf in batches:
-            if pdf.empty:
-                continue
-            for start in range(0, len(pdf), USER_BATCH):
-                part = pdf.iloc[start:start + USER_BATCH]
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start:start + step]
                 u = np.stack(part["vec"].to_numpy()).astype(np.float64)
                 if cosine:
                     norms = np.linalg.norm(u, axis=1, keepdims=True)
                     u = np.divide(u, norms, out=np.zeros_like(u), where=norms > 0)
-                s = np.round(u @ item_mat.T, SCORE_DIGITS)
-                owned = part["owned"].to_numpy()
-                rows = []
-                for r in range(len(part)):
-                    sc = s[r]
-                    if owned[r] is not None and len(owned[r]):
-                        sc = np.where(np.isin(item_ids, np.asarray(owned[r], dtype=np.int64)), -np.inf, sc)
-                    cand = np.flatnonzero(sc > 0)
-                    if cand.size == 0:
-                        continue
-                    if cand.size > n:
-                        kth = np.partition(sc[cand], cand.size - n)[cand.size - n]
-                        cand = cand[sc[cand] >= kth]
-                    order = np.lexsort((item_ids[cand], -sc[cand]))[:n]
-                    pick = cand[order]
-                    pid = int(part["player_id"].iloc[r])
-                    rows.extend((pid, int(item_ids[i]), float(sc[i]), k + 1) for k, i in enumerate(pick))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["player_id", "game_id", "score", "rank"])
+                r, c, sc, rank = _topn_rows(item_ids, item_mat, u, part["owned"].to_numpy(), n)
+                if r.size:
+                    yield pd.DataFrame({
+                        "player_id": part["player_id"].to_numpy(dtype=np.int64)[r],
+                        "game_id": item_ids[c], "score": sc, "rank": rank.astype(np.int32)})
 
     return run
 
 
+def _item_block(items: DataFrame, dim: int):
+    local = items.orderBy("game_id").toPandas()  # bounded by the caller's size check
+    ids = local["game_id"].to_numpy(dtype=np.int64)
+    mat = np.stack(local["vec"].to_numpy()).astype(np.float64) if len(local) else np.zeros((0, dim))
+    return ids, mat
+
+
 def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n: int = 10,
                 cosine: bool = False, max_bytes: int = MAX_ITEM_MATRIX_BYTES) -> DataFrame:
     """Top ``n`` items per player by (quantised) dot product.
@@ -73,41 +99,36 @@ def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n:
     users: (player_id, vec ARRAY<DOUBLE>); items: (game_id, vec ARRAY<DOUBLE>),
     all vectors of one length; owned: (player_id, game_id) pairs to exclude.
     Item vectors are used as given (normalise them for cosine); with
-    ``cosine`` the player vectors are L2-normalised."""
+    ``cosine`` the player vectors are L2-normalised.
+
+    The item matrix is broadcast only up to ``max_bytes``. A larger catalogue
+    is cut into hash blocks that each fit the bound; every block yields an
+    exact per-block top ``n``, and the union is reduced to the overall top
+    ``n`` with a group-limited window: still exact, never a players x items
+    relation."""
+    from lodestar.session import cut_lineage
+
     spark = users.sparkSession
-    dim_row = items.select(F.size("vec").alias("d")).first()
-    if dim_row is None:
+    stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if not stats["n"]:
         return spark.createDataFrame([], OUT_SCHEMA)
-    dim = int(dim_row["d"])
-    n_items = items.count()
-    if n_items * dim * 8 > max_bytes:
-        return sparse_top_n(users, items, owned, n, cosine)
-    local = items.orderBy("game_id").toPandas()  # bounded by the check above
-    item_ids = local["game_id"].to_numpy(dtype=np.int64)
-    item_mat = np.stack(local["vec"].to_numpy()).astype(np.float64) if n_items else np.zeros((0, dim))
+    n_items, dim = int(stats["n"]), int(stats["d"])
+    blocks = max(1, -(-(n_items * dim * 8) // max(1, max_bytes)))
     if owned is not None:
         lists = owned.groupBy("player_id").agg(F.array_sort(F.collect_set("game_id")).alias("owned"))
         u = users.join(lists, "player_id", "left")
     else:
         u = users.withColumn("owned", F.lit(None).cast("array<long>"))
     u = u.select(F.col("player_id").cast("long"), F.col("vec").cast("array<double>"), "owned")
-    fn = _topn_batches(item_ids, item_mat, n, cosine)
-    return u.mapInPandas(fn, OUT_SCHEMA)
-
-
-def sparse_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n: int = 10,
-                 cosine: bool = False) -> DataFrame:
-    """Exact fallback for item sets too large to broadcast: explode vectors
-    to (dimension, value), equi-join on the dimension, sum per pair, then a
-    group-limited top ``n``."""
-    ue = users.select("player_id", F.posexplode("vec").alias("dim", "u")).where(F.col("u") != 0)
-    if cosine:
-        norm = users.select("player_id", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("_n"))
-        ue = ue.join(norm, "player_id").withColumn("u", F.col("u") / F.col("_n")).drop("_n")
-    ie = items.select("game_id", F.posexplode("vec").alias("dim", "x")).where(F.col("x") != 0)
-    s = ue.join(ie, "dim").groupBy("player_id", "game_id").agg(
-        F.round(F.sum(F.col("u") * F.col("x")), SCORE_DIGITS).alias("score"))
-    s = s.where(F.col("score") > 0)
-    if owned is not None:
-        s = s.join(owned.select("player_id", "game_id"), ["player_id", "game_id"], "left_anti")
-    return top_n(s, n).withColumn("rank", F.col("rank").cast("int"))
+    sc = spark.sparkContext
+    if blocks == 1:
+        ids, mat = _item_block(items, dim)
+        return u.mapInPandas(_topn_batches(sc.broadcast(ids), sc.broadcast(mat), n, cosine), OUT_SCHEMA)
+    u = cut_lineage(u)  # read once per block
+    keyed = items.withColumn("_blk", F.pmod(F.xxhash64("game_id"), F.lit(blocks)))
+    parts = None
+    for b in range(blocks):
+        ids, mat = _item_block(keyed.where(F.col("_blk") == b).drop("_blk"), dim)
+        out = u.mapInPandas(_topn_batches(sc.broadcast(ids), sc.broadcast(mat), n, cosine), OUT_SCHEMA)
+        parts = out if parts is None else parts.unionByName(out)
+    return top_n(parts.drop("rank"), n).withColumn("rank", F.col("rank").cast("int"))

@@ -138,19 +138,19 @@ def apply_history_defaults(history: DataFrame, raw_col: str | None = None) -> Da
             F.coalesce("game_type", F.lit("singleplayer")).alias("game_type"),
             F.lit(False).alias("poison"),
         )
-    r = F.col(raw_col)
-    keys = F.json_object_keys(r)
+    # one parse per document: a JSON object as map<string,string> keeps a key
+    # whose value is null (map_contains_key is true, the value NULL)
+    m = F.from_json(F.col(raw_col), "map<string,string>")
 
     def field(name: str, default: Column) -> Column:
-        return F.when(~F.array_contains(keys, name), default).otherwise(F.get_json_object(r, f"$.{name}"))
+        return F.when(~F.map_contains_key(m, name), default).otherwise(m[name])
 
-    dur_present = F.array_contains(keys, "duration")
     return history.select(
         *[c for c in history.columns if c != raw_col],
         field("genre", F.lit("unknown")).alias("genre"),
         field("duration", F.lit("0")).cast("double").alias("duration"),
         field("game_type", F.lit("singleplayer")).alias("game_type"),
-        (dur_present & F.get_json_object(r, "$.duration").isNull()).alias("poison"),
+        (F.map_contains_key(m, "duration") & m["duration"].isNull()).alias("poison"),
     )
 
 

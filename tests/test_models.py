@@ -35,8 +35,8 @@ def test_model_comparison(spark):
         assert 0 <= r["precision_at_k"] <= 1 and 0 <= r["hit_rate"] <= 1 and 0 <= r["ndcg"] <= 1
 
 
-def test_sparse_fallback_equals_dense(spark):
-    """The exact sparse path (used beyond the broadcast bound) gives the same top-N."""
+def test_blocked_scoring_equals_single_block(spark):
+    """Item blocks (used beyond the broadcast bound) give the same exact top-N."""
     from lodestar.operators import content as C
     from lodestar.operators.scoring import dense_top_n
 
@@ -46,7 +46,7 @@ def test_sparse_fallback_equals_dense(spark):
     items = C.to_dense(iv, "game_id", C.VOCAB_SIZE)
     owned = inter.select("player_id", "game_id")
     dense = dense_top_n(users, items, owned, n=5, cosine=True)
-    sparse = dense_top_n(users, items, owned, n=5, cosine=True, max_bytes=0)
+    sparse = dense_top_n(users, items, owned, n=5, cosine=True, max_bytes=40_000)
     a = sorted(tuple(r) for r in dense.select("player_id", "game_id", "rank").collect())
     b = sorted(tuple(r) for r in sparse.select("player_id", "game_id", "rank").collect())
     assert a == b and len(a) > 0
