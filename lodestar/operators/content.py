@@ -73,7 +73,7 @@ def content_recommend(user_vec: DataFrame, item_vec: DataFrame, owned: DataFrame
     users = to_dense(user_vec, "player_id", dim)
     items = to_dense(item_vec, "game_id", dim)
     own = owned.select("player_id", "game_id") if owned is not None else None
-    return dense_top_n(users, items, own, n=n, cosine=True)
+    return dense_top_n(users, items, own, n=n, cosine=True, dim=dim)
 
 
 def popular_items(sessions: DataFrame, n: int = 10) -> list[tuple[int, int]]:

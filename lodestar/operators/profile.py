@@ -7,11 +7,12 @@ expressions; the two aggregations share the player_id partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalar import (
     FALLBACK_TITLES,
+    KNOWN_GAME_TYPES,
     compact,
     genre_title,
     preferred_type,
@@ -19,8 +20,6 @@ from lodestar.functions.scalar import (
     skill_title,
     type_title,
 )
-from lodestar.operators.aggregates import genre_counts, play_totals
-from lodestar.operators.ranking import top_genres
 from lodestar.operators.validate import admit, require_truthy_id, upsert_players
 
 PROFILE_COLUMNS = ["player_id", "total_play_time", "favorite_genres", "skill_level", "preferred_game_types"]
@@ -35,10 +34,27 @@ def build_profiles(players: DataFrame, history: DataFrame, raw_col: str | None =
     singleplayer); a player whose history has an explicit NULL duration gets
     no profile. ``duration_unit`` scales durations before the skill rule."""
     ps = require_truthy_id(players, "player_id", raw_col=raw_col).select("player_id").distinct()
-    totals = play_totals(history)
-    tops = top_genres(genre_counts(history))
-    j = ps.join(totals, "player_id", "left").join(tops, "player_id", "left")
-    if "poison" in totals.columns:
+    # History is read and shuffled once: partial sums per (player, genre)
+    # carry everything the profile needs. One player-partitioned window then
+    # ranks the genres (count desc, first appearance asc) and spreads the
+    # per-player sums; its buffer holds one row per genre of a player, never
+    # the player's plays. The final groupBy reuses that partitioning.
+    has_poison = "poison" in history.columns
+    pre = history.groupBy("player_id", "genre").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_seen"), F.sum("duration").alias("dur"),
+        *[F.count_if(F.col("game_type") == F.lit(t)).alias(f"c_{t}") for t in KNOWN_GAME_TYPES],
+        (F.bool_or("poison") if has_poison else F.lit(False)).alias("poison"))
+    by_player = Window.partitionBy("player_id")
+    ranked = pre.withColumn("rk", F.row_number().over(by_player.orderBy(F.col("n").desc(), F.col("first_seen"))))
+    per = ranked.groupBy("player_id").agg(
+        F.sum("dur").alias("total_play_time"),
+        *[F.sum(f"c_{t}").alias(f"n_{t}") for t in KNOWN_GAME_TYPES],
+        F.bool_or("poison").alias("poison"),
+        F.array_sort(F.collect_list(F.when(F.col("rk") <= 3, F.struct("rk", "genre", "n")))).alias("_top"),
+    ).withColumn("favorite_genres", F.transform(
+        "_top", lambda x: F.struct(x["genre"].alias("genre"), x["n"].alias("n"))))
+    j = ps.join(per, "player_id", "left")
+    if has_poison:
         j = j.where(~F.coalesce(F.col("poison"), F.lit(False)))
     total = F.coalesce(F.col("total_play_time"), F.lit(0.0)) * F.lit(duration_unit)
     zero = F.lit(0).cast("long")

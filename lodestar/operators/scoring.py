@@ -26,6 +26,15 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.ranking import top_n
 
+try:  # ship this module's task code by value: executors need no installed package
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 SCORE_DIGITS = 9
 MAX_ITEM_MATRIX_BYTES = 256 * 1024 * 1024
 USER_BATCH = 1024
@@ -85,35 +94,38 @@ def _topn_batches(ids_bc, mat_bc, n: int, cosine: bool):
     return run
 
 
-def _item_block(items: DataFrame, dim: int):
-    local = items.orderBy("game_id").toPandas()  # bounded by the caller's size check
+def _as_block(local: pd.DataFrame, dim: int):
+    local = local.sort_values("game_id", kind="stable")
     ids = local["game_id"].to_numpy(dtype=np.int64)
     mat = np.stack(local["vec"].to_numpy()).astype(np.float64) if len(local) else np.zeros((0, dim))
     return ids, mat
 
 
 def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n: int = 10,
-                cosine: bool = False, max_bytes: int = MAX_ITEM_MATRIX_BYTES) -> DataFrame:
+                cosine: bool = False, max_bytes: int = MAX_ITEM_MATRIX_BYTES, dim: int | None = None) -> DataFrame:
     """Top ``n`` items per player by (quantised) dot product.
 
     users: (player_id, vec ARRAY<DOUBLE>); items: (game_id, vec ARRAY<DOUBLE>),
-    all vectors of one length; owned: (player_id, game_id) pairs to exclude.
-    Item vectors are used as given (normalise them for cosine); with
+    all vectors of length ``dim``; owned: (player_id, game_id) pairs to
+    exclude. Item vectors are used as given (normalise them for cosine); with
     ``cosine`` the player vectors are L2-normalised.
 
-    The item matrix is broadcast only up to ``max_bytes``. A larger catalogue
-    is cut into hash blocks that each fit the bound; every block yields an
-    exact per-block top ``n``, and the union is reduced to the overall top
-    ``n`` with a group-limited window: still exact, never a players x items
-    relation."""
+    The item matrix is broadcast only up to ``max_bytes``: at most
+    ``max_bytes / (8 dim)`` rows are ever fetched to the driver (one job). A
+    larger catalogue is cut into hash blocks that each fit the bound; every
+    block yields an exact per-block top ``n``, and the union is reduced to
+    the overall top ``n`` with a group-limited window: still exact, never a
+    players x items relation."""
     from lodestar.session import cut_lineage
 
     spark = users.sparkSession
-    stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if not stats["n"]:
-        return spark.createDataFrame([], OUT_SCHEMA)
-    n_items, dim = int(stats["n"]), int(stats["d"])
-    blocks = max(1, -(-(n_items * dim * 8) // max(1, max_bytes)))
+    if dim is None:
+        first = items.select(F.size("vec").alias("d")).first()
+        if first is None:
+            return spark.createDataFrame([], OUT_SCHEMA)
+        dim = int(first["d"])
+    cap = max(1, max_bytes // (8 * max(dim, 1)))
+    local = items.select("game_id", "vec").limit(cap + 1).toPandas()  # bounded by cap rows
     if owned is not None:
         lists = owned.groupBy("player_id").agg(F.array_sort(F.collect_set("game_id")).alias("owned"))
         u = users.join(lists, "player_id", "left")
@@ -121,14 +133,21 @@ def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n:
         u = users.withColumn("owned", F.lit(None).cast("array<long>"))
     u = u.select(F.col("player_id").cast("long"), F.col("vec").cast("array<double>"), "owned")
     sc = spark.sparkContext
-    if blocks == 1:
-        ids, mat = _item_block(items, dim)
+    if len(local) <= cap:
+        if local.empty:
+            return spark.createDataFrame([], OUT_SCHEMA)
+        ids, mat = _as_block(local, dim)
         return u.mapInPandas(_topn_batches(sc.broadcast(ids), sc.broadcast(mat), n, cosine), OUT_SCHEMA)
+    n_items = items.count()
+    blocks = -(-n_items // cap) + 1  # hash blocks: leave room for uneven sizes
     u = cut_lineage(u)  # read once per block
-    keyed = items.withColumn("_blk", F.pmod(F.xxhash64("game_id"), F.lit(blocks)))
+    keyed = cut_lineage(items.select("game_id", "vec").withColumn("_blk", F.pmod(F.xxhash64("game_id"),
+                                                                                F.lit(blocks))))
     parts = None
     for b in range(blocks):
-        ids, mat = _item_block(keyed.where(F.col("_blk") == b).drop("_blk"), dim)
+        ids, mat = _as_block(keyed.where(F.col("_blk") == b).drop("_blk").toPandas(), dim)
+        if not len(ids):
+            continue
         out = u.mapInPandas(_topn_batches(sc.broadcast(ids), sc.broadcast(mat), n, cosine), OUT_SCHEMA)
         parts = out if parts is None else parts.unionByName(out)
     return top_n(parts.drop("rank"), n).withColumn("rank", F.col("rank").cast("int"))

@@ -213,7 +213,7 @@ def _content_model(spark, d, train, n=10):
 def _popularity_model(spark, d, train, n=10):
     pop = train.groupBy("game_id").agg(F.array(F.count_distinct("player_id").cast("double")).alias("vec"))
     users = train.select("player_id").distinct().withColumn("vec", F.array(F.lit(1.0)))
-    return dense_top_n(users, pop, train.select("player_id", "game_id"), n=n)
+    return dense_top_n(users, pop, train.select("player_id", "game_id"), n=n, dim=1)
 
 
 def _rounded_metrics(df):
@@ -242,7 +242,7 @@ def q_eval_popularity(spark, d):
 
 
 # ----------------------------------------------------- M5 - M8 (models)
-ALS_RANK, ALS_REG, ALS_ITER = 64, 0.1, 10
+ALS_RANK, ALS_REG, ALS_ITER = 64, 0.1, 5
 
 
 @query("als_recommendations")
