@@ -4,7 +4,7 @@ task on the wire."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalar import (
@@ -110,28 +110,101 @@ def type_counts(history: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+def _splits_agg(buckets: int):
+    fr = [i / buckets for i in range(1, buckets)]
+    return F.percentile_approx("value", F.array(*[F.lit(x) for x in fr]), 10 * buckets).alias("splits")
+
+
+def exact_quantiles(long: DataFrame, qs: list[float], buckets: int = 128, stats: list | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (as ``percentile``) of
+    ``value`` per ``column`` in a long (column, value) DataFrame, without
+    holding a column in one task.
+
+    1. per column: n and ``buckets - 1`` approximate split points (a
+       bounded sketch);
+    2. distinct (column, value) with multiplicities, bucketed by the splits,
+       and per-bucket counts (columns x buckets rows, collected);
+    3. only the buckets holding a wanted rank are ranked, each in its own
+       window partition, so one task sees about distinct / buckets values.
+    ``stats`` may carry rows (column, n, splits) computed by the caller in
+    the same pass as other statistics. Returns (column, q, value)."""
+    from lodestar.session import cut_lineage
+
+    spark = long.sparkSession
+    vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    st = stats if stats is not None else vals.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), _splits_agg(buckets)).collect()
+    st = [r for r in st if r["n"]]
+    if not st:
+        return spark.createDataFrame([], "column string, q double, value double")
+    splits = {r["column"]: sorted(set(r["splits"])) for r in st}
+    n_of = {r["column"]: int(r["n"]) for r in st}
+    smap = F.create_map(*[x for c, sp in splits.items() for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in sp]))])
+    dv = vals.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    dv = dv.withColumn("b", F.size(F.filter(F.element_at(smap, F.col("column")), lambda x: x < F.col("value"))))
+    dv = cut_lineage(dv)  # distinct values with multiplicity: scanned and shuffled once, read twice
+    counts = {(r["column"], r["b"]): int(r["bn"]) for r in dv.groupBy("column", "b").agg(F.sum("cnt").alias("bn")).collect()}
+    # ranks wanted per column (0-based, rank lo and hi of each q)
+    want, offsets = [], {}
+    for c, n in n_of.items():
+        acc = 0
+        for b in range(len(splits[c]) + 1):
+            offsets[(c, b)] = acc
+            acc += counts.get((c, b), 0)
+        for q in qs:
+            pos = q * (n - 1)
+            for r in {int(pos // 1), int(-(-pos // 1))}:
+                b = max(k for k in range(len(splits[c]) + 1) if offsets[(c, k)] <= r and counts.get((c, k), 0))
+                want.append((c, b, r, offsets[(c, b)]))
+    wanted = spark.createDataFrame(want, "column string, b int, r long, off long")
+    cand = dv.join(F.broadcast(wanted.select("column", "b", "off").distinct()), ["column", "b"])
+    w = Window.partitionBy("column", "b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cand.withColumn("hi_r", F.col("off") + F.sum("cnt").over(w)).withColumn("lo_r", F.col("hi_r") - F.col("cnt"))
+    at = ranked.join(F.broadcast(wanted.select("column", "b", "r")), ["column", "b"]).where(
+        (F.col("r") >= F.col("lo_r")) & (F.col("r") < F.col("hi_r"))).select("column", "r", "value")
+    qrows = []
+    for c, n in n_of.items():
+        for q in qs:
+            pos = q * (n - 1)
+            qrows.append((c, float(q), int(pos // 1), int(-(-pos // 1)), float(pos - pos // 1)))
+    qdf = spark.createDataFrame(qrows, "column string, q double, lo long, hi long, frac double")
+    lo = at.select("column", F.col("r").alias("lo"), F.col("value").alias("v_lo"))
+    hi = at.select("column", F.col("r").alias("hi"), F.col("value").alias("v_hi"))
+    out = qdf.join(lo, ["column", "lo"]).join(hi, ["column", "hi"])
+    return out.select("column", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+
+
+def describe(df: DataFrame, cols: list[str], buckets: int = 128) -> DataFrame:
     """Long-form statistics, one row per column: count, nulls, mean,
-    population-free sample stddev, min, max and exact quartiles.
+    sample stddev, min, max and exact quartiles (linear interpolation).
 
-    One pass: the columns are unpivoted to (column, value) and aggregated by
-    column; ``percentile`` keeps a value -> count map per group, so its
-    buffer is bounded by the distinct values of a column, not its rows."""
+    The columns are unpivoted to (column, value); moments are one
+    aggregation by column, quartiles come from ``exact_quantiles`` (no
+    per-column buffer of all values)."""
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
                             for c in cols])).alias("kv")
     ).select("kv.column", "kv.value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("column").agg(
-        F.count("value").alias("n"),
+    spark = df.sparkSession
+    ok = F.col("value").isNotNull() & ~F.isnan("value")
+    rows = long.groupBy("column").agg(
+        F.count("value").alias("n_all"),
         F.count_if(F.col("value").isNull()).alias("nulls"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("stddev"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        q.alias("_q"),
-    ).select("column", "n", "nulls", "mean", "stddev", "min", "max",
-             F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"))
+        F.count_if(ok).alias("n"),
+        F.percentile_approx(F.when(ok, F.col("value")), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]),
+                            10 * buckets).alias("splits"),
+    ).collect()  # one row per column
+    moments = spark.createDataFrame(
+        [(r["column"], r["n_all"], r["nulls"], r["mean"], r["stddev"], r["min"], r["max"]) for r in rows],
+        "column string, n long, nulls long, mean double, stddev double, min double, max double")
+    q = exact_quantiles(long, [0.25, 0.5, 0.75], buckets, stats=rows)
+    wide = q.groupBy("column").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    wide = wide.toDF("column", "q25", "q50", "q75")
+    return moments.join(wide, "column", "left")
 
 
 def list_players(players: DataFrame) -> tuple[DataFrame, DataFrame]:
