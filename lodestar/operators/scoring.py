@@ -132,7 +132,10 @@ def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n:
     else:
         u = users.withColumn("owned", F.lit(None).cast("array<long>"))
     u = u.select(F.col("player_id").cast("long"), F.col("vec").cast("array<double>"), "owned")
+    # Scoring is CPU-heavy per row: spread players over a fixed number of
+    # tasks (an explicit count, which AQE does not coalesce into one task).
     sc = spark.sparkContext
+    u = u.repartition(max(sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if len(local) <= cap:
         if local.empty:
             return spark.createDataFrame([], OUT_SCHEMA)

@@ -60,16 +60,20 @@ def content_rec_ctes(uv: str, iv: str, owned: str, n: int, name: str) -> list[tu
     ]
 
 
+def _inter(spark, d):
+    return fx.interactions(spark, d)
+
+
 def _r(c, digits=D):
     return F.round(c, digits).alias(c)
 
 
 def _content(spark, d, n=10):
     games = fx.games(spark, d)
-    inter = fx.interactions(spark, d)
-    iv, _ = C.tfidf(games)
+    inter = _inter(spark, d)
+    iv, vocab = C.tfidf(games)
     uv = C.user_vectors(inter, iv)
-    return C.content_recommend(uv, iv, inter, n), iv, uv
+    return C.content_recommend(uv, iv, inter, n, dim=vocab.count()), iv, uv
 
 
 # ------------------------------------------------------------- M1 - M4
@@ -202,12 +206,12 @@ SELECT ROUND(AVG(hits / 10.0), 6) AS precision_at_k, ROUND(AVG(CASE WHEN hits >
 
 
 def _split(spark, d):
-    return leave_last_out(fx.interactions(spark, d), k=2)
+    return leave_last_out(_inter(spark, d), k=2)
 
 
 def _content_model(spark, d, train, n=10):
-    iv, _ = C.tfidf(fx.games(spark, d))
-    return C.content_recommend(C.user_vectors(train, iv), iv, train, n)
+    iv, vocab = C.tfidf(fx.games(spark, d))
+    return C.content_recommend(C.user_vectors(train, iv), iv, train, n, dim=vocab.count())
 
 
 def _popularity_model(spark, d, train, n=10):
@@ -247,14 +251,14 @@ ALS_RANK, ALS_REG, ALS_ITER = 64, 0.1, 5
 
 @query("als_recommendations")
 def q_als(spark, d):
-    inter = fx.interactions(spark, d)
+    inter = _inter(spark, d)
     model = M.als_fit(inter, rank=ALS_RANK, reg=ALS_REG, max_iter=ALS_ITER)
     return M.als_recommend(model, inter, n=10)
 
 
 @query("neural_rerank")
 def q_neural(spark, d):
-    inter = fx.interactions(spark, d)
+    inter = _inter(spark, d)
     model = M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=5)
     users, items = M.factors(model)
     cands = M.als_recommend(model, inter, n=30)
@@ -266,8 +270,10 @@ GRAPH_DIM = 4
 
 
 def _graph_init(spark, d):
-    inter = fx.interactions(spark, d)
-    edges = inter.select("player_id", "game_id")
+    from lodestar.session import cut_lineage
+
+    # the edge list feeds the degrees, both initial layers and the owned mask
+    edges = cut_lineage(fx.interactions(spark, d).select("player_id", "game_id"))
     u0 = edges.select("player_id").distinct().withColumn("vec", M.hash_init("player_id", GRAPH_DIM, 11))
     i0 = edges.select("game_id").distinct().withColumn("vec", M.hash_init("game_id", GRAPH_DIM, 29))
     return edges, u0, i0
@@ -342,7 +348,7 @@ bl AS (SELECT p.player_id, p.game_id, ROUND(SUM(p.mw * CASE WHEN mm.hi = mm.lo T
 SELECT player_id, game_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY player_id
   ORDER BY score DESC, game_id ASC) AS rank FROM bl) x WHERE rank <= 10""")
 def q_blend(spark, d):
-    inter = fx.interactions(spark, d)
+    inter = _inter(spark, d)
     content, _, _ = _content(spark, d, 20)
     pop = _popularity_model(spark, d, inter, 20)
     b = M.blend({"content": content, "popularity": pop}, {"content": 0.7, "popularity": 0.3}, n=10)
@@ -353,7 +359,9 @@ def q_blend(spark, d):
 def q_compare(spark, d):
     train, test = _split(spark, d)
     model = M.als_fit(train, rank=16, reg=ALS_REG, max_iter=5)
-    edges = train.select("player_id", "game_id")
+    from lodestar.session import cut_lineage
+
+    edges = cut_lineage(train.select("player_id", "game_id"))
     u0 = edges.select("player_id").distinct().withColumn("vec", M.hash_init("player_id", GRAPH_DIM, 11))
     i0 = edges.select("game_id").distinct().withColumn("vec", M.hash_init("game_id", GRAPH_DIM, 29))
     models = {
