@@ -182,18 +182,18 @@ def resolve_ids(requests: DataFrame, aliases: DataFrame, col: str = "requested")
     """V7: a 17-digit numeric id passes through; otherwise the trimmed,
     lower-cased text is looked up in the alias table; unknown -> NULL.
 
-    Aliases are deduplicated per alias (smallest id) before the join so one
-    request yields one row."""
-    t = F.lower(F.trim(F.col(col)))
+    Only the name requests take part in the join (numeric ones would all
+    carry a NULL key into one shuffle partition). Aliases are deduplicated
+    per alias (smallest id) so one request yields one row."""
     numeric = F.col(col).rlike(STEAM64)
-    keyed = requests.withColumn("_alias", F.when(~numeric, t))
-    amap = aliases.groupBy("alias").agg(F.min("player_id").alias("_pid"))
-    j = keyed.join(amap, keyed["_alias"] == amap["alias"], "left")
-    return j.select(
-        *requests.columns,
-        F.when(numeric, F.col(col).cast("long")).otherwise(F.col("_pid")).alias("player_id"),
-        F.when(numeric, "steam_id").when(F.col("_pid").isNotNull(), "alias").otherwise("unresolved").alias("resolved_by"),
-    )
+    ids = requests.where(numeric).select(
+        *requests.columns, F.col(col).cast("long").alias("player_id"), F.lit("steam_id").alias("resolved_by"))
+    names = requests.where(~numeric | numeric.isNull()).withColumn("_alias", F.lower(F.trim(F.col(col))))
+    amap = aliases.groupBy("alias").agg(F.min("player_id").alias("player_id"))
+    j = names.join(amap, names["_alias"] == amap["alias"], "left")
+    named = j.select(*requests.columns, "player_id",
+                     F.when(F.col("player_id").isNotNull(), "alias").otherwise("unresolved").alias("resolved_by"))
+    return ids.unionByName(named)
 
 
 def upsert_players(current: DataFrame, updates: DataFrame, key: str = "player_id", seq: str = "seq") -> DataFrame:

@@ -50,3 +50,18 @@ def test_blocked_scoring_equals_single_block(spark):
     a = sorted(tuple(r) for r in dense.select("player_id", "game_id", "rank").collect())
     b = sorted(tuple(r) for r in sparse.select("player_id", "game_id", "rank").collect())
     assert a == b and len(a) > 0
+
+
+def test_als_with_ids_beyond_int_range(spark):
+    """ALS ids are INT: large ids go through a dense index and come back."""
+    from lodestar.operators import models as M
+
+    inter = fx.interactions(spark, SF_SMALL)
+    big = inter.withColumn("player_id", F.col("player_id") + F.lit(10**12))
+    fm = M.als_fit(big, rank=4, max_iter=2)
+    assert fm.user_map is not None
+    users, _ = M.factors(fm)
+    assert users.agg(F.min("player_id")).first()[0] >= 10**12
+    recs = M.als_recommend(fm, big.select("player_id", "game_id"), n=5)
+    assert recs.join(big.select("player_id", "game_id"), ["player_id", "game_id"]).count() == 0
+    assert recs.count() > 0
