@@ -41,7 +41,9 @@ def recently_played(sessions: DataFrame, as_of: str, days: int = 14) -> DataFram
 
 def lookup(table: DataFrame, requests: DataFrame, key: str, defaults: dict) -> DataFrame:
     """left join the requests to ``table`` and fill missing values."""
-    j = requests.join(table, key, "left")
+    from lodestar.operators.joins import left_join
+
+    j = left_join(requests, table, key)
     return j.select(
         *requests.columns,
         *[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)

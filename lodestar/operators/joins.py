@@ -25,6 +25,21 @@ def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Data
     return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
 
 
+def left_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Left outer / left anti join on ``key`` where NULL keys bypass the
+    shuffle: they can never match, and in a hash exchange every NULL would
+    land in the same partition (one task for possibly a third of the rows).
+    Output equals ``left.join(right, key, how)``."""
+    if how not in ("left", "left_anti"):
+        raise ValueError(how)
+    keyed = left.where(F.col(key).isNotNull()).join(right, key, how)
+    nulls = left.where(F.col(key).isNull())
+    if how == "left":
+        extra = [F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c != key]
+        nulls = nulls.select(*left.columns, *extra)
+    return keyed.unionByName(nulls.select(*keyed.columns))
+
+
 def sessions_with_games(sessions: DataFrame, games: DataFrame) -> DataFrame:
     """Inner equi-join on game_id; sessions without a game drop out."""
     return sessions.join(maybe_broadcast(games), "game_id", "inner")
@@ -32,8 +47,8 @@ def sessions_with_games(sessions: DataFrame, games: DataFrame) -> DataFrame:
 
 def merge_tables(interactions: DataFrame, games: DataFrame, details: DataFrame, users: DataFrame) -> DataFrame:
     """Interactions ⋈ games (inner), details and users left joined."""
-    g = games.join(details, "game_id", "left")
-    return interactions.join(maybe_broadcast(g), "game_id", "inner").join(users, "player_id", "left")
+    g = left_join(games, details, "game_id")
+    return left_join(interactions.join(maybe_broadcast(g), "game_id", "inner"), users, "player_id")
 
 
 def exclude_owned(recs: DataFrame, owned: DataFrame, keys: tuple[str, str] = ("player_id", "game_id")) -> DataFrame:

@@ -20,6 +20,7 @@ from lodestar.functions.scalar import (
     skill_title,
     type_title,
 )
+from lodestar.operators.joins import left_join
 from lodestar.operators.validate import admit, require_truthy_id, upsert_players
 
 PROFILE_COLUMNS = ["player_id", "total_play_time", "favorite_genres", "skill_level", "preferred_game_types"]
@@ -85,7 +86,7 @@ def recommend_titles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """(player_id, recommendations) for each request; a player without a
     profile gets the fallback list."""
     prof = profiles.select(*PROFILE_COLUMNS).withColumn("_has", F.lit(True))
-    j = requests.select("player_id").join(prof, "player_id", "left")
+    j = left_join(requests.select("player_id"), prof, "player_id")
     fallback = F.array(*[F.lit(t) for t in FALLBACK_TITLES])
     return j.select("player_id", F.when(F.col("_has"), titles_of()).otherwise(fallback).alias("recommendations"))
 
@@ -112,12 +113,12 @@ def add_players(store_players: DataFrame, store_recs: DataFrame, docs: DataFrame
     prof_in = players.join(touched, "player_id", "left_semi")
     profiles = build_profiles(prof_in, hist, raw_col="doc")
     new_recs = recommend_titles(touched, profiles)
-    kept = store_recs.join(touched, "player_id", "left_anti")
+    kept = left_join(store_recs, touched, "player_id", "left_anti")
     return players, kept.unionByName(new_recs)
 
 
 def get_recommendations(recs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, not_found) for the requested player ids."""
     found = requests.join(recs, "player_id", "inner")
-    missing = requests.join(recs, "player_id", "left_anti")
+    missing = left_join(requests, recs.select("player_id"), "player_id", "left_anti")
     return found, missing

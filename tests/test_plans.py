@@ -34,3 +34,15 @@ def test_recent_filter_reaches_scan(spark):
     e = read_table(spark, SF_SMALL, "events").withColumnRenamed("ts", "start_time")
     plan = _plan(recent_sessions(e, "2024-01-20 00:00:00", 7))
     assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts" in plan
+
+
+def test_left_join_null_keys_equal_plain_join(spark):
+    from lodestar.operators.joins import left_join
+
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d")], "k long, x string")
+    right = spark.createDataFrame([(1, 10.0), (3, 30.0)], "k long, y double")
+    for how in ("left", "left_anti"):
+        a = sorted(map(tuple, left_join(left, right, "k", how).collect()), key=repr)
+        b = sorted(map(tuple, left.join(right, "k", how).select(*left_join(left, right, "k", how).columns)
+                       .collect()), key=repr)
+        assert a == b
