@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.plans import core, features, models, profiles, streams  # noqa: F401
+from lodestar.plans import core, features, io, models, profiles, streams  # noqa: F401
 from lodestar.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -270,8 +270,10 @@ def _p3(spark, d):
                        V.apply_history_defaults(fx.game_history(spark, d)))
 
 
-@query("add_players", oracle=with_ctes("history", extra=_P3_EXTRA + profile_ctes("hs", "people"))
-       + titles_select("touched"))
+ADD_PLAYERS_SQL = with_ctes("history", extra=_P3_EXTRA + profile_ctes("hs", "people")) + titles_select("touched")
+
+
+@query("add_players", oracle=ADD_PLAYERS_SQL)
 def q_add_players(spark, d):
     _, recs = _p3(spark, d)
     return _long(recs)
