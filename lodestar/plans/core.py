@@ -199,7 +199,7 @@ WHERE rk <= 3""")
 def q_top_genres(spark, d):
     t = top_genres(A.genre_counts(fx.game_history(spark, d)), 3)
     return t.select("player_id", F.posexplode("favorite_genres").alias("genre_rank", "g")).select(
-        "player_id", (F.col("genre_rank") + 1).alias("genre_rank"), F.col("g.genre").alias("genre"),
+        "player_id", (F.col("genre_rank") + 1).cast("long").alias("genre_rank"), F.col("g.genre").alias("genre"),
         F.col("g.n").alias("n"))
 
 
@@ -210,7 +210,7 @@ SELECT player_id, game_id, weight AS score, rk AS rank FROM (
 WHERE rk <= 10""")
 def q_top_played(spark, d):
     s = fx.interactions(spark, d).select("player_id", "game_id", F.col("weight").alias("score"))
-    return top_n(s, 10)
+    return top_n(s, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("holdout_test", oracle=with_ctes("inter") + """

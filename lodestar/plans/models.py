@@ -304,7 +304,8 @@ _GRAPH_CTES = [
 
 
 @query("graph_embeddings", oracle=with_ctes("inter", extra=_GRAPH_CTES) + " UNION ALL ".join(
-    f"SELECT '{kind}' AS node_type, node AS node_id, {l} AS layer, dim, ROUND(v, {D}) AS value FROM {p}{l}"
+    f"SELECT '{kind}' AS node_type, node AS node_id, CAST({l} AS BIGINT) AS layer, dim, ROUND(v, {D}) AS value "
+    f"FROM {p}{l}"
     for kind, p in (("player", "u"), ("game", "i")) for l in range(4)))
 def q_graph_embeddings(spark, d):
     edges, u0, i0 = _graph_init(spark, d)
