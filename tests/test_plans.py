@@ -46,3 +46,28 @@ def test_left_join_null_keys_equal_plain_join(spark):
         b = sorted(map(tuple, left.join(right, "k", how).select(*left_join(left, right, "k", how).columns)
                        .collect()), key=repr)
         assert a == b
+
+
+def test_profiles_read_history_once(spark):
+    import __spark_entry__ as E
+
+    plan = _plan(E.queries()["profiles"](spark, SF_SMALL))
+    assert plan.count("lineitem.parquet") == 1 and plan.count("orders.parquet") == 1
+
+
+def test_scorer_runs_on_fixed_task_count(spark):
+    import __spark_entry__ as E
+
+    df = E.queries()["content_recommendations"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "RoundRobinPartitioning" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_no_cross_join_anywhere(spark):
+    import __spark_entry__ as E
+
+    for name in ["titles", "add_players", "cold_start_recommendations", "blended_recommendations",
+                 "behavioral_features", "normalized_zscore", "describe_lineitem"]:
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
