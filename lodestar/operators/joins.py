@@ -51,6 +51,19 @@ def merge_tables(interactions: DataFrame, games: DataFrame, details: DataFrame,
     return left_join(interactions.join(maybe_broadcast(g), "game_id", "inner"), users, "player_id")
 
 
+def build_dataset(interactions: DataFrame, games: DataFrame, details: DataFrame, users: DataFrame,
+                  path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """IO6: the merged (J2) dataset, written as Parquet when ``path`` is
+    given; returns the dataset (read back from ``path`` when written)."""
+    merged = merge_tables(interactions, games, details, users)
+    if path is None:
+        return merged
+    from lodestar.sources.tables import write_dataset
+
+    write_dataset(merged, path, partition_by)
+    return merged.sparkSession.read.parquet(path)
+
+
 def exclude_owned(recs: DataFrame, owned: DataFrame, keys: tuple[str, str] = ("player_id", "game_id")) -> DataFrame:
     """Drop recommendations of items the player already has."""
     return recs.join(owned.select(*keys).distinct(), list(keys), "left_anti")

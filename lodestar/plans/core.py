@@ -126,7 +126,13 @@ FROM inter i JOIN games g ON i.game_id = g.game_id
 LEFT JOIN details dt ON g.game_id = dt.game_id
 LEFT JOIN players p ON i.player_id = p.player_id""")
 def q_merged(spark, d):
-    m = J.merge_tables(fx.interactions(spark, d), fx.games(spark, d), fx.game_details(spark, d), fx.players(spark, d))
+    import uuid
+
+    from lodestar.session import scratch_path
+
+    path = scratch_path(spark, f"io/dataset-{uuid.uuid4().hex}")
+    m = J.build_dataset(fx.interactions(spark, d), fx.games(spark, d), fx.game_details(spark, d),
+                        fx.players(spark, d), path=path, partition_by=["genre_id"])
     return m.select("player_id", "game_id", "weight", "n_plays", "genre_id", "game_type", "publisher", "price",
                     "name", "country")
 

@@ -107,11 +107,18 @@ _SNAP_A = "2024-01-15 00:00:00"
 ]) + """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY as_of DESC) AS rn
   FROM snaps) x WHERE rn = 1""")
 def q_feature_store(spark, d):
+    """Two snapshots written to a date-partitioned store; the newest row per
+    player wins on read."""
+    import uuid
+
+    from lodestar.session import scratch_path
+
+    path = scratch_path(spark, f"features/store-{uuid.uuid4().hex}")
     s = fx.game_sessions(spark, d)
-    a = FE.temporal_features(s, _SNAP_A).withColumn("as_of", F.lit(_SNAP_A).cast("timestamp_ntz"))
+    FE.update_feature_store(FE.temporal_features(s, _SNAP_A), path, _SNAP_A)
     recent = s.where(F.col("start_time") > F.lit(AS_OF_RECENT).cast("timestamp_ntz") - F.expr("INTERVAL 14 DAYS"))
-    b = FE.temporal_features(recent, AS_OF_RECENT).withColumn("as_of", F.lit(AS_OF_RECENT).cast("timestamp_ntz"))
-    return FE.latest_features(a.unionByName(b))
+    FE.update_feature_store(FE.temporal_features(recent, AS_OF_RECENT), path, AS_OF_RECENT)
+    return FE.read_feature_store(spark, path)
 
 
 # --------------------------------------------------------------- monitoring
@@ -123,8 +130,17 @@ _DAILY30 = ("daily", f"""SELECT CAST(created_at AS DATE) AS date, COUNT(*) AS to
 @query("quality_log", oracle=with_ctes("reclog", extra=[_DAILY30]) + """
 SELECT strftime(date, '%Y-%m-%d') AS date, total_recommendations, avg_click_rate, avg_conversion FROM daily""")
 def q_quality_log(spark, d):
-    out = daily_quality(fx.recommendation_log(spark, d), AS_OF_DATE, 30)
-    return out.withColumn("date", date_text("date"))
+    """MO1: the daily report is written to the day-partitioned quality log and
+    read back."""
+    import uuid
+
+    from lodestar.operators.monitor import log_quality
+    from lodestar.session import scratch_path
+
+    path = scratch_path(spark, f"monitor/quality-{uuid.uuid4().hex}")
+    log_quality(fx.recommendation_log(spark, d), AS_OF_DATE, path=path, days=30)
+    out = spark.read.parquet(path)
+    return out.select(date_text("date").alias("date"), "total_recommendations", "avg_click_rate", "avg_conversion")
 
 
 @query("quality_alerts", oracle=with_ctes("reclog", extra=[_DAILY30]) + """
