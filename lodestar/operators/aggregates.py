@@ -222,6 +222,9 @@ def interaction_matrix(history: DataFrame) -> DataFrame:
     )
 
 
+interactions = interaction_matrix  # A11 under its inventory name
+
+
 def session_seconds(sessions: DataFrame) -> DataFrame:
     """S3 applied: recompute duration from start and end."""
     return sessions.withColumn("seconds", seconds_between("start_time", "end_time"))

@@ -115,3 +115,18 @@ def latest_documents(spark: SparkSession, store: str) -> DataFrame:
     log = spark.read.parquet(store)
     best = log.groupBy("player_id").agg(F.max_by(F.struct("doc", "seq"), F.col("seq")).alias("_r"))
     return best.select("player_id", F.col("_r.doc").alias("doc"), F.col("_r.seq").alias("seq"))
+
+
+def stream_ingest(spark: SparkSession, src: str, sink: str, ckpt: str, watermark: str = "1 hour") -> None:
+    """ST1: events landing under ``src`` -> de-duplicated append to ``sink``."""
+    run_available(ingest_events(read_events_stream(spark, src), watermark), sink, ckpt)
+
+
+def stream_daily_quality(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """ST2 under its inventory name (see ``daily_quality_stream``)."""
+    return daily_quality_stream(events, delay)
+
+
+def sessionize(events: DataFrame, gap: str = "12 hours", watermark: str = "1 hour") -> DataFrame:
+    """ST3 under its inventory name (see ``sessions_stream``)."""
+    return sessions_stream(events, gap, watermark)
