@@ -1,8 +1,8 @@
 """Profiles and rule-based recommendations (P1-P4), the core of the domain.
 
 A profile is (player_id, total_play_time, favorite_genres, skill_level,
-preferred_game_types). Everything is per-player aggregation plus Catalyst
-expressions; the two aggregations share the player_id partitioning.
+preferred_game_types). The play history is read and shuffled once (partial
+sums per player and genre); titles are pure Catalyst expressions.
 """
 
 from __future__ import annotations
