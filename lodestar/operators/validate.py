@@ -175,7 +175,7 @@ def clean(df: DataFrame, keys: list[str], order_by: list[str] | None = None) ->
                        *[F.col(f"_best.{c}") for c in rest]).select(*df.columns)
 
 
-STEAM64 = r"^[0-9]{17}$"
+ID17_PATTERN = r"^[0-9]{17}$"
 
 
 def resolve_ids(requests: DataFrame, aliases: DataFrame, col: str = "requested") -> DataFrame:
@@ -185,9 +185,9 @@ def resolve_ids(requests: DataFrame, aliases: DataFrame, col: str = "requested")
     Only the name requests take part in the join (numeric ones would all
     carry a NULL key into one shuffle partition). Aliases are deduplicated
     per alias (smallest id) so one request yields one row."""
-    numeric = F.col(col).rlike(STEAM64)
+    numeric = F.col(col).rlike(ID17_PATTERN)
     ids = requests.where(numeric).select(
-        *requests.columns, F.col(col).cast("long").alias("player_id"), F.lit("steam_id").alias("resolved_by"))
+        *requests.columns, F.col(col).cast("long").alias("player_id"), F.lit("numeric_id").alias("resolved_by"))
     names = requests.where(~numeric | numeric.isNull()).withColumn("_alias", F.lower(F.trim(F.col(col))))
     amap = aliases.groupBy("alias").agg(F.min("player_id").alias("player_id"))
     j = names.join(amap, names["_alias"] == amap["alias"], "left")

@@ -190,13 +190,13 @@ def q_clean_lineitem(spark, d):
 
 @query("resolved_ids", oracle="""
 WITH req AS (SELECT c_custkey AS request_id, CASE c_custkey % 3
-    WHEN 0 THEN CAST(76561197960265728 + c_custkey AS VARCHAR)
+    WHEN 0 THEN CAST(10000000000000000 + c_custkey AS VARCHAR)
     WHEN 1 THEN '  ' || upper(c_name) || ' ' ELSE c_name || '-x' END AS requested FROM customer),
  amap AS (SELECT lower(c_name) AS alias, MIN(c_custkey) AS pid FROM customer GROUP BY lower(c_name))
 SELECT r.request_id, r.requested,
   CAST(CASE WHEN regexp_full_match(r.requested, '[0-9]{17}') THEN CAST(r.requested AS BIGINT) ELSE a.pid END
        AS VARCHAR) AS player_id,
-  CASE WHEN regexp_full_match(r.requested, '[0-9]{17}') THEN 'steam_id' WHEN a.pid IS NOT NULL THEN 'alias'
+  CASE WHEN regexp_full_match(r.requested, '[0-9]{17}') THEN 'numeric_id' WHEN a.pid IS NOT NULL THEN 'alias'
        ELSE 'unresolved' END AS resolved_by
 FROM req r LEFT JOIN amap a ON NOT regexp_full_match(r.requested, '[0-9]{17}') AND lower(trim(r.requested)) = a.alias""")
 def q_resolved_ids(spark, d):

@@ -221,7 +221,7 @@ def id_requests(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "customer", ["c_custkey", "c_name"])
     v = F.col("c_custkey") % 3
     text = (
-        F.when(v == 0, (F.lit(76561197960265728) + F.col("c_custkey")).cast("string"))
+        F.when(v == 0, (F.lit(10**16) + F.col("c_custkey")).cast("string"))
         .when(v == 1, F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")))
         .otherwise(F.concat(F.col("c_name"), F.lit("-x")))
     )
