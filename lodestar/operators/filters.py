@@ -17,8 +17,15 @@ def _ts(x: str) -> Column:
 
 def recent_sessions(sessions: DataFrame, as_of: str, days: int = 30, player_id=None,
                     ts: str = "start_time") -> DataFrame:
-    """rows with ``ts > as_of - days`` (strict); one player if given."""
-    cond = F.col(ts) > _ts(as_of) - F.make_interval(days=F.lit(days))
+    """rows with ``ts > as_of - days`` (strict); one player if given.
+
+    On a table partitioned by ``start_date`` (IO5) the implied date predicate
+    is added as well, so the scan prunes partitions; the exact test on the
+    bare timestamp column stays (it is also pushed into the Parquet scan)."""
+    start = _ts(as_of) - F.make_interval(days=F.lit(days))
+    cond = F.col(ts) > start
+    if "start_date" in sessions.columns and ts == "start_time":
+        cond = cond & (F.col("start_date") >= F.to_date(start))
     if player_id is not None:
         cond = cond & (F.col("player_id") == F.lit(player_id))
     return sessions.where(cond)

@@ -71,3 +71,19 @@ def test_no_cross_join_anywhere(spark):
                  "behavioral_features", "normalized_zscore", "describe_lineitem"]:
         plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_recent_sessions_prunes_date_partitions(spark):
+    import uuid
+
+    from lodestar.session import scratch_path
+    from lodestar.sources.tables import append_sessions
+
+    path = scratch_path(spark, f"tests/sessions-{uuid.uuid4().hex}")
+    append_sessions(fx.game_sessions(spark, SF_SMALL), path)
+    stored = spark.read.parquet(path)
+    df = recent_sessions(stored, "2024-01-31 00:00:00", 7)
+    plan = _plan(df)
+    assert "PartitionFilters: [isnotnull(start_date" in plan and "PushedFilters: [IsNotNull(start_time)" in plan
+    expected = fx.game_sessions(spark, SF_SMALL).where("start_time > timestamp_ntz'2024-01-24 00:00:00'").count()
+    assert df.count() == expected > 0
