@@ -19,7 +19,7 @@ AVG_US = "CAST(SUM(epoch_us(end_time) - epoch_us(start_time)) AS DOUBLE) / COUNT
 AVG_US_S = "CAST(SUM(epoch_us(s.end_time) - epoch_us(s.start_time)) AS DOUBLE) / COUNT(s.end_time) / 1e6"
 
 # ---------------------------------------------------------------- sessions
-@query("game_sessions", oracle=with_ctes("sessions") + """
+@query("game_sessions", ts=('start_time', 'end_time'), oracle=with_ctes("sessions") + """
 SELECT session_id, player_id, game_id, start_time, end_time, session_duration, n_events FROM sessions""")
 def q_sessions(spark, d):
     return fx.game_sessions(spark, d)
@@ -80,21 +80,21 @@ def q_genre_stats(spark, d):
 
 
 # ------------------------------------------------------------------ filters
-@query("recent_sessions", oracle=with_ctes("sessions") + f"""
+@query("recent_sessions", ts=('start_time',), oracle=with_ctes("sessions") + f"""
 SELECT session_id, player_id, start_time FROM sessions
 WHERE start_time > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY""")
 def q_recent_sessions(spark, d):
     return FL.recent_sessions(fx.game_sessions(spark, d), AS_OF, 30).select("session_id", "player_id", "start_time")
 
 
-@query("recently_played", oracle=with_ctes("sessions") + f"""
+@query("recently_played", ts=('last_start',), oracle=with_ctes("sessions") + f"""
 SELECT player_id, game_id, COUNT(*) AS n_sessions, MAX(start_time) AS last_start FROM sessions
 WHERE start_time > TIMESTAMP '{AS_OF_RECENT}' - INTERVAL 14 DAY GROUP BY player_id, game_id""")
 def q_recently_played(spark, d):
     return FL.recently_played(fx.game_sessions(spark, d), AS_OF_RECENT, 14)
 
 
-@query("recent_recommendations", oracle=with_ctes("reclog") + f"""
+@query("recent_recommendations", ts=('created_at',), oracle=with_ctes("reclog") + f"""
 SELECT created_at, click_rate, conversion_rate FROM reclog
 WHERE created_at >= DATE '{AS_OF_DATE}' - INTERVAL 7 DAY""")
 def q_recent_recs(spark, d):
@@ -146,7 +146,7 @@ def q_total_play_time(spark, d):
     return A.total_play_time(fx.players(spark, d), fx.game_history(spark, d))
 
 
-@query("genre_counts", oracle=with_ctes("history") + """
+@query("genre_counts", ts=('first_date',), oracle=with_ctes("history") + """
 SELECT player_id, genre, COUNT(*) AS n, MIN(ord_d) AS first_date,
        arg_min(ord_o, row(ord_d, ord_o, ord_l, game_id)) AS first_order
 FROM history GROUP BY player_id, genre""")
@@ -189,7 +189,7 @@ def q_player_total(spark, d):
     return A.list_players(fx.players(spark, d))[1]
 
 
-@query("interactions", oracle=with_ctes("inter") + """
+@query("interactions", ts=('last_played',), oracle=with_ctes("inter") + """
 SELECT player_id, game_id, weight, n_plays, last_played FROM inter""")
 def q_interactions(spark, d):
     return fx.interactions(spark, d)

@@ -98,7 +98,7 @@ def q_temporal(spark, d):
 _SNAP_A = "2024-01-15 00:00:00"
 
 
-@query("feature_store_latest", oracle=with_ctes("sessions", extra=[
+@query("feature_store_latest", ts=('as_of',), oracle=with_ctes("sessions", extra=[
     ("snap_a", _temporal_sql(_SNAP_A)),
     ("recent", f"SELECT * FROM sessions WHERE start_time > TIMESTAMP '{AS_OF_RECENT}' - INTERVAL 14 DAY"),
     ("snap_b", _temporal_sql(AS_OF_RECENT, "recent")),

@@ -28,7 +28,7 @@ def q_store_roundtrip(spark, d):
     return titles_long(back).select("player_id", F.col("pos").cast("long").alias("pos"), "title")
 
 
-@query("appended_sessions", oracle=with_ctes("sessions") + """
+@query("appended_sessions", ts=('start_time', 'end_time'), oracle=with_ctes("sessions") + """
 SELECT session_id, player_id, game_id, start_time, NULL::TIMESTAMP AS end_time, NULL::DOUBLE AS session_duration,
        strftime(CAST(start_time AS DATE), '%Y-%m-%d') AS start_date
 FROM sessions WHERE start_time >= TIMESTAMP '2024-01-15 00:00:00'""")

@@ -174,7 +174,7 @@ _CLEAN_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extende
                 "l_returnflag", "l_linestatus"]
 
 
-@query("clean_lineitem", oracle="""
+@query("clean_lineitem", ts=('l_shipdate',), oracle="""
 SELECT * EXCLUDE (rn) FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity,
   l_extendedprice, l_discount, l_tax, NULLIF(trim(l_returnflag), '') AS l_returnflag,
   NULLIF(trim(l_linestatus), '') AS l_linestatus,

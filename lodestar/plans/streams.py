@@ -26,7 +26,7 @@ def _run(spark, stream_df, name):
     return spark.read.parquet(f"{base}/out")
 
 
-@query("stream_ingest_events", oracle="""
+@query("stream_ingest_events", ts=('ts',), oracle="""
 SELECT event_id, user_id AS player_id, ts, event_type AS action_type FROM events""")
 def q_stream_ingest(spark, d):
     ev = ST.read_events_stream(spark, table_path(d, "events"))
@@ -45,7 +45,7 @@ def q_stream_daily(spark, d):
     return out.select(date_text("date").alias("date"), "total_recommendations", "avg_click_rate", "avg_conversion")
 
 
-@query("stream_sessions", oracle=with_ctes("sessions_all") + f"""
+@query("stream_sessions", ts=('start_time', 'end_time'), oracle=with_ctes("sessions_all") + f"""
 SELECT session_id, player_id, game_id, start_time, last_ts AS end_time, n_events FROM sessions_all
 WHERE last_ts + INTERVAL 12 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL {DELAY}""")
 def q_stream_sessions(spark, d):
