@@ -157,3 +157,25 @@ def test_titles_never_exceed_five(spark):
     assert t == [GENRE_TITLES["action"], GENRE_TITLES["rpg"], GENRE_TITLES["strategy"], SKILLED_TITLE,
                  TYPE_TITLES["multiplayer"]]
     assert len(t) <= 5 and F is not None
+
+
+def test_player_stats_without_sessions_is_one_row(spark):
+    from lodestar.operators.aggregates import player_stats_one
+
+    s = spark.createDataFrame([(1, 5, "2024-01-01 00:00:00", "2024-01-01 01:00:00")],
+                              "session_id long, player_id long, start_time string, end_time string")
+    s = s.selectExpr("session_id", "player_id", "cast(start_time as timestamp_ntz) as start_time",
+                     "cast(end_time as timestamp_ntz) as end_time")
+    rows = player_stats_one(s, 99, "2024-01-10 00:00:00").collect()
+    assert [(r["n_sessions"], r["avg_duration"]) for r in rows] == [(0, None)]
+    rows = player_stats_one(s, 5, "2024-01-10 00:00:00").collect()
+    assert [(r["n_sessions"], r["avg_duration"]) for r in rows] == [(1, 3600.0)]
+
+
+def test_recent_recs_inclusive_from_midnight(spark):
+    from lodestar.operators.filters import recent_recs
+
+    r = spark.createDataFrame([(f"2024-01-{d:02d} 00:00:00",) for d in range(20, 31)] + [("2024-01-22 23:59:59",)],
+                              "t string").selectExpr("cast(t as timestamp_ntz) as created_at")
+    days = {row[0].day for row in recent_recs(r, "2024-01-30", 7).collect()}
+    assert days == set(range(23, 31))  # 8 calendar dates, the 23rd from midnight
