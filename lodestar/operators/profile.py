@@ -21,7 +21,7 @@ from lodestar.functions.scalar import (
     type_title,
 )
 from lodestar.operators.joins import left_join
-from lodestar.operators.validate import admit, require_truthy_id, upsert_players
+from lodestar.operators.validate import admit, id_is_hashable, require_truthy_id, upsert_players
 
 PROFILE_COLUMNS = ["player_id", "total_play_time", "favorite_genres", "skill_level", "preferred_game_types"]
 
@@ -106,7 +106,8 @@ def add_players(store_players: DataFrame, store_recs: DataFrame, docs: DataFrame
     documents with an ordering column ``seq``; ``history`` carries V5 defaults
     and a player_id comparable with the document's id text. Returns the new
     (players, recommendations) store tables."""
-    admitted = admit(docs, raw_col).select("player_id", F.col(raw_col).alias("doc"), F.col(seq).alias("seq"))
+    admitted = admit(docs, raw_col).where(id_is_hashable(raw_col)).select(
+        "player_id", F.col(raw_col).alias("doc"), F.col(seq).alias("seq"))
     players = upsert_players(store_players.select("player_id", "doc"), admitted, "player_id", "seq")
     touched = admitted.select("player_id").distinct()
     hist = history.withColumn("player_id", F.col("player_id").cast("string"))

@@ -93,6 +93,13 @@ def admit(docs: DataFrame, raw_col: str = "raw") -> DataFrame:
     return docs.where(F.coalesce(has_player_key(raw_col), F.lit(False))).withColumn("player_id", _id_text(v))
 
 
+def id_is_hashable(raw_col: str = "raw") -> Column:
+    """The ``player_id`` value can key a store (not a JSON array or object:
+    such an id makes the upsert request fail, so nothing is stored)."""
+    idv = F.variant_get(F.try_parse_json(F.col(raw_col)), "$.player_id", "variant")
+    return F.coalesce(~_kind(idv).isin("array", "object"), F.lit(True))
+
+
 def id_is_truthy(raw_col: str = "raw") -> Column:
     """V4 on documents: Python truthiness of the ``player_id`` value."""
     idv = F.variant_get(F.try_parse_json(F.col(raw_col)), "$.player_id", "variant")

@@ -179,3 +179,18 @@ def test_recent_recs_inclusive_from_midnight(spark):
                               "t string").selectExpr("cast(t as timestamp_ntz) as created_at")
     days = {row[0].day for row in recent_recs(r, "2024-01-30", 7).collect()}
     assert days == set(range(23, 31))  # 8 calendar dates, the 23rd from midnight
+
+
+def test_add_players_skips_unhashable_ids(spark):
+    from lodestar.operators.profile import add_players
+    from lodestar.sources.tables import STORE_SCHEMA
+
+    empty = spark.createDataFrame([], STORE_SCHEMA)
+    docs = spark.createDataFrame([(1, '{"player_id": [1, 2]}'), (2, '{"player_id": {"a": 1}}'), (3, '{"player_id": 0}'),
+                                  (4, '{"player_id": "p"}')], "doc_seq long, raw string")
+    hist = spark.createDataFrame([], "player_id string, ord struct<o:int>, raw string")
+    players, recs = add_players(empty.select("player_id", "doc"), empty.select("player_id", "recommendations"),
+                                docs, apply_history_defaults(hist, raw_col="raw"))
+    assert sorted(r["player_id"] for r in players.collect()) == ["0", "p"]
+    got = {r["player_id"]: list(r["recommendations"]) for r in recs.collect()}
+    assert got == {"0": FALLBACK_TITLES, "p": [NOVICE_TITLE]}
