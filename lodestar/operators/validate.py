@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalar import COLLECT_QUALITY, COLLECT_TIMESTAMP
+from lodestar.functions.scalar import stamp as stamp_rows
 
 
 def _kind(v: Column) -> Column:
@@ -46,12 +47,8 @@ def collect_valid(raw: DataFrame, raw_col: str = "raw", quality: str = COLLECT_Q
     ``player_id`` is the text of the JSON value (NULL for JSON null)."""
     v = F.try_parse_json(F.col(raw_col))
     ok = F.coalesce(has_player_key(raw_col), F.lit(False))
-    return raw.where(ok).select(
-        *[c for c in raw.columns if c != raw_col],
-        _id_text(v).alias("player_id"),
-        F.lit(quality).alias("data_quality"),
-        F.lit(stamp).alias("timestamp"),
-    )
+    kept = raw.where(ok).select(*[c for c in raw.columns if c != raw_col], _id_text(v).alias("player_id"))
+    return stamp_rows(kept, quality, stamp)
 
 
 def rejection_reason(raw_col: str = "raw") -> Column:
