@@ -65,3 +65,25 @@ def test_als_with_ids_beyond_int_range(spark):
     recs = M.als_recommend(fm, big.select("player_id", "game_id"), n=5)
     assert recs.join(big.select("player_id", "game_id"), ["player_id", "game_id"]).count() == 0
     assert recs.count() > 0
+
+
+def test_dense_top_n_ties_and_blocks(spark):
+    """Equal scores rank by smaller game id; blocked and single-block paths agree with brute force."""
+    from lodestar.operators.scoring import dense_top_n
+
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "player_id long, vec array<double>")
+    item_rows = [(g, [float(g % 3), float((g * 7) % 4)]) for g in range(60)]
+    items = spark.createDataFrame(item_rows, "game_id long, vec array<double>")
+    owned = spark.createDataFrame([(1, 3), (3, 5)], "player_id long, game_id long")
+    want = set()
+    own = {(1, 3), (3, 5)}
+    for p, u in [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])]:
+        sc = [(-(u[0] * v[0] + u[1] * v[1]), g) for g, v in item_rows if (p, g) not in own and u[0] * v[0] + u[1] * v[1] > 0]
+        for r, (s, g) in enumerate(sorted(sc)[:7]):
+            want.add((p, g, r + 1))
+    for max_bytes in (10**6, 200):  # one block / many blocks
+        got = {(r["player_id"], r["game_id"], r["rank"]) for r in
+               dense_top_n(users, items, owned, n=7, max_bytes=max_bytes, dim=2).collect()}
+        assert got == want
+    none = dense_top_n(users, items, None, n=3, dim=2).where("player_id = 1").orderBy("rank").collect()
+    assert [r["game_id"] for r in none] == [2, 5, 8]  # score 2.0 ties, smallest ids first
