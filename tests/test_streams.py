@@ -56,3 +56,12 @@ def test_stream_equals_batch_on_closed_windows(spark):
                                                             "n_events")
     s_rows = {tuple(r) for r in s_sessions.collect()}
     assert s_rows and s_rows <= {tuple(r) for r in b_sessions.collect()}
+
+
+def test_stream_ingest_entry_point(spark):
+    base = scratch_path(spark, f"tests/ingest-{uuid.uuid4().hex}")
+    ST.stream_ingest(spark, f"{SF_SMALL}/events.parquet", f"{base}/out", f"{base}/ckpt")
+    out = spark.read.parquet(f"{base}/out")
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    assert out.count() == events.select("event_id").distinct().count() > 0
+    assert sorted(out.columns) == ["action_type", "event_id", "player_id", "ts"]
