@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import q_sharding  # noqa: F401
+from lodestar.llm import (  # noqa: F401
+    q_decontam,
+    q_minhash,
+    q_sharding,
+)
 from lodestar.llm.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
