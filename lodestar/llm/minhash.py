@@ -14,15 +14,18 @@ similarity 0.8 is missed with probability (1 - 0.8^6)^42 = 3e-6.
 Copies (the same word sequence) are one class from the start; their smallest id
 stands for them. Within a bucket no pairs of all members are made:
 
-1. every member is compared with the bucket's smallest member (a star);
-2. links found so far are closed to components;
-3. members of a bucket that are not in the component of its smallest member
-   are compared with the bucket's members in other components. Pairs inside a
-   component need no comparison, as they can't change the result.
-
-Together these cover every candidate pair that could join two components, so
-the result equals that of comparing all pairs of each bucket, while a bucket of
-thousands of near copies costs one comparison a member.
+1. every member is compared with the bucket's hub, the member that meets most
+   others over all bands (a star), and links are closed to components;
+2. in two more rounds, members of buckets that still hold several components
+   are compared with a random member of another component;
+3. what is left, pairs of a bucket whose components still differ, is compared
+   in full, each pair in the first band it shares and only if its 2-bit sketches
+   (two bits of each signature value) can belong to a similar pair: a pair at
+   the threshold fails that with probability 3e-7.
+
+Pairs inside a component need no comparison, as they can't change the result,
+so the result equals that of comparing all pairs of each bucket, while a bucket
+of thousands of near copies costs a few comparisons a member.
 
 Defined results: NULL, empty and blank texts have an empty set and stand alone;
 repeated rows are copies of each other; rows with a NULL id can link others but
@@ -33,6 +36,7 @@ gives an empty result. Extra columns of any name are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
 from collections.abc import Iterator
 
@@ -40,16 +44,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialise, release
+from lodestar.operators.joins import maybe_broadcast
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PERMUTATIONS = 126
 ROWS = 6
 SEED = 20240117
+RANDOM_ROUNDS = 2
+MAX_ID_BYTES = 8 * 1024 * 1024  # candidate ids up to this size are broadcast
 _CHUNK = 1 << 14  # shingles hashed at a time
 _MEMO = 1 << 18  # words whose hash a task remembers
 
@@ -137,6 +144,30 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each value: words of 64 low bits, then words of 64 next bits."""
+    n, width = signature.shape
+    words = -(-width // 64)
+    out = np.zeros((n, 2, words * 64), np.uint8)
+    out[:, 0, :width], out[:, 1, :width] = signature & 1, (signature >> 1) & 1
+    return np.packbits(out, axis=2).reshape(n, 2 * words, 8).view("<i8").reshape(n, 2 * words)
+
+
+def sketch_bound(width: int, percent: int, deviations: float = 5.0) -> int:
+    """Values that agree in both bits at the threshold, less five deviations."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    return math.floor(width * p - deviations * math.sqrt(width * p * (1 - p)))
+
+
+def sketch_agreement(a: str, b: str, width: int) -> Column:
+    words = -(-width // 64)
+    differ = [
+        F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))).bitwiseOR(F.get(a, F.lit(words + i)).bitwiseXOR(F.get(b, F.lit(words + i)))))
+        for i in range(words)
+    ]
+    return F.lit(width) - sum(differ[1:], differ[0])
+
+
 def sequence_digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
@@ -144,7 +175,7 @@ def sequence_digest(words: list[bytes]) -> bytes:
 def signatures(
     docs: DataFrame, doc_id: str, text: str, shingle: int, permutations: int, rows: int
 ) -> DataFrame:
-    """doc_id, n_shingles, seq (digest of the word sequence, NULL if empty), bands."""
+    """doc_id, n_shingles, seq (digest of the word sequence, NULL if empty), bands, sketch."""
     a, b = permutation_constants(permutations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +192,18 @@ def signatures(
                         seqs.append(sequence_digest(words) if words else None)
                         sets.append(x)
                     full = [x for x in sets if len(x)]
-                    made = iter(band_hashes(min_max(full, a, b), rows).tolist() if full else [])
-                    bands = [next(made) if len(x) else None for x in sets]
+                    signature = min_max(full, a, b) if full else np.empty((0, 2 * len(a)), np.uint32)
+                    keys, bits = iter(band_hashes(signature, rows).tolist()), iter(sketches(signature).tolist())
+                    bands = [next(keys) if len(x) else None for x in sets]
+                    sketch = [next(bits) if len(x) else None for x in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(sizes, pa.int64()), pa.array(seqs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                        ["doc_id", "n_shingles", "seq", "bands"],
+                        [ids, pa.array(sizes, pa.int64()), pa.array(seqs, pa.binary())]
+                        + [pa.array(c, pa.list_(pa.int64())) for c in (bands, sketch)],
+                        ["doc_id", "n_shingles", "seq", "bands", "sketch"],
                     )
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, seq binary, bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, n_shingles long, seq binary, bands array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
@@ -178,8 +212,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle
     ``pairs`` has a, b (word-sequence digests) and a_id, b_id (ids whose text
     has that sequence). Each text is fetched by id; a row whose text has
     another sequence (a repeated id) is passed over."""
-    # Partial sort keeps the pairs of one `a` together, so its set is built once.
-    slim = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
+    ids = pairs.select(F.explode(F.array("a_id", "b_id")).alias("__want")).distinct()
+    every = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
+    # only texts of candidates move on
+    slim = every.join(maybe_broadcast(ids, MAX_ID_BYTES), F.col("__id").eqNullSafe(F.col("__want")), "left_semi")
     with_b = pairs.join(slim.withColumnRenamed("__t", "b_text"), F.col("b_id").eqNullSafe(F.col("__id"))).drop("__id")
     both = with_b.join(slim.withColumnRenamed("__t", "a_text"), F.col("a_id").eqNullSafe(F.col("__id"))).drop("__id")
 
@@ -213,6 +249,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _content(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes: equal for equal sets."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
+
+
 def components(nodes: DataFrame, links: DataFrame, label: str) -> DataFrame:
     """(seq, root): each node's smallest reachable node, ordered by ``rank``.
 
@@ -225,6 +267,7 @@ def components(nodes: DataFrame, links: DataFrame, label: str) -> DataFrame:
     edges = ea.join(order.withColumnRenamed("seq", "b").withColumnRenamed("rank", "rb"), "b")
     # from here on nodes are their ranks, which carry the digest
     e = materialise(edges.select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).distinct(), label)
+    before = _content(e)
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -234,11 +277,12 @@ def components(nodes: DataFrame, links: DataFrame, label: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where(F.col("u") > F.col("v")).distinct()
         new = materialise(small, label)
-        same = new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty()
+        after = _content(new)
         release(e)
         e = new
-        if same:
+        if after == before:
             break
+        before = after
     roots = e.select(F.col("u.seq").alias("seq"), F.col("v").alias("root"))
     return order.join(roots, "seq", "left").select("seq", F.coalesce("root", "rank").alias("root"))
 
@@ -256,54 +300,90 @@ def near_duplicates(
     sig = materialise(signatures(docs, doc_id, text, shingle, permutations, rows), "minhash-signatures")
     # one representative for each word sequence; partial minimum in each task
     nodes = sig.where(F.col("seq").isNotNull()).groupBy("seq").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     nodes = materialise(nodes.withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "seq")), "minhash-classes")
-    entries = nodes.select("seq", "id", "n", "rank", F.posexplode("bands").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rank", "n")).alias("lead"))
-    shared = buckets.where(F.col("members") > 1).select("band", "key", F.col("lead.rank").alias("lead"), F.col("lead.n").alias("lead_n"))
-    # rows of buckets with two members or more, with the bucket's smallest member
-    member = materialise(
-        entries.select("band", "key", "rank", "n").join(shared, ["band", "key"]), "minhash-buckets"
+    entries = nodes.select("rank", "n", F.posexplode("bands").alias("band", "key"))
+    size = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    # rows of buckets with two members or more
+    member = materialise(entries.join(size, ["band", "key"]), "minhash-buckets")
+    meets = member.groupBy("rank").agg(F.sum(F.col("members") - 1).alias("meets"))
+    hub = (
+        member.join(meets, "rank")
+        .groupBy("band", "key")
+        .agg(F.min(F.struct((-F.col("meets")).alias("order"), "rank", "n")).alias("hub"))
+        .select("band", "key", F.col("hub.rank").alias("lead"), F.col("hub.n").alias("lead_n"))
     )
+    member = materialise(member.join(hub, ["band", "key"]), "minhash-hubs")
 
-    def as_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.select(
-            F.col(f"{a}.seq").alias("a"), F.col(f"{a}.id").alias("a_id"), F.col(f"{b}.seq").alias("b"), F.col(f"{b}.id").alias("b_id")
-        ).distinct()
-
-    def close(n: str, m: str):
+    def close(n: str, m: str) -> Column:
         """Sets of such sizes can reach the threshold at all."""
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    star = member.where((F.col("rank") != F.col("lead")) & close("n", "lead_n"))
-    first = materialise(confirmed(as_pairs(star, "lead", "rank"), docs, doc_id, text, shingle, percent), "minhash-links")
-    comp = materialise(components(nodes, first, "minhash-star"), "minhash-components")
+    def links(df: DataFrame, a: str, b: str) -> DataFrame:
+        pairs = df.select(
+            F.col(f"{a}.seq").alias("a"), F.col(f"{a}.id").alias("a_id"), F.col(f"{b}.seq").alias("b"), F.col(f"{b}.id").alias("b_id")
+        )
+        pairs = materialise(pairs.distinct(), "minhash-pairs")
+        found = materialise(confirmed(pairs, docs, doc_id, text, shingle, percent), "minhash-links")
+        release(pairs)
+        return found
+
+    def closed(found: DataFrame) -> DataFrame:
+        return materialise(components(nodes, found, "minhash-edges"), "minhash-components")
+
+    def placed() -> DataFrame:
+        """Members of buckets that hold several components, with their own."""
+        root = comp.select(F.col("seq").alias("__seq"), "root")
+        own = member.where(F.col("members") > 2).join(root, F.col("rank.seq") == F.col("__seq")).drop("__seq")
+        several = own.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
+        return own.join(several.select("band", "key"), ["band", "key"], "left_semi")
 
-    root = comp.select(F.col("seq").alias("__seq"), "root")
-    placed = member.join(root, F.col("rank.seq") == F.col("__seq")).drop("__seq")
+    star = member.where((F.col("rank") != F.col("lead")) & close("n", "lead_n"))
+    found = links(star, "lead", "rank")
+    comp = closed(found)
+    for turn in range(RANDOM_ROUNDS):
+        open_ = materialise(placed(), "minhash-open")
+        order = F.xxhash64(F.lit(turn), "band", F.col("rank.seq"))
+        pick = open_.groupBy("band", "key").agg(F.min(F.struct(order.alias("order"), "rank", "n", "root")).alias("p"))
+        met = open_.join(pick, ["band", "key"]).where(
+            (F.col("root") != F.col("p.root")) & close("n", "p.n") & (F.col("rank") != F.col("lead")) & (F.col("p.rank") != F.col("lead"))
+        )
+        more = links(met.select(F.col("p.rank").alias("o"), "rank"), "o", "rank")
+        release(open_)
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            comp = closed(found)
+
+    full = nodes.select(F.col("seq").alias("__seq"), "bands", "sketch")
     lead_root = comp.select(F.col("seq").alias("__seq"), F.col("root").alias("lead_root"))
-    placed = placed.join(lead_root, F.col("lead.seq") == F.col("__seq")).drop("__seq")
-    # the rest of a bucket: members outside the component of its smallest member
-    rest = placed.where((F.col("root") != F.col("lead_root")) & (F.col("rank") != F.col("lead"))).select(
-        "band", "key", F.col("rank").alias("o"), F.col("n").alias("o_n"), F.col("root").alias("o_root"), F.col("lead_root").alias("l_root")
+    open_ = placed().join(lead_root, F.col("lead.seq") == F.col("__seq")).drop("__seq").where(F.col("rank") != F.col("lead"))
+    open_ = materialise(open_.join(full, F.col("rank.seq") == F.col("__seq")).drop("__seq"), "minhash-open")
+    # the rest of a bucket: members outside the component of its hub
+    rest = open_.where(F.col("root") != F.col("lead_root")).select(
+        "band", "key", *[F.col(c).alias(f"o_{c}") for c in ("rank", "n", "root", "lead_root", "bands", "sketch")]
     )
-    other = placed.where(F.col("rank") != F.col("lead")).select("band", "key", "rank", "n", "root")
-    cross = rest.join(other, ["band", "key"]).where(
-        (F.col("root") != F.col("o_root"))
+    shared = F.zip_with("bands", "o_bands", lambda x, y: x == y)
+    cross = rest.join(
+        open_.select("band", "key", "rank", "n", "root", "bands", "sketch"),
+        (rest["band"] == open_["band"])
+        & (rest["key"] == open_["key"])
+        & (F.col("root") != F.col("o_root"))
         & close("n", "o_n")
         # two members of the rest meet once; one of the rest meets each of the others
-        & ((F.col("root") == F.col("l_root")) | (F.col("rank") < F.col("o")))
+        & ((F.col("root") == F.col("o_lead_root")) | (F.col("rank") < F.col("o_rank")))
+        & (sketch_agreement("sketch", "o_sketch", 2 * permutations) >= sketch_bound(2 * permutations, percent))
+        & (F.array_position(shared, True) == rest["band"] + 1),
     )
-    second = confirmed(as_pairs(cross, "rank", "o"), docs, doc_id, text, shingle, percent)
-    extra = materialise(second, "minhash-more-links")
-    release(member)
-    if not extra.isEmpty():
-        comp = materialise(components(nodes, first.unionByName(extra), "minhash-all"), "minhash-components")
-    found = comp.select("seq", F.col("root.id").alias("__root"))
+    more = links(cross, "rank", "o_rank")
+    release(open_, member)
+    if not more.isEmpty():
+        found = found.unionByName(more)
+        comp = closed(found)
+    roots = comp.select("seq", F.col("root.id").alias("__root"))
     return (
         sig.select("doc_id", "n_shingles", "seq")
-        .join(found, "seq", "left")
+        .join(roots, "seq", "left")
         .withColumn("component_id", F.when(F.col("seq").isNull(), F.col("doc_id")).otherwise(F.col("__root")))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
