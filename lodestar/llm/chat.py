@@ -14,8 +14,8 @@ that the output holds every turn. An example has
 Texts and roles can't forge marks. A control string (``<|turn|>``, ``<|end|>``,
 and those of other common templates) inside a text gets one backslash after its
 first character, and one that already has backslashes there gets one more;
-``unescaped`` takes one away. A line break in a role is written ``<\\n>``-escaped
-the same way. Everything else is left as it is.
+``unescaped`` takes one away. A line break in a role is written
+as ``\\n`` there, with backslashes doubled. Everything else is left as it is.
 
 Defined results: NULL role and NULL text count as empty; a NULL turn comes
 before all others; equal turns are ordered by role, then text, and repeated
@@ -34,7 +34,6 @@ TURN, END = "<|turn|>", "<|end|>"
 # template's marks and those of other public chat templates.
 CONTROL = "\\|turn\\|>|\\|end\\|>|\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|/?s>|</?SYS>>"
 SQUARE = "/?INST\\]"
-_FIND = f"<(\\\\*)({CONTROL})|\\[(\\\\*)({SQUARE})"
 
 
 def escaped(c: Column) -> Column:
@@ -53,9 +52,9 @@ def escaped_role(c: Column) -> Column:
 
 
 def unescaped_role(c: Column) -> Column:
-    # "\\n" must not be read inside "\\\\n": pairs of backslashes are set aside first
-    aside = F.replace(c, F.lit("\\\\"), F.lit("\u0000"))
-    back = F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    # a break is an n after an odd number of backslashes
+    breaks = F.regexp_replace(c, "(?<!\\\\)((?:\\\\\\\\)*)\\\\n", "$1\n")
+    back = F.replace(breaks, F.lit("\\\\"), F.lit("\\"))
     return unescaped(back)
 
 
@@ -120,7 +119,7 @@ def parse_turns(text: Column) -> Column:
     body = lambda p: F.substring(p, len(TURN) + 1, F.length(p) - len(TURN) - len(END) - 1)
 
     def split(p: Column) -> Column:
-        cut = F.instr(body(p), "\n") if False else F.locate("\n", body(p))
+        cut = F.locate("\n", body(p))
         return F.struct(
             unescaped_role(F.substring(body(p), F.lit(1), cut - 1)).alias("role"),
             unescaped(F.substring(body(p), cut + 1, F.length(body(p)))).alias("text"),

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from lodestar.llm import (  # noqa: F401
+    q_chat,
     q_decontam,
+    q_html,
     q_minhash,
+    q_mixing,
     q_sharding,
+    q_suffix,
+    q_tokens,
+    q_toxicity,
 )
 from lodestar.llm.registry import ORACLES, QUERIES
 
