@@ -53,7 +53,7 @@ BATCH = 256
 MIN_ROWS = 3  # rows of the sample that must hold a term
 MIN_Z = 4.0  # association of a term with the label, in standard deviations
 RATE = 0.2
-L1, L2 = 5e-6, 1e-4
+L1, L2 = 1e-6, 1e-2
 _WORDS = re.compile(r"[^\W\d_]+")
 _MEMO = 1 << 18
 
