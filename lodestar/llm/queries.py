@@ -8,6 +8,7 @@ from lodestar.llm import (  # noqa: F401
     q_html,
     q_minhash,
     q_mixing,
+    q_quality,
     q_sharding,
     q_suffix,
     q_tokens,

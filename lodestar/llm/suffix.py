@@ -3,12 +3,12 @@
 The classes of equal ``LENGTH``-byte suffix prefixes are found by sampling and
 induction, with sorted runs on disk in place of a suffix array in memory:
 
-1. Sample. Of the 32-byte grams in a window of 100 bytes the one with the
+1. Sample. Of the 44-byte grams in a window of 100 bytes the one with the
    smallest hash is the window's anchor, a choice that depends on the window's
    bytes only, so equal windows have equal anchors at equal places. An anchor
-   owns a run of window starts; about one position in 35 is an anchor. The
-   name of an anchor is a 96-bit hash of all bytes its windows cover and of its
-   place in them.
+   owns a run of window starts; about one position in 29 is an anchor. The
+   name of an anchor is a hash of all bytes its windows cover and of its place in
+   them; names are compared only where the grams' hashes agree.
 2. Names. Blocks of documents sort their anchors by name; the sorted runs go
    through Spark's shuffle (on disk, merged by key range), where anchors with the
    same gram meet. If an equal name starts earlier, all windows of the anchor
@@ -52,24 +52,28 @@ from lodestar.llm.common import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 100
-GRAM = 32
+GRAM = 44
 SEGMENT = 1 << 18  # window starts handled at a time
-BLOCK_BYTES = 16 << 20  # text sorted at a time
+BLOCK_BYTES = 8 << 20  # text sorted at a time
 PART_BYTES = 24 << 20  # text whose anchors make one part of the shuffle
 NO_ID = np.iinfo(np.int64).max
 
 NAMES, MARKS, WINDOWS, COVERED, OPEN = range(5)  # kinds of packed rows
-ANCHOR = [("g", "<u8"), ("f1", "<u8"), ("f2", "<u4"), ("id", "<i8"), ("dig", "<u4"), ("lo", "<u4"), ("len", "<u1")]
-MARK = [("g", "<u8")]
+ANCHOR = [("g", "<u4"), ("name", "<u8"), ("id", "<i8"), ("dig", "<u4"), ("lo", "<u4"), ("len", "<u1")]
+MARK = [("g", "<u4")]
 WINDOW = [("h1", "<u8"), ("h2", "<u4"), ("id", "<i8"), ("dig", "<u4"), ("lo", "<u4")]
 SPAN = [("id", "<i8"), ("dig", "<u4"), ("lo", "<u4"), ("hi", "<u4")]
 COLUMNS = {NAMES: ANCHOR, MARKS: MARK, WINDOWS: WINDOW, COVERED: SPAN, OPEN: SPAN}
+STEPPED = {"id", "lo"}  # stored as differences, which shrink well
 PACKED = "part int, kind int, payload binary"
 
 
 def pack(kind: int, cols: dict[str, np.ndarray], rows) -> bytes:
     """The chosen rows, column after column, compressed (sorted ids shrink well)."""
-    raw = b"".join(np.ascontiguousarray(cols[c][rows], t).tobytes() for c, t in COLUMNS[kind])
+    chosen = {c: np.ascontiguousarray(cols[c][rows], t) for c, t in COLUMNS[kind]}
+    for c in STEPPED & chosen.keys():
+        chosen[c] = np.diff(chosen[c], prepend=chosen[c].dtype.type(0))
+    raw = b"".join(chosen[c].tobytes() for c, _ in COLUMNS[kind])
     return struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -81,7 +85,8 @@ def unpack(kind: int, payloads: list[bytes]) -> dict[str, np.ndarray]:
         raw = pa.decompress(p[8:], size, "zstd", asbytes=True)
         n, at = size // width, 0
         for c, t in COLUMNS[kind]:
-            parts[c].append(np.frombuffer(raw, t, n, at))
+            x = np.frombuffer(raw, t, n, at)
+            parts[c].append(np.cumsum(x, dtype=t) if c in STEPPED else x)
             at += n * np.dtype(t).itemsize
     return {c: np.concatenate(parts[c]) if parts[c] else np.empty(0, t) for c, t in COLUMNS[kind]}
 
@@ -145,7 +150,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, ends: np.ndarray, hasher: Hasher) -> dict[str, np.ndarray]:
     """Anchors of the documents laid end to end in ``data``: first and last
-    owned window start (lo, hi), hash of the gram (g) and name (f1, f2)."""
+    owned window start (lo, hi), hash of the gram (g) and name."""
     found: list[tuple] = []
     span = LENGTH - GRAM + 1
     starts = len(data) - LENGTH + 1
@@ -170,13 +175,12 @@ def anchors(data: np.ndarray, ends: np.ndarray, hasher: Hasher) -> dict[str, np.
         new[1:] = (own[1:] != own[:-1]) | (p[1:] != p[:-1] + 1)
         first = np.flatnonzero(new)
         lo, hi, a = p[first], p[np.append(first[1:], len(p)) - 1], own[first]
-        s2 = hasher.sums(part, 1)
+        s2 = hasher.sums(part, 1)  # independent of the gram's hash
         place = ((a - lo) * 1000 + (hi - lo)).astype(np.uint64)
-        f1 = mixed(hasher.between(s1, lo, hi + LENGTH, 0) + place * np.uint64(0xA24BAED4963EE407))
-        f2 = (hasher.between(s2, lo, hi + LENGTH, 1) >> np.uint64(32)).astype(np.uint32)
-        found.append((lo + s, hi + s, gram[a], f1, f2))
-    cols = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, t) for t in ("i8", "i8", "u8", "u8", "u4")]
-    return dict(zip(("lo", "hi", "g", "f1", "f2"), cols))
+        name = mixed(hasher.between(s2, lo, hi + LENGTH, 1) + place * np.uint64(0xA24BAED4963EE407))
+        found.append((lo + s, hi + s, gram[a], name))
+    cols = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, t) for t in ("i8", "i8", "u8", "u8")]
+    return dict(zip(("lo", "hi", "g", "name"), cols))
 
 
 def window_names(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, hasher: Hasher) -> Iterator[tuple]:
@@ -297,27 +301,25 @@ def block_names(ids: np.ndarray, texts: list[bytes], hasher: Hasher, parts: int)
     if not len(a["lo"]):
         return
     doc = np.searchsorted(ends, a["lo"], "right")  # in the order of (id, digest)
-    order = np.lexsort((a["lo"], a["f2"], a["f1"]))
-    new = changes(a["f1"][order], a["f2"][order])
+    order = np.lexsort((a["lo"], a["name"], a["g"]))
+    new = changes(a["g"][order], a["name"][order])
     covered = [(doc[order[~new]], a["lo"][order[~new]], a["hi"][order[~new]] + LENGTH)]
     first = order[new]
-    first = first[np.argsort(a["g"][first], kind="stable")]
     g = a["g"][first]
     same = ~changes(g)
     many = same | np.append(same[1:], False)
     lone, open_ = np.sort(first[~many]), np.sort(first[many])
     cols = {
-        "g": a["g"][lone],
-        "f1": a["f1"][lone],
-        "f2": a["f2"][lone],
+        "g": a["g"][lone] >> np.uint64(32),
+        "name": a["name"][lone],
         "id": ids[doc[lone]],
         "dig": digs[doc[lone]],
         "lo": a["lo"][lone] - begins[doc[lone]],
         "len": a["hi"][lone] - a["lo"][lone],
     }
-    yield from packed_by(NAMES, cols, (cols["g"] % np.uint64(parts)).astype(np.int64))
-    marks = {"g": np.unique(g[many])}
-    yield from packed_by(MARKS, marks, (marks["g"] % np.uint64(parts)).astype(np.int64))
+    yield from packed_by(NAMES, cols, (a["g"][lone] % np.uint64(parts)).astype(np.int64))
+    marks = np.unique(g[many])
+    yield from packed_by(MARKS, {"g": marks >> np.uint64(32)}, (marks % np.uint64(parts)).astype(np.int64))
     held = Windows(parts)
     for who, at, h1, h2 in window_names(data, a["lo"][open_], a["hi"][open_], hasher):
         d = doc[open_][who]
@@ -332,10 +334,10 @@ def resolve_names(rows: dict[int, list[bytes]], parts: int) -> Iterator[tuple[in
     a, marks = unpack(NAMES, rows.get(NAMES, [])), np.unique(unpack(MARKS, rows.get(MARKS, []))["g"])
     if not len(a["g"]):
         return
-    order = np.lexsort((a["lo"], a["dig"], a["id"], a["f2"], a["f1"], a["g"]))
+    order = np.lexsort((a["lo"], a["dig"], a["id"], a["name"], a["g"]))
     a = {c: v[order] for c, v in a.items()}
     new_g = changes(a["g"])
-    new = new_g | changes(a["f1"], a["f2"])
+    new = new_g | changes(a["name"])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     other = (a["id"] != a["id"][lead]) | (a["dig"] != a["dig"][lead]) | (a["lo"] != a["lo"][lead])
     hi = a["lo"].astype(np.int64) + a["len"]
