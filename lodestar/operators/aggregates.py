@@ -20,9 +20,9 @@ from lodestar.operators.joins import maybe_broadcast, sessions_with_games
 
 
 def _avg_duration():
-    """AVG(session_duration) computed from exact microseconds (end - start;
-    NULL for open sessions, which AVG skips)."""
-    return avg_seconds(micros_between("start_time", "end_time"))
+    """AVG(session_duration) of the stored column (NULLs skipped), summed as
+    whole microseconds, so the order of the rows can't change it."""
+    return avg_seconds(F.round(F.col("session_duration").cast("double") * 1_000_000.0).cast("long"))
 
 
 def player_stats_one(sessions: DataFrame, player_id, as_of: str, days: int = 30) -> DataFrame:
@@ -79,19 +79,15 @@ def genre_stats(sessions: DataFrame, games: DataFrame) -> DataFrame:
     )
 
 
-def play_totals(history: DataFrame) -> DataFrame:
-    """A6 + A8 in one pass: total play time and sessions per known game type,
-    plus the poison flag of an explicit NULL duration."""
-    aggs = [F.sum("duration").alias("total_play_time")]
-    aggs += [F.count_if(F.col("game_type") == F.lit(t)).alias(f"n_{t}") for t in KNOWN_GAME_TYPES]
-    if "poison" in history.columns:
-        aggs.append(F.bool_or("poison").alias("poison"))
-    return history.groupBy("player_id").agg(*aggs)
+def exact_sum(col: str):
+    """Sum of a DOUBLE column as whole millionths, so that no order of the
+    rows moves it across a threshold."""
+    return (F.sum(F.round(F.col(col).cast("double") * 1_000_000.0).cast("long")) / F.lit(1_000_000.0))
 
 
 def total_play_time(players: DataFrame, history: DataFrame) -> DataFrame:
     """Total play time per player, 0 for an empty history."""
-    t = history.groupBy("player_id").agg(F.sum("duration").alias("total_play_time"))
+    t = history.groupBy("player_id").agg(exact_sum("duration").alias("total_play_time"))
     j = players.select("player_id").join(t, "player_id", "left")
     return j.select("player_id", F.coalesce("total_play_time", F.lit(0.0)).alias("total_play_time"))
 
@@ -115,53 +111,70 @@ def _splits_agg(buckets: int):
     return F.percentile_approx("value", F.array(*[F.lit(x) for x in fr]), 10 * buckets).alias("splits")
 
 
-def exact_quantiles(long: DataFrame, qs: list[float], buckets: int = 128, stats: list | None = None) -> DataFrame:
+def exact_quantiles(long: DataFrame, qs: list[float], buckets: int = 128, stats: list | None = None,
+                    small: int = 100_000) -> DataFrame:
     """Exact quantiles with linear interpolation (as ``percentile``) of
     ``value`` per ``column`` in a long (column, value) DataFrame, without
-    holding a column in one task.
-
-    1. per column: n and ``buckets - 1`` approximate split points (a
-       bounded sketch);
-    2. distinct (column, value) with multiplicities, bucketed by the splits,
-       and per-bucket counts (columns x buckets rows, collected);
-    3. only the buckets holding a wanted rank are ranked, each in its own
-       window partition, so one task sees about distinct / buckets values.
+    holding a column in one task and without shuffling its values.
+
+    1. per column: n and ``buckets - 1`` approximate split points (a bounded
+       sketch);
+    2. rows per (column, interval), counted in each task, so that only columns
+       x intervals rows are shuffled and collected;
+    3. an interval that holds a wanted rank and more than ``small`` rows is
+       narrowed: new split points of its values alone, and counts again;
+    4. the values of the intervals left, at most ``small`` rows or one value
+       each, are counted by value and ranked, one window partition an interval.
+
     ``stats`` may carry rows (column, n, splits) computed by the caller in
     the same pass as other statistics. Returns (column, q, value)."""
-    from lodestar.session import cut_lineage
-
     spark = long.sparkSession
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     st = stats if stats is not None else vals.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), _splits_agg(buckets)).collect()
-    st = [r for r in st if r["n"]]
-    if not st:
+    n_of = {r["column"]: int(r["n"]) for r in st if r["n"]}
+    if not n_of:
         return spark.createDataFrame([], "column string, q double, value double")
-    splits = {r["column"]: sorted(set(r["splits"])) for r in st}
-    n_of = {r["column"]: int(r["n"]) for r in st}
-    smap = F.create_map(*[x for c, sp in splits.items() for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in sp]))])
-    dv = vals.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    dv = dv.withColumn("b", F.size(F.filter(F.element_at(smap, F.col("column")), lambda x: x < F.col("value"))))
-    dv = cut_lineage(dv)  # distinct values with multiplicity: scanned and shuffled once, read twice
-    counts = {(r["column"], r["b"]): int(r["bn"]) for r in dv.groupBy("column", "b").agg(F.sum("cnt").alias("bn")).collect()}
-    # ranks wanted per column (0-based, rank lo and hi of each q)
-    want, offsets = [], {}
-    for c, n in n_of.items():
-        acc = 0
-        for b in range(len(splits[c]) + 1):
-            offsets[(c, b)] = acc
-            acc += counts.get((c, b), 0)
-        for q in qs:
-            pos = q * (n - 1)
-            for r in {int(pos // 1), int(-(-pos // 1))}:
-                b = max(k for k in range(len(splits[c]) + 1) if offsets[(c, k)] <= r and counts.get((c, k), 0))
-                want.append((c, b, r, offsets[(c, b)]))
-    wanted = spark.createDataFrame(want, "column string, b int, r long, off long")
-    cand = dv.join(F.broadcast(wanted.select("column", "b", "off").distinct()), ["column", "b"])
-    w = Window.partitionBy("column", "b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cand.withColumn("hi_r", F.col("off") + F.sum("cnt").over(w)).withColumn("lo_r", F.col("hi_r") - F.col("cnt"))
-    at = ranked.join(F.broadcast(wanted.select("column", "b", "r")), ["column", "b"]).where(
-        (F.col("r") >= F.col("lo_r")) & (F.col("r") < F.col("hi_r"))).select("column", "r", "value")
+    # open intervals (lo, hi] per column, the wanted ranks they hold and the rows before them
+    ranks = {c: sorted({r for q in qs for r in (int(q * (n - 1) // 1), int(-(-(q * (n - 1)) // 1)))}) for c, n in n_of.items()}
+    splits = {(r["column"], 0): sorted(set(r["splits"])) for r in st if r["n"]}
+    todo = {(c, 0): (None, None, ranks[c], 0) for c in n_of}
+    final: dict[tuple[str, int], tuple] = {}
+    serial = 0
+    while todo:
+        rows = _in_intervals(vals, todo)
+        if not splits:
+            splits = {(r["column"], r["iv"]): sorted(set(r["splits"])) for r in rows.groupBy("column", "iv").agg(_splits_agg(buckets)).collect()}
+        smap = F.create_map(*[x for (c, i), sp in splits.items() for x in (F.lit(f"{c}/{i}"), F.array(*[F.lit(float(v)) for v in sp]))])
+        at = F.element_at(smap, F.concat_ws("/", "column", "iv"))
+        b = F.size(F.filter(at, lambda x: x < F.col("value")))
+        counts: dict = {}
+        for r in rows.groupBy("column", "iv", b.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault((r["column"], r["iv"]), {})[r["b"]] = int(r["n"])
+        again = {}
+        for key, (lo, hi, want, before) in todo.items():
+            sp = splits.get(key, [])
+            for k in sorted(counts.get(key, {})):
+                n = counts[key][k]
+                held = [r for r in want if before <= r < before + n]
+                if held:
+                    serial += 1
+                    left = sp[k - 1] if k > 0 else lo
+                    right = sp[k] if k < len(sp) else hi
+                    one = right is not None and left is not None and left == right
+                    # one value (its interval starts just below it) or few rows: done
+                    done = n <= small or one or (left, right) == (lo, hi)
+                    (final if done else again)[(key[0], serial)] = (left, right, held, before)
+                before += n
+        todo, splits = again, {}
+    inside = _in_intervals(vals, final).groupBy("column", "iv", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    wanted = spark.createDataFrame([(c, i, r, before) for (c, i), (_, _, held, before) in final.items() for r in held],
+                                   "column string, iv int, r long, off long")
+    w = Window.partitionBy("column", "iv").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("upto", F.sum("cnt").over(w))
+    at = ranked.join(F.broadcast(wanted), ["column", "iv"]).where(  # a row a wanted rank
+        (F.col("r") >= F.col("off") + F.col("upto") - F.col("cnt")) & (F.col("r") < F.col("off") + F.col("upto"))
+    ).select("column", "r", "value")
     qrows = []
     for c, n in n_of.items():
         for q in qs:
@@ -174,6 +187,19 @@ def exact_quantiles(long: DataFrame, qs: list[float], buckets: int = 128, stats:
     return out.select("column", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
 
 
+def _in_intervals(vals: DataFrame, intervals: dict) -> DataFrame:
+    """Values inside the (lo, hi] intervals of their column, with the interval's number."""
+    pick = None
+    for (c, i), (lo, hi, *_rest) in intervals.items():
+        inside = F.col("column") == F.lit(c)
+        if lo is not None:
+            inside = inside & (F.col("value") > F.lit(float(lo)))
+        if hi is not None:
+            inside = inside & (F.col("value") <= F.lit(float(hi)))
+        pick = F.when(inside, F.lit(i)) if pick is None else pick.when(inside, F.lit(i))
+    return vals.withColumn("iv", pick).where(F.col("iv").isNotNull())
+
+
 def describe(df: DataFrame, cols: list[str], buckets: int = 128) -> DataFrame:
     """Long-form statistics, one row per column: count, nulls, mean,
     sample stddev, min, max and exact quartiles (linear interpolation).
@@ -224,14 +250,8 @@ def interaction_matrix(history: DataFrame) -> DataFrame:
 
 interactions = interaction_matrix  # A11 under its inventory name
 
-
-def session_seconds(sessions: DataFrame) -> DataFrame:
-    """S3 applied: recompute duration from start and end."""
-    return sessions.withColumn("seconds", seconds_between("start_time", "end_time"))
-
-
 __all__ = [
     "aggression", "daily_quality", "describe", "genre_counts", "genre_preference", "genre_stats",
-    "interaction_matrix", "list_players", "play_totals", "player_stats", "player_stats_one",
+    "interaction_matrix", "list_players", "player_stats", "player_stats_one",
     "total_play_time", "type_counts", "maybe_broadcast",
 ]

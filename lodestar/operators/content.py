@@ -63,17 +63,38 @@ def to_dense(vecs: DataFrame, key: str, dim: int) -> DataFrame:
         .alias("vec"))
 
 
+def dense_sides(user_vec: DataFrame, item_vec: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Player and item vectors in dense form, and their dimension (by default
+    the vocabulary actually used)."""
+    if dim is None:
+        dim = int(item_vec.agg(F.max("idx").alias("m")).first()["m"] or 0) + 1
+    return to_dense(user_vec, "player_id", dim), to_dense(item_vec, "game_id", dim), dim
+
+
 def content_recommend(user_vec: DataFrame, item_vec: DataFrame, owned: DataFrame | None, n: int = 10,
-                      dim: int | None = None) -> DataFrame:
+                      dim: int | None = None, blocked: DataFrame | None = None, min_score: float | None = None,
+                      games: DataFrame | None = None, per_genre: int | None = None) -> DataFrame:
     """M3: cosine(player, item) over items the player does not own, top
     ``n`` (score desc, item asc); only positive scores. Item vectors are
-    L2-normalised by M1. ``dim`` defaults to the vocabulary actually used."""
-    if dim is None:
-        dim = int(item_vec.agg(F.max("idx").alias("m")).first()["m"] or 0) + 1
-    users = to_dense(user_vec, "player_id", dim)
-    items = to_dense(item_vec, "game_id", dim)
+    L2-normalised by M1.
+
+    Rules act on all candidates, before the list is cut: ``blocked`` games
+    never compete, ``min_score`` is a floor, and with ``games`` (game_id,
+    genre_id) a list holds at most ``per_genre`` games of a genre."""
+    users, items, dim = dense_sides(user_vec, item_vec, dim)
+    if blocked is not None:
+        items = items.join(maybe_broadcast(blocked.select("game_id").distinct()), "game_id", "left_anti")
+    if per_genre is not None:
+        items = items.join(maybe_broadcast(games.select("game_id", "genre_id")), "game_id")
     own = owned.select("player_id", "game_id") if owned is not None else None
-    return dense_top_n(users, items, own, n=n, cosine=True, dim=dim)
+    out = dense_top_n(users, items, own, n=n, cosine=True, dim=dim, positive_only=True,
+                      group="genre_id" if per_genre is not None else None, per_group=per_genre)
+    return out if min_score is None else out.where(F.col("score") >= F.lit(min_score))
+
+
+def popular_vectors(sessions: DataFrame) -> DataFrame:
+    """(game_id, vec) with one dimension: the game's number of distinct players."""
+    return sessions.groupBy("game_id").agg(F.array(F.count_distinct("player_id").cast("double")).alias("vec"))
 
 
 def popular_items(sessions: DataFrame, n: int = 10) -> list[tuple[int, int]]:
@@ -87,19 +108,14 @@ def popular_items(sessions: DataFrame, n: int = 10) -> list[tuple[int, int]]:
 def cold_start(players: DataFrame, sessions: DataFrame, item_vec: DataFrame, as_of: str, days: int = 14,
                n: int = 10, dim: int | None = None) -> DataFrame:
     """M4: profile from the last ``days`` only (F3 -> M2 -> M3, weight =
-    sessions per game); players with nothing recent get the popularity list
-    (top games by distinct players). Output (player_id, game_id, score, rank,
+    sessions per game); players with nothing recent get the most popular
+    games (by distinct players; score = their number). Neither list holds a
+    game the player ever played. Output (player_id, game_id, score, rank,
     source)."""
+    owned = sessions.select("player_id", "game_id").distinct()
     recent = recently_played(sessions, as_of, days)
     inter = recent.select("player_id", "game_id", F.col("n_sessions").cast("double").alias("weight"))
-    warm = content_recommend(user_vectors(inter, item_vec), item_vec, inter, n, dim)
-    warm = warm.withColumn("source", F.lit("content"))
-    pop = popular_items(sessions, n)
-    lst = F.array(*[F.struct(F.lit(g).alias("game_id"), F.lit(float(c)).alias("score"), F.lit(i + 1).alias("rank"))
-                    for i, (g, c) in enumerate(pop)]) if pop else F.array().cast(
-        "array<struct<game_id:bigint,score:double,rank:int>>")
+    warm = content_recommend(user_vectors(inter, item_vec), item_vec, owned, n, dim)
     cold = players.select("player_id").join(recent.select("player_id").distinct(), "player_id", "left_anti")
-    cold = cold.select("player_id", F.explode(lst).alias("p")).select(
-        "player_id", F.col("p.game_id").cast("long").alias("game_id"), F.col("p.score").alias("score"),
-        F.col("p.rank").cast("int").alias("rank"), F.lit("popular").alias("source"))
-    return warm.unionByName(cold)
+    popular = dense_top_n(cold.withColumn("vec", F.array(F.lit(1.0))), popular_vectors(sessions), owned, n=n, dim=1)
+    return warm.withColumn("source", F.lit("content")).unionByName(popular.withColumn("source", F.lit("popular")))

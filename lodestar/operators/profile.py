@@ -42,13 +42,14 @@ def build_profiles(players: DataFrame, history: DataFrame, raw_col: str | None =
     # the player's plays. The final groupBy reuses that partitioning.
     has_poison = "poison" in history.columns
     pre = history.groupBy("player_id", "genre").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_seen"), F.sum("duration").alias("dur"),
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_seen"), F.sum(F.round(F.col("duration") * 1_000_000.0).cast("long")).alias("dur"),
         *[F.count_if(F.col("game_type") == F.lit(t)).alias(f"c_{t}") for t in KNOWN_GAME_TYPES],
         (F.bool_or("poison") if has_poison else F.lit(False)).alias("poison"))
     by_player = Window.partitionBy("player_id")
     ranked = pre.withColumn("rk", F.row_number().over(by_player.orderBy(F.col("n").desc(), F.col("first_seen"))))
     per = ranked.groupBy("player_id").agg(
-        F.sum("dur").alias("total_play_time"),
+        # whole millionths: the order of the rows can't move a total across a threshold
+        (F.sum("dur") / F.lit(1_000_000.0)).alias("total_play_time"),
         *[F.sum(f"c_{t}").alias(f"n_{t}") for t in KNOWN_GAME_TYPES],
         F.bool_or("poison").alias("poison"),
         F.array_sort(F.collect_list(F.when(F.col("rk") <= 3, F.struct("rk", "genre", "n")))).alias("_top"),
@@ -114,7 +115,9 @@ def add_players(store_players: DataFrame, store_recs: DataFrame, docs: DataFrame
     prof_in = players.join(touched, "player_id", "left_semi")
     profiles = build_profiles(prof_in, hist, raw_col="doc")
     new_recs = recommend_titles(touched, profiles)
-    kept = left_join(store_recs, touched, "player_id", "left_anti")
+    # NULL is a valid id here: its old list is replaced like any other
+    again = touched.select(F.col("player_id").alias("_touched"))
+    kept = store_recs.join(again, F.col("player_id").eqNullSafe(F.col("_touched")), "left_anti")
     return players, kept.unionByName(new_recs)
 
 

@@ -1,27 +1,24 @@
 """Exact top-N scoring of every player against every item by dot product.
 
 Scoring all (player, item) pairs is what content, factor and graph models
-need for "top N unseen items". Instead of materialising the pairs (a join
-that emits players x items rows), players stay partitioned by Spark and
-each task multiplies a batch of player vectors with the item matrix in
-numpy (``mapInPandas``), masks owned items, and emits only the top N per
-player - like ALS' blocked recommendForAll.
-
-The item matrix is broadcast only behind a size check
-(``MAX_ITEM_MATRIX_BYTES``); a larger catalogue is processed in item blocks
-that each fit the bound, and the per-block top N lists are merged with a
-group-limited top N (exact).
+need for "top N unseen items". The pairs are never materialised as rows:
+players and items are cut into blocks, and a task multiplies one player block
+with one item block in numpy (``cogroup``), masks owned items and emits only
+the top N of each player - the blocked product ALS itself uses. Both sides
+travel through the shuffle; neither passes the driver. The per-block lists of
+a player are merged with a group-limited top N (exact).
 
 Scores are quantised to ``SCORE_DIGITS`` decimals before ranking so float
 summation order cannot reorder ties; ties go to the smaller item id.
-Only items with a positive score are recommended.
+``positive_only`` keeps positive scores alone (cosine content scores, where 0
+means nothing in common); other models rank whatever the score's sign.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.ranking import top_n
@@ -36,25 +33,17 @@ except Exception:  # pragma: no cover - older cloudpickle
     pass
 
 SCORE_DIGITS = 9
-MAX_ITEM_MATRIX_BYTES = 256 * 1024 * 1024
+MAX_ITEM_BLOCK_BYTES = 64 * 1024 * 1024
+USERS_PER_BLOCK = 20_000
 USER_BATCH = 1024
 BLOCK_BYTES = 64 * 1024 * 1024
 
 OUT_SCHEMA = "player_id long, game_id long, score double, rank int"
 
 
-def _topn_rows(item_ids: np.ndarray, item_mat: np.ndarray, u: np.ndarray, owned, n: int):
-    """(row, item index, score, rank) of the top ``n`` per row of ``u``;
-    owned items and non-positive scores never qualify."""
-    s = np.round(u @ item_mat.T, SCORE_DIGITS)
-    lens = np.fromiter((0 if o is None else len(o) for o in owned), dtype=np.int64, count=len(owned))
-    if lens.sum():
-        flat = np.concatenate([np.asarray(o, dtype=np.int64) for o in owned if o is not None and len(o)])
-        rows = np.repeat(np.arange(len(owned)), lens)
-        cols = np.minimum(np.searchsorted(item_ids, flat), len(item_ids) - 1)
-        hit = item_ids[cols] == flat
-        s[rows[hit], cols[hit]] = -np.inf
-    s[~(s > 0)] = -np.inf
+def _ranked_rows(s: np.ndarray, n: int):
+    """(row, column, score) of the top ``n`` finite scores of each row, in
+    order: score descending, then column ascending."""
     m = s.shape[1]
     if m > n:
         kth = np.partition(s, m - n, axis=1)[:, m - n]
@@ -73,84 +62,194 @@ def _topn_rows(item_ids: np.ndarray, item_mat: np.ndarray, u: np.ndarray, owned,
     return r[sel], c[sel], sc[sel], rank[sel] + 1
 
 
-def _topn_batches(ids_bc, mat_bc, n: int, cosine: bool):
-    def run(batches):
-        item_ids, item_mat = ids_bc.value, mat_bc.value
+def _grouped_rows(s: np.ndarray, n: int, groups: np.ndarray, per_group: int):
+    """As ``_ranked_rows`` with at most ``per_group`` items of a group."""
+    best = np.full_like(s, -np.inf)
+    for g in np.unique(groups):
+        at = np.flatnonzero(groups == g)
+        r, c, sc, _ = _ranked_rows(s[:, at], per_group)
+        best[r, at[c]] = sc
+    return _ranked_rows(best, n)
+
+
+def _score_block(n: int, cosine: bool, positive_only: bool, per_group: int | None):
+    """Top ``n`` of one player block against one item block. The left side
+    holds the players' vectors and the block's owned pairs."""
+
+    def run(left: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        has = left["vec"].notna()
+        users = left[has].sort_values("player_id", kind="stable")
+        items = items.sort_values("game_id", kind="stable")
+        if not len(users) or not len(items):
+            return pd.DataFrame({"player_id": [], "game_id": [], "score": [], "rank": []})
+        ids, mat = items["game_id"].to_numpy(dtype=np.int64), np.stack(items["vec"].to_numpy()).astype(np.float64)
+        groups = pd.factorize(items["grp"], use_na_sentinel=False)[0] if per_group else None
+        uid = users["player_id"].to_numpy(dtype=np.int64)
+        owned = left[~has]
+        row = np.searchsorted(uid, owned["player_id"].to_numpy(dtype=np.int64))
+        col = np.searchsorted(ids, owned["game_id"].to_numpy(dtype=np.int64))
+        ok = (row < len(uid)) & (col < len(ids))
+        ok[ok] = (uid[row[ok]] == owned["player_id"].to_numpy(dtype=np.int64)[ok]) & (
+            ids[col[ok]] == owned["game_id"].to_numpy(dtype=np.int64)[ok])
+        row, col = row[ok], col[ok]
         # keep one score block near BLOCK_BYTES whatever the catalogue size
-        step = max(1, min(USER_BATCH, BLOCK_BYTES // max(1, 8 * len(item_ids))))
-        for pdf in batches:
-            for start in range(0, len(pdf), step):
-                part = pdf.iloc[start:start + step]
-                u = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                if cosine:
-                    norms = np.linalg.norm(u, axis=1, keepdims=True)
-                    u = np.divide(u, norms, out=np.zeros_like(u), where=norms > 0)
-                r, c, sc, rank = _topn_rows(item_ids, item_mat, u, part["owned"].to_numpy(), n)
-                if r.size:
-                    yield pd.DataFrame({
-                        "player_id": part["player_id"].to_numpy(dtype=np.int64)[r],
-                        "game_id": item_ids[c], "score": sc, "rank": rank.astype(np.int32)})
+        step = max(1, min(USER_BATCH, BLOCK_BYTES // max(1, 8 * len(ids))))
+        parts = []
+        for start in range(0, len(uid), step):
+            u = np.stack(users["vec"].iloc[start:start + step].to_numpy()).astype(np.float64)
+            if cosine:
+                norms = np.linalg.norm(u, axis=1, keepdims=True)
+                u = np.divide(u, norms, out=np.zeros_like(u), where=norms > 0)
+            s = np.round(u @ mat.T, SCORE_DIGITS)
+            mine = (row >= start) & (row < start + step)
+            s[row[mine] - start, col[mine]] = -np.inf
+            if positive_only:
+                s[~(s > 0)] = -np.inf
+            r, c, sc, rank = _ranked_rows(s, n) if groups is None else _grouped_rows(s, n, groups, per_group)
+            out = {"player_id": uid[start + r], "game_id": ids[c], "score": sc, "rank": rank.astype(np.int32)}
+            if per_group:
+                out["grp"] = items["grp"].to_numpy()[c]
+            parts.append(pd.DataFrame(out))
+        return pd.concat(parts, ignore_index=True)
 
     return run
 
 
-def _as_block(local: pd.DataFrame, dim: int):
-    local = local.sort_values("game_id", kind="stable")
-    ids = local["game_id"].to_numpy(dtype=np.int64)
-    mat = np.stack(local["vec"].to_numpy()).astype(np.float64) if len(local) else np.zeros((0, dim))
-    return ids, mat
+def _blocked(users: DataFrame, items: DataFrame, owned: DataFrame | None, dim: int, max_bytes: int):
+    """Both sides keyed by (player block, item block). An item goes to every
+    player block, a player to every item block, an owned pair to its own."""
+    spark = users.sparkSession
+    n_items = items.count()
+    item_blocks = max(1, -(-n_items * 8 * max(dim, 1) // max_bytes))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    user_blocks = max(-(-tasks // item_blocks), -(-users.count() // USERS_PER_BLOCK))
+    ub = F.pmod(F.xxhash64("player_id"), F.lit(user_blocks)).cast("int")
+    ib = F.pmod(F.xxhash64("game_id"), F.lit(item_blocks)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = users.select(F.col("player_id").cast("long"), F.col("vec").cast("array<double>"),
+                        F.lit(None).cast("long").alias("game_id"), ub.alias("ub"), every(item_blocks).alias("ib"))
+    if owned is not None:
+        pairs = owned.select(F.col("player_id").cast("long"), F.col("game_id").cast("long"))
+        left = left.unionByName(pairs.select("player_id", F.lit(None).cast("array<double>").alias("vec"), "game_id",
+                                             ub.alias("ub"), ib.alias("ib")))
+    right = items.withColumn("ib", ib).withColumn("ub", every(user_blocks))
+    return left, right, item_blocks
 
 
 def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n: int = 10,
-                cosine: bool = False, max_bytes: int = MAX_ITEM_MATRIX_BYTES, dim: int | None = None) -> DataFrame:
+                cosine: bool = False, max_bytes: int = MAX_ITEM_BLOCK_BYTES, dim: int | None = None,
+                positive_only: bool = False, group: str | None = None, per_group: int | None = None) -> DataFrame:
     """Top ``n`` items per player by (quantised) dot product.
 
-    users: (player_id, vec ARRAY<DOUBLE>); items: (game_id, vec ARRAY<DOUBLE>),
-    all vectors of length ``dim``; owned: (player_id, game_id) pairs to
-    exclude. Item vectors are used as given (normalise them for cosine); with
-    ``cosine`` the player vectors are L2-normalised.
-
-    The item matrix is broadcast only up to ``max_bytes``: at most
-    ``max_bytes / (8 dim)`` rows are ever fetched to the driver (one job). A
-    larger catalogue is cut into hash blocks that each fit the bound; every
-    block yields an exact per-block top ``n``, and the union is reduced to
-    the overall top ``n`` with a group-limited window: still exact, never a
-    players x items relation."""
+    users: (player_id, vec ARRAY<DOUBLE>); items: (game_id, vec ARRAY<DOUBLE>
+    and the ``group`` column, if any), all vectors of length ``dim``; owned:
+    (player_id, game_id) pairs to exclude. Item vectors are used as given
+    (normalise them for cosine); with ``cosine`` the player vectors are
+    L2-normalised. ``per_group`` limits how many items of one group a
+    player's list holds; the limit is applied to all unseen items, before the
+    top ``n``.
+
+    An item block holds about ``max_bytes`` of vectors, a player block up to
+    USERS_PER_BLOCK players; there are at least as many block pairs as tasks."""
     from lodestar.session import cut_lineage
 
     spark = users.sparkSession
+    items = items.select("game_id", "vec", F.col(group).alias("grp") if group else F.lit(None).cast("string").alias("grp"))
+    # both sides are counted, then sent to their blocks: compute them once
+    users, items = cut_lineage(users.select("player_id", "vec")), cut_lineage(items)
     if dim is None:
         first = items.select(F.size("vec").alias("d")).first()
         if first is None:
             return spark.createDataFrame([], OUT_SCHEMA)
         dim = int(first["d"])
-    cap = max(1, max_bytes // (8 * max(dim, 1)))
-    local = items.select("game_id", "vec").limit(cap + 1).toPandas()  # bounded by cap rows
-    if owned is not None:
-        lists = owned.groupBy("player_id").agg(F.array_sort(F.collect_set("game_id")).alias("owned"))
-        u = users.join(lists, "player_id", "left")
-    else:
-        u = users.withColumn("owned", F.lit(None).cast("array<long>"))
-    u = u.select(F.col("player_id").cast("long"), F.col("vec").cast("array<double>"), "owned")
-    # Scoring is CPU-heavy per row: spread players over a fixed number of
-    # tasks (an explicit count, which AQE does not coalesce into one task).
-    sc = spark.sparkContext
-    u = u.repartition(max(sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    if len(local) <= cap:
-        if local.empty:
-            return spark.createDataFrame([], OUT_SCHEMA)
-        ids, mat = _as_block(local, dim)
-        return u.mapInPandas(_topn_batches(sc.broadcast(ids), sc.broadcast(mat), n, cosine), OUT_SCHEMA)
-    n_items = items.count()
-    blocks = -(-n_items // cap) + 1  # hash blocks: leave room for uneven sizes
-    u = cut_lineage(u)  # read once per block
-    keyed = cut_lineage(items.select("game_id", "vec").withColumn("_blk", F.pmod(F.xxhash64("game_id"),
-                                                                                F.lit(blocks))))
-    parts = None
-    for b in range(blocks):
-        ids, mat = _as_block(keyed.where(F.col("_blk") == b).drop("_blk").toPandas(), dim)
-        if not len(ids):
-            continue
-        out = u.mapInPandas(_topn_batches(sc.broadcast(ids), sc.broadcast(mat), n, cosine), OUT_SCHEMA)
-        parts = out if parts is None else parts.unionByName(out)
-    return top_n(parts.drop("rank"), n).withColumn("rank", F.col("rank").cast("int"))
+    left, right, item_blocks = _blocked(users, items, owned, dim, max_bytes)
+    kind = dict(items.dtypes)["grp"]
+    schema = OUT_SCHEMA + (f", grp {kind}" if per_group else "")
+    scored = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(
+        _score_block(n, cosine, positive_only, per_group), schema)
+    if item_blocks > 1:
+        scored = scored.drop("rank")
+        if per_group:  # the limit again, over the blocks' lists
+            w = Window.partitionBy("player_id", "grp").orderBy(F.col("score").desc(), F.col("game_id").asc())
+            scored = scored.withColumn("_g", F.row_number().over(w)).where(F.col("_g") <= per_group).drop("_g")
+        scored = top_n(scored, n).withColumn("rank", F.col("rank").cast("int"))
+    return scored.select("player_id", "game_id", "score", "rank")
+
+
+def _blend_block(models: list[tuple[str, float, int, bool, bool]], n: int):
+    """Blend of several models over one player block and the whole catalogue:
+    each model's scores of all unseen items, scaled per player to [0, 1]."""
+
+    def run(left: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(items["game_id"].to_numpy(dtype=np.int64))
+        vecs = left[left["vec"].notna()]
+        uid = np.unique(vecs["player_id"].to_numpy(dtype=np.int64))
+        total = np.zeros((len(uid), len(ids)))
+        seen = np.zeros((len(uid), len(ids)), bool)
+        owned = left[left["vec"].isna()]
+        row = np.searchsorted(uid, owned["player_id"].to_numpy(dtype=np.int64))
+        col = np.searchsorted(ids, owned["game_id"].to_numpy(dtype=np.int64))
+        ok = (row < len(uid)) & (col < len(ids))
+        ok[ok] = (uid[row[ok]] == owned["player_id"].to_numpy(dtype=np.int64)[ok]) & (
+            ids[col[ok]] == owned["game_id"].to_numpy(dtype=np.int64)[ok])
+        any_score = np.zeros_like(seen)
+        for name, weight, _, cosine, positive in models:
+            u, i = vecs[vecs["model"] == name], items[items["model"] == name]
+            if not len(u) or not len(i):
+                continue
+            um, im = np.stack(u["vec"].to_numpy()).astype(np.float64), np.stack(i["vec"].to_numpy()).astype(np.float64)
+            if cosine:
+                norms = np.linalg.norm(um, axis=1, keepdims=True)
+                um = np.divide(um, norms, out=np.zeros_like(um), where=norms > 0)
+            s = np.full(total.shape, np.nan)
+            at = np.ix_(np.searchsorted(uid, u["player_id"].to_numpy(dtype=np.int64)),
+                        np.searchsorted(ids, i["game_id"].to_numpy(dtype=np.int64)))
+            s[at] = np.round(um @ im.T, SCORE_DIGITS)
+            s[row[ok], col[ok]] = np.nan
+            if positive:
+                s[~(s > 0)] = np.nan
+            has = ~np.isnan(s)
+            lo = np.where(has, s, np.inf).min(axis=1, keepdims=True)
+            hi = np.where(has, s, -np.inf).max(axis=1, keepdims=True)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scaled = np.where(hi == lo, 1.0, (s - lo) / (hi - lo))
+            total += np.where(has, weight * scaled, 0.0)
+            any_score |= has
+        s = np.where(any_score, np.round(total, SCORE_DIGITS), -np.inf)
+        r, c, sc, rank = _ranked_rows(s, n)
+        return pd.DataFrame({"player_id": uid[r], "game_id": ids[c], "score": sc, "rank": rank.astype(np.int32)})
+
+    return run
+
+
+def dense_blend_top_n(models: dict[str, dict], owned: DataFrame, n: int = 10) -> DataFrame:
+    """Top ``n`` of a weighted blend over full score lists.
+
+    ``models``: name -> {users, items, weight, cosine, positive_only}, users
+    and items as in ``dense_top_n`` (dimensions may differ between models).
+    Every model scores every unseen item; its scores are scaled per player
+    from their minimum and maximum over all of these, weighted and summed
+    (an item without a score of a model adds 0). A player block meets the
+    whole catalogue, as the scaling needs every item; a block is kept small
+    enough for its score matrices to stay near BLOCK_BYTES each."""
+    from lodestar.session import cut_lineage
+
+    users = items = None
+    spec = []
+    for name, m in models.items():
+        u = m["users"].select(F.lit(name).alias("model"), F.col("player_id").cast("long"), F.col("vec").cast("array<double>"))
+        i = m["items"].select(F.lit(name).alias("model"), F.col("game_id").cast("long"), F.col("vec").cast("array<double>"))
+        users, items = (u, i) if users is None else (users.unionByName(u), items.unionByName(i))
+        spec.append((name, float(m["weight"]), 0, bool(m.get("cosine")), bool(m.get("positive_only"))))
+    users, items = cut_lineage(users), cut_lineage(items)
+    spark = users.sparkSession
+    n_items = max(1, items.select("game_id").distinct().count())
+    n_users = users.select("player_id").distinct().count()
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(tasks, -(-n_users * 8 * n_items // BLOCK_BYTES))
+    ub = F.pmod(F.xxhash64("player_id"), F.lit(blocks)).cast("int").alias("ub")
+    left = users.select("model", "player_id", "vec", F.lit(None).cast("long").alias("game_id"), ub)
+    left = left.unionByName(owned.select(F.lit(None).cast("string").alias("model"), F.col("player_id").cast("long"),
+                                         F.lit(None).cast("array<double>").alias("vec"), F.col("game_id").cast("long"), ub))
+    right = items.withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.groupBy("ub").cogroup(right.groupBy("ub")).applyInPandas(_blend_block(spec, n), OUT_SCHEMA)

@@ -8,6 +8,8 @@ expressions: no UDF.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,25 +160,32 @@ def apply_history_defaults(history: DataFrame, raw_col: str | None = None) -> Da
     )
 
 
-def clean(df: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """V6: trim strings, empty -> NULL, drop rows with a NULL key, and keep
+def clean(df: DataFrame, keys: list[str], order_by: list[str] | None = None,
+          types: dict[str, str] | None = None) -> DataFrame:
+    """V6: trim strings, empty -> NULL, cast to the target ``types`` (a value
+    that does not parse becomes NULL), drop rows with a NULL key, and keep
     one row per key: the greatest by (``order_by``..., all other columns).
 
-    The dedupe is an aggregation (``max`` of a struct), so it combines
-    map-side and a key with millions of copies never meets in one buffer."""
+    The dedupe is an aggregation (``max_by`` of the row), so it combines
+    map-side and a key with millions of copies never meets in one buffer.
+    Columns that have no order (MAP, VARIANT) compare by their JSON text."""
     cleaned = df
     for name, kind in df.dtypes:
         if kind == "string":
             t = F.trim(F.col(name))
             cleaned = cleaned.withColumn(name, F.when(t != "", t))
+    for name, kind in (types or {}).items():
+        cleaned = cleaned.withColumn(name, F.col(name).try_cast(kind))
     for k in keys:
         cleaned = cleaned.where(F.col(k).isNotNull())
     order_by = list(order_by or [])
     rest = [c for c in df.columns if c not in keys and c not in order_by]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)], *[F.col(c) for c in rest])
-    best = cleaned.groupBy(*keys).agg(F.max(packed).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best._o{i}").alias(c) for i, c in enumerate(order_by)],
-                       *[F.col(f"_best.{c}") for c in rest]).select(*df.columns)
+    kinds = dict(cleaned.dtypes)
+    comparable = lambda c: F.to_json(F.col(c)) if re.search("map<|variant", kinds[c]) else F.col(c)
+    rank = F.struct(*[comparable(c).alias(f"_r{i}") for i, c in enumerate(order_by + rest)], F.lit(0).alias("_end"))
+    row = F.struct(*[F.col(c) for c in order_by + rest], F.lit(0).alias("_end"))
+    best = cleaned.groupBy(*keys).agg(F.max_by(row, rank).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in order_by + rest]).select(*df.columns)
 
 
 ID17_PATTERN = r"^[0-9]{17}$"

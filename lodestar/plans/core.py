@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from lodestar.operators import aggregates as A
 from lodestar.operators import filters as FL
 from lodestar.operators import joins as J
+from lodestar.operators import validate as V
 from lodestar.operators.ranking import leave_last_out, top_genres, top_n
 from lodestar.plans.registry import date_text, query, r6
 from lodestar.sources import fixtures as fx
 from lodestar.sources.fixtures import AS_OF, AS_OF_DATE, AS_OF_RECENT, with_ctes
 from lodestar.sources.tables import read_table
 
-# exact average of session seconds from integer microseconds (AVG skips NULL ends)
-AVG_US = "CAST(SUM(epoch_us(end_time) - epoch_us(start_time)) AS DOUBLE) / COUNT(end_time) / 1e6"
-AVG_US_S = "CAST(SUM(epoch_us(s.end_time) - epoch_us(s.start_time)) AS DOUBLE) / COUNT(s.end_time) / 1e6"
+# AVG(session_duration) of the column, summed as whole microseconds (NULLs skipped)
+AVG_US = "CAST(SUM(CAST(ROUND(session_duration * 1e6) AS BIGINT)) AS DOUBLE) / COUNT(session_duration) / 1e6"
+AVG_US_S = "CAST(SUM(CAST(ROUND(s.session_duration * 1e6) AS BIGINT)) AS DOUBLE) / COUNT(s.session_duration) / 1e6"
 
 # ---------------------------------------------------------------- sessions
 @query("game_sessions", ts=('start_time', 'end_time'), oracle=with_ctes("sessions") + """
@@ -235,3 +236,23 @@ SELECT player_id, game_id, weight FROM (
 def q_holdout_train(spark, d):
     train, _ = leave_last_out(fx.interactions(spark, d), k=2)
     return train.select("player_id", "game_id", "weight")
+
+
+@query("clean_typed", oracle="""
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, o_totalprice DESC, o_orderstatus DESC) AS rn
+  FROM (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey,
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_totalprice AS DOUBLE) END AS o_totalprice,
+    o_orderstatus FROM orders) x WHERE o_custkey IS NOT NULL) y WHERE rn = 1""")
+def q_clean_typed(spark, d):
+    """V6 with target types: text columns become numbers, what does not parse
+    becomes NULL, and the newest row per key stays."""
+    o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"])
+    text = o.select(
+        F.concat(F.lit(" "), F.col("o_orderkey").cast("string")).alias("o_orderkey"),
+        F.col("o_custkey").cast("string").alias("o_custkey"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+        F.concat("o_orderstatus", F.lit("  ")).alias("o_orderstatus"),
+    )
+    types = {"o_orderkey": "long", "o_custkey": "long", "o_totalprice": "double"}
+    return V.clean(text, ["o_custkey"], ["o_orderkey"], types)

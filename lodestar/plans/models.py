@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from lodestar.operators import content as C
 from lodestar.operators import models as M
 from lodestar.operators.evaluate import compare, evaluate
-from lodestar.operators.postprocess import apply_business_rules, diversify, explain
-from lodestar.operators.ranking import leave_last_out
-from lodestar.operators.scoring import SCORE_DIGITS, dense_top_n
+from lodestar.operators.joins import exclude_owned
+from lodestar.operators.postprocess import apply_business_rules, explain
+from lodestar.operators.ranking import leave_last_out, top_n
+from lodestar.operators.scoring import SCORE_DIGITS, dense_blend_top_n, dense_top_n
 from lodestar.plans.registry import query
+from lodestar.session import cut_lineage
 from lodestar.sources import fixtures as fx
 from lodestar.sources.fixtures import AS_OF_RECENT, with_ctes
 
@@ -46,7 +48,8 @@ def user_vec_ctes(inter: str, iv: str = "iv", name: str = "uv") -> list[tuple[st
     ]
 
 
-def content_rec_ctes(uv: str, iv: str, owned: str, n: int, name: str) -> list[tuple[str, str]]:
+def content_rec_ctes(uv: str, iv: str, owned: str, n: int | None, name: str) -> list[tuple[str, str]]:
+    """Ranked unseen games by cosine; all of them without ``n``."""
     return [
         (f"{name}_un", f"SELECT player_id, sqrt(SUM(weight * weight)) AS nrm FROM {uv} GROUP BY 1"),
         (f"{name}_sc", f"""SELECT u.player_id, v.game_id, ROUND(SUM(u.weight * v.weight) / MAX(un.nrm), {D}) AS score
@@ -55,25 +58,26 @@ def content_rec_ctes(uv: str, iv: str, owned: str, n: int, name: str) -> list[tu
         (name, f"""SELECT player_id, game_id, score, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY score DESC, game_id ASC) AS rank
             FROM {name}_sc s WHERE score > 0 AND NOT EXISTS (
-              SELECT 1 FROM {owned} o WHERE o.player_id = s.player_id AND o.game_id = s.game_id)) x
-            WHERE rank <= {n}"""),
+              SELECT 1 FROM {owned} o WHERE o.player_id = s.player_id AND o.game_id = s.game_id)) x"""
+         + (f" WHERE rank <= {n}" if n else "")),
     ]
 
 
 def _inter(spark, d):
-    return fx.interactions(spark, d)
+    """The interactions, built once: vectors, owned mask and split read the cut."""
+    return cut_lineage(fx.interactions(spark, d))
 
 
 def _r(c, digits=D):
     return F.round(c, digits).alias(c)
 
 
-def _content(spark, d, n=10):
+def _content(spark, d, n=10, **rules):
     games = fx.games(spark, d)
     inter = _inter(spark, d)
     iv, vocab = C.tfidf(games)
     uv = C.user_vectors(inter, iv)
-    return C.content_recommend(uv, iv, inter, n, dim=vocab.count()), iv, uv
+    return C.content_recommend(uv, iv, inter, n, dim=vocab.count(), **rules), iv, uv
 
 
 # ------------------------------------------------------------- M1 - M4
@@ -120,17 +124,20 @@ _COLD_EXTRA = [
     ("recent", f"""SELECT player_id, game_id, CAST(COUNT(*) AS DOUBLE) AS weight FROM sessions
         WHERE start_time > TIMESTAMP '{AS_OF_RECENT}' - INTERVAL 14 DAY GROUP BY player_id, game_id"""),
     *user_vec_ctes("recent", name="ruv"),
-    *content_rec_ctes("ruv", "iv", "recent", 10, "warm"),
-    ("pop", """SELECT game_id, n_players, row_number() OVER (ORDER BY n_players DESC, game_id ASC) AS rank FROM (
-        SELECT game_id, COUNT(DISTINCT player_id) AS n_players FROM sessions GROUP BY game_id) x
-        QUALIFY rank <= 10"""),
+    ("played", "SELECT DISTINCT player_id, game_id FROM sessions"),
+    *content_rec_ctes("ruv", "iv", "played", 10, "warm"),
+    ("pop", "SELECT game_id, COUNT(DISTINCT player_id) AS n_players FROM sessions GROUP BY game_id"),
+    ("cold", "SELECT player_id FROM players WHERE player_id NOT IN (SELECT player_id FROM recent)"),
+    ("popular", """SELECT player_id, game_id, score, rank FROM (SELECT c.player_id, p.game_id,
+        CAST(p.n_players AS DOUBLE) AS score, row_number() OVER (PARTITION BY c.player_id
+          ORDER BY p.n_players DESC, p.game_id ASC) AS rank FROM cold c, pop p WHERE NOT EXISTS (
+          SELECT 1 FROM played o WHERE o.player_id = c.player_id AND o.game_id = p.game_id)) x WHERE rank <= 10"""),
 ]
 
 
 @query("cold_start_recommendations", oracle=with_ctes("players", "sessions", "games", extra=tfidf_ctes() + _COLD_EXTRA)
        + """SELECT player_id, game_id, score, rank, 'content' AS source FROM warm
-UNION ALL SELECT p.player_id, pop.game_id, CAST(pop.n_players AS DOUBLE) AS score, pop.rank, 'popular' AS source
-FROM players p, pop WHERE p.player_id NOT IN (SELECT player_id FROM recent)""")
+UNION ALL SELECT player_id, game_id, score, rank, 'popular' AS source FROM popular""")
 def q_cold_start(spark, d):
     iv, _ = C.tfidf(fx.games(spark, d))
     out = C.cold_start(fx.players(spark, d), fx.game_sessions(spark, d), iv, AS_OF_RECENT, 14, 10)
@@ -138,32 +145,54 @@ def q_cold_start(spark, d):
 
 
 # --------------------------------------------------------------- R1 - R3
-_CONTENT20 = with_ctes("inter", extra=tfidf_ctes() + user_vec_ctes("inter")
-                       + content_rec_ctes("uv", "iv", "inter", 20, "crec"))
+_CONTENT_ALL = with_ctes("inter", extra=tfidf_ctes() + user_vec_ctes("inter")
+                         + content_rec_ctes("uv", "iv", "inter", None, "crec"))
 
 
-@query("business_rules", oracle=_CONTENT20 + """
+@query("business_rules", oracle=_CONTENT_ALL + """
 SELECT player_id, game_id, score, rank FROM (
   SELECT player_id, game_id, score, row_number() OVER (PARTITION BY player_id ORDER BY score DESC, game_id ASC) AS rank
   FROM crec c WHERE score >= 0.6 AND c.game_id NOT IN (SELECT game_id FROM games WHERE game_type = 'arcade')) x
 WHERE rank <= 10""")
 def q_business_rules(spark, d):
-    recs, _, _ = _content(spark, d, 20)
+    """R1 inside the candidate generation: all unseen, allowed games compete."""
     blocked = fx.games(spark, d).where(F.col("game_type") == "arcade").select("game_id")
-    out = apply_business_rules(recs, owned=fx.interactions(spark, d), blocked=blocked, min_score=0.6, n=10)
+    out, _, _ = _content(spark, d, blocked=blocked, min_score=0.6)
     return out.select("player_id", "game_id", "score", F.col("rank").cast("long"))
 
 
-@query("diversified", oracle=_CONTENT20 + """
+@query("owned_excluded", oracle=with_ctes("inter") + """,
+pop AS (SELECT game_id, n, row_number() OVER (ORDER BY n DESC, game_id ASC) AS place FROM (
+  SELECT game_id, COUNT(DISTINCT player_id) AS n FROM inter GROUP BY game_id) x),
+lists AS (SELECT p.player_id, pop.game_id, CAST(pop.n AS DOUBLE) AS score
+  FROM (SELECT DISTINCT player_id FROM inter) p, pop WHERE place <= 200)
+SELECT player_id, game_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY score DESC, game_id ASC) AS rank FROM lists l
+  WHERE NOT EXISTS (SELECT 1 FROM inter o WHERE o.player_id = l.player_id AND o.game_id = l.game_id)) x
+WHERE rank <= 10""")
+def q_owned_excluded(spark, d):
+    """J4 and R1 on lists that hold owned games: the 200 most popular games
+    (a top-k report) are offered to everyone, what a player owns is dropped."""
+    inter = _inter(spark, d)
+    offer = F.array(*[F.struct(F.lit(g).alias("game_id"), F.lit(float(n)).alias("score")) for g, n in C.popular_items(inter, 200)])
+    lists = inter.select("player_id").distinct().select("player_id", F.explode(offer).alias("p")).select("player_id", "p.*")
+    kept = exclude_owned(lists, inter)
+    return apply_business_rules(kept.withColumn("rank", F.lit(0)), n=10).select(
+        "player_id", F.col("game_id").cast("long"), "score", F.col("rank").cast("long"))
+
+
+@query("diversified", oracle=_CONTENT_ALL + """
 SELECT player_id, game_id, genre_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY score DESC, game_id ASC) AS rank FROM (
     SELECT c.player_id, c.game_id, g.genre_id, c.score, row_number() OVER (PARTITION BY c.player_id, g.genre_id
       ORDER BY c.score DESC, c.game_id ASC) AS gr FROM crec c JOIN games g ON c.game_id = g.game_id) x
   WHERE gr <= 2) y WHERE rank <= 10""")
 def q_diversified(spark, d):
-    recs, _, _ = _content(spark, d, 20)
-    out = diversify(recs, fx.games(spark, d), max_per_genre=2, n=10)
-    return out.select("player_id", "game_id", "genre_id", "score", F.col("rank").cast("long"))
+    """R2 inside the candidate generation: the genre limit acts on all unseen games."""
+    games = fx.games(spark, d)
+    recs, _, _ = _content(spark, d, games=games, per_genre=2)
+    return recs.join(games.select("game_id", "genre_id"), "game_id").select(
+        "player_id", "game_id", "genre_id", "score", F.col("rank").cast("long"))
 
 
 @query("explanations", oracle=_CONTENT10 + f""",
@@ -215,7 +244,7 @@ def _content_model(spark, d, train, n=10):
 
 
 def _popularity_model(spark, d, train, n=10):
-    pop = train.groupBy("game_id").agg(F.array(F.count_distinct("player_id").cast("double")).alias("vec"))
+    pop = C.popular_vectors(train)
     users = train.select("player_id").distinct().withColumn("vec", F.array(F.lit(1.0)))
     return dense_top_n(users, pop, train.select("player_id", "game_id"), n=n, dim=1)
 
@@ -247,6 +276,7 @@ def q_eval_popularity(spark, d):
 
 # ----------------------------------------------------- M5 - M8 (models)
 ALS_RANK, ALS_REG, ALS_ITER = 64, 0.1, 5
+NEURAL_POOL = 30  # list that the network re-ranks
 
 
 @query("als_recommendations")
@@ -258,29 +288,26 @@ def q_als(spark, d):
 
 @query("neural_rerank")
 def q_neural(spark, d):
-    inter = _inter(spark, d)
-    model = M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=5)
-    users, items = M.factors(model)
-    cands = M.als_recommend(model, inter, n=30)
-    mlp = M.neural_fit(inter, users, items, hidden=(128, 64), max_iter=10)
-    return M.neural_rerank(cands, mlp, users, items, n=10)
+    return _neural(_inter(spark, d))
 
 
 GRAPH_DIM = 4
 
 
-def _graph_init(spark, d):
-    from lodestar.session import cut_lineage
-
-    # the edge list feeds the degrees, both initial layers and the owned mask
-    edges = cut_lineage(fx.interactions(spark, d).select("player_id", "game_id"))
+def _graph_sides(inter):
+    edges = inter.select("player_id", "game_id")
     u0 = edges.select("player_id").distinct().withColumn("vec", M.hash_init("player_id", GRAPH_DIM, 11))
     i0 = edges.select("game_id").distinct().withColumn("vec", M.hash_init("game_id", GRAPH_DIM, 29))
     return edges, u0, i0
 
 
+def _graph_init(spark, d):
+    # the edge list feeds the degrees, both initial layers and the owned mask
+    return _graph_sides(_inter(spark, d))
+
+
 def _init_sql(col: str, salt: int) -> str:
-    return (f"(({col} * 2654435761 + (j + 1) * 40503 + {salt}) % 1000003) / 1000003.0 - 0.5")
+    return (f"((({col} % 1000003) * 2654435761 + (j + 1) * 40503 + {salt}) % 1000003) / 1000003.0 - 0.5")
 
 
 _GRAPH_CTES = [
@@ -320,56 +347,175 @@ def q_graph_embeddings(spark, d):
                       F.round("value", D).alias("value"))
 
 
-@query("graph_recommendations", oracle=with_ctes("inter", extra=_GRAPH_CTES + [
+_GRAPH_SCORES = [
     ("uc", " UNION ALL ".join(f"SELECT node, dim + {4 * l} AS dim, v FROM u{l}" for l in range(4))),
     ("ic", " UNION ALL ".join(f"SELECT node, dim + {4 * l} AS dim, v FROM i{l}" for l in range(4))),
     ("gsc", f"""SELECT u.node AS player_id, i.node AS game_id, ROUND(SUM(u.v * i.v), {D}) AS score
         FROM uc u JOIN ic i ON u.dim = i.dim GROUP BY 1, 2"""),
-]) + """SELECT player_id, game_id, score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY score DESC, game_id ASC) AS rank FROM gsc s
-  WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.player_id = s.player_id AND e.game_id = s.game_id)) x
-WHERE rank <= 10""")
+    ("grec", """SELECT player_id, game_id, score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY score DESC, game_id ASC) AS rank FROM gsc s
+        WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.player_id = s.player_id AND e.game_id = s.game_id)) x"""),
+]
+
+
+@query("graph_recommendations", oracle=with_ctes("inter", extra=_GRAPH_CTES + _GRAPH_SCORES)
+       + "SELECT player_id, game_id, score, rank FROM grec WHERE rank <= 10")
 def q_graph_recs(spark, d):
     edges, u0, i0 = _graph_init(spark, d)
     return M.graph_recommend(edges, u0, i0, layers=3, n=10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("blended_recommendations", oracle=_CONTENT20 + """,
+@query("blended_recommendations", oracle=_CONTENT_ALL + """,
 popc AS (SELECT game_id, CAST(COUNT(DISTINCT player_id) AS DOUBLE) AS pop FROM inter GROUP BY 1),
-prec AS (SELECT player_id, game_id, score FROM (SELECT u.player_id, p.game_id, p.pop AS score,
-    row_number() OVER (PARTITION BY u.player_id ORDER BY p.pop DESC, p.game_id ASC) AS rank
+prec AS (SELECT u.player_id, p.game_id, p.pop AS score
     FROM (SELECT DISTINCT player_id FROM inter) u, popc p WHERE NOT EXISTS (
-      SELECT 1 FROM inter o WHERE o.player_id = u.player_id AND o.game_id = p.game_id)) x WHERE rank <= 20),
-parts AS (SELECT player_id, game_id, score, 'content' AS model, 0.7 AS mw FROM crec
-  UNION ALL SELECT player_id, game_id, score, 'popularity' AS model, 0.3 AS mw FROM prec),
+      SELECT 1 FROM inter o WHERE o.player_id = u.player_id AND o.game_id = p.game_id)),
+parts AS (SELECT player_id, game_id, score, 'content' AS model, 0.7::DOUBLE AS mw FROM crec
+  UNION ALL SELECT player_id, game_id, score, 'popularity' AS model, 0.3::DOUBLE AS mw FROM prec),
 mm AS (SELECT player_id, model, MIN(score) AS lo, MAX(score) AS hi FROM parts GROUP BY 1, 2),
-bl AS (SELECT p.player_id, p.game_id, ROUND(SUM(p.mw * CASE WHEN mm.hi = mm.lo THEN 1.0
-    ELSE (p.score - mm.lo) / (mm.hi - mm.lo) END), 9) AS score
-  FROM parts p JOIN mm ON p.player_id = mm.player_id AND p.model = mm.model GROUP BY 1, 2)
+sc AS (SELECT p.player_id, p.game_id, p.model, p.mw * CASE WHEN mm.hi = mm.lo THEN 1.0::DOUBLE
+    ELSE (p.score - mm.lo) / (mm.hi - mm.lo) END AS s
+  FROM parts p JOIN mm ON p.player_id = mm.player_id AND p.model = mm.model),
+bl AS (SELECT player_id, game_id, ROUND(COALESCE(SUM(s) FILTER (model = 'content'), 0)
+    + COALESCE(SUM(s) FILTER (model = 'popularity'), 0), 9) AS score FROM sc GROUP BY 1, 2)
 SELECT player_id, game_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY player_id
   ORDER BY score DESC, game_id ASC) AS rank FROM bl) x WHERE rank <= 10""")
 def q_blend(spark, d):
+    """M8 over full score lists: every model scores every unseen game."""
     inter = _inter(spark, d)
-    content, _, _ = _content(spark, d, 20)
-    pop = _popularity_model(spark, d, inter, 20)
-    b = M.blend({"content": content, "popularity": pop}, {"content": 0.7, "popularity": 0.3}, n=10)
+    iv, vocab = C.tfidf(fx.games(spark, d))
+    users, items, _ = C.dense_sides(C.user_vectors(inter, iv), iv, vocab.count())
+    everyone = inter.select("player_id").distinct().withColumn("vec", F.array(F.lit(1.0)))
+    models = {
+        "content": {"users": users, "items": items, "weight": 0.7, "cosine": True, "positive_only": True},
+        "popularity": {"users": everyone, "items": C.popular_vectors(inter), "weight": 0.3},
+    }
+    b = dense_blend_top_n(models, inter, n=10)
     return b.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("model_comparison")
+# ------------------------------------------- learned models: invariants (SQL)
+# Factors and networks have no SQL form. What must hold of their lists has:
+# per player the number of games, no owned game, gapless ranks.
+def _lists_sql(owned: str) -> str:
+    return f""",
+cat AS (SELECT COUNT(DISTINCT game_id) AS n FROM {owned})
+SELECT player_id, LEAST(10, MAX(cat.n) - COUNT(DISTINCT game_id)) AS n_games, 0::BIGINT AS n_owned, true AS ranks_ok
+FROM {owned}, cat GROUP BY player_id"""
+
+
+def _list_checks(recs, owned):
+    """Per player of ``owned``: games listed, owned ones among them, ranks 1..n."""
+    own = owned.select("player_id", "game_id").withColumn("_o", F.lit(1))
+    per = recs.join(own, ["player_id", "game_id"], "left").groupBy("player_id").agg(
+        F.count_distinct("game_id").alias("n"), F.count("_o").alias("o"),
+        (F.sort_array(F.collect_list(F.col("rank").cast("int"))) == F.sequence(F.lit(1), F.count(F.lit(1)).cast("int"))).alias("r"))
+    return owned.select("player_id").distinct().join(per, "player_id", "left").select(
+        "player_id", F.coalesce("n", F.lit(0)).alias("n_games"), F.coalesce("o", F.lit(0)).alias("n_owned"),
+        F.coalesce("r", F.lit(True)).alias("ranks_ok"))
+
+
+@query("als_lists", oracle=with_ctes("inter") + _lists_sql("inter"))
+def q_als_lists(spark, d):
+    """M5: what must hold of the factor model's lists."""
+    inter = _inter(spark, d)
+    model = M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=ALS_ITER)
+    return _list_checks(M.als_recommend(model, inter, n=10), inter)
+
+
+@query("als_fit_quality", oracle=with_ctes("inter") + """
+SELECT COUNT(*) AS n_pairs, true AS better_than_mean FROM inter""")
+def q_als_quality(spark, d):
+    """M5: the factors explain the ratings better than their mean does."""
+    inter = _inter(spark, d)
+    users, items = M.factors(M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=ALS_ITER))
+    dot = F.aggregate(F.zip_with("uv", "iv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    e = inter.select("player_id", "game_id", F.log1p("weight").alias("r")).join(
+        users.withColumnRenamed("vec", "uv"), "player_id").join(items.withColumnRenamed("vec", "iv"), "game_id")
+    return e.agg(F.count(F.lit(1)).alias("n_pairs"),
+                 (F.avg(F.pow(F.col("r") - dot, 2)) < F.var_pop("r")).alias("better_than_mean"))
+
+
+@query("neural_lists", oracle=with_ctes("inter") + _lists_sql("inter"))
+def q_neural_lists(spark, d):
+    """M6: what must hold of the re-ranked lists."""
+    inter = _inter(spark, d)
+    return _list_checks(_neural(inter, n=10), inter)
+
+
+def _neural(inter, n=10, pool=NEURAL_POOL):
+    """Factors, network and re-ranked lists. ``pool`` is the size of the list
+    that is re-ranked (the stage's parameter: a network re-ranks candidates)."""
+    model = M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=5)
+    users, items = (cut_lineage(x) for x in M.factors(model))
+    cands = M.als_recommend(model, inter, n=pool)
+    mlp = M.neural_fit(inter, users, items, hidden=(128, 64), max_iter=10)
+    return M.neural_rerank(cands, mlp, users, items, n=n)
+
+
+@query("hybrid_lists", oracle=with_ctes("inter") + _lists_sql("inter"))
+def q_hybrid_lists(spark, d):
+    """M8 over the four models: content, factors and graph score every unseen
+    game, the network's probabilities join for the games it re-ranked."""
+    inter = _inter(spark, d)
+    iv, vocab = C.tfidf(fx.games(spark, d))
+    cu, ci, _ = C.dense_sides(C.user_vectors(inter, iv), iv, vocab.count())
+    au, ai = M.factors(M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=5))
+    edges, u0, i0 = _graph_sides(inter)
+    us, its = M.propagate(edges, u0, i0, layers=3, dim=GRAPH_DIM)
+    dense = dense_blend_top_n({
+        "content": {"users": cu, "items": ci, "weight": 0.4, "cosine": True, "positive_only": True},
+        "pmf_als": {"users": au, "items": ai, "weight": 0.4},
+        "graph": {"users": M.concat_layers(us, "player_id"), "items": M.concat_layers(its, "game_id"), "weight": 0.2},
+    }, inter, n=NEURAL_POOL)
+    b = M.blend({"dense": dense, "neural": _neural(inter, n=NEURAL_POOL)}, {"dense": 0.75, "neural": 0.25}, n=10)
+    return _list_checks(b, inter)
+
+
+_COMPARED = ["content", "popularity", "graph"]
+
+
+def _compare_sql() -> str:
+    """One metrics row for each deterministic model."""
+    rows = {"content": "crec", "popularity": "prec", "graph": "grec"}
+    parts = [f"SELECT '{m}' AS model, x.* FROM (" + _eval_sql(rows[m]).replace(",\nnt AS", "WITH nt AS", 1) + ") x" for m in _COMPARED]
+    return " UNION ALL ".join(parts)
+
+
+_TRAIN_GRAPH = [(n, q.replace("FROM inter", "FROM train")) for n, q in _GRAPH_CTES + _GRAPH_SCORES]
+
+
+@query("model_comparison", oracle=with_ctes("games", "inter", extra=_SPLIT + tfidf_ctes() + user_vec_ctes("train")
+       + content_rec_ctes("uv", "iv", "train", 10, "crec") + _TRAIN_GRAPH + [
+    ("popc", "SELECT game_id, CAST(COUNT(DISTINCT player_id) AS DOUBLE) AS pop FROM train GROUP BY 1"),
+    ("prec", """SELECT player_id, game_id, score, rank FROM (SELECT u.player_id, p.game_id, p.pop AS score,
+        row_number() OVER (PARTITION BY u.player_id ORDER BY p.pop DESC, p.game_id ASC) AS rank
+        FROM (SELECT DISTINCT player_id FROM train) u, popc p WHERE NOT EXISTS (
+          SELECT 1 FROM train o WHERE o.player_id = u.player_id AND o.game_id = p.game_id)) x WHERE rank <= 10"""),
+]) + _compare_sql())
 def q_compare(spark, d):
+    """EV4 over the models that SQL can compute as well."""
     train, test = _split(spark, d)
-    model = M.als_fit(train, rank=16, reg=ALS_REG, max_iter=5)
-    from lodestar.session import cut_lineage
-
-    edges = cut_lineage(train.select("player_id", "game_id"))
-    u0 = edges.select("player_id").distinct().withColumn("vec", M.hash_init("player_id", GRAPH_DIM, 11))
-    i0 = edges.select("game_id").distinct().withColumn("vec", M.hash_init("game_id", GRAPH_DIM, 29))
+    train, test = cut_lineage(train), cut_lineage(test)
+    edges, u0, i0 = _graph_sides(train)
     models = {
         "content": _content_model(spark, d, train),
         "popularity": _popularity_model(spark, d, train),
-        "pmf_als": M.als_recommend(model, train, n=10),
         "graph": M.graph_recommend(edges, u0, i0, layers=3, n=10),
     }
     out = compare(models, test, 10)
     return out.select("model", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "hit_rate", "ndcg")], "n_players")
+
+
+@query("learned_model_comparison", oracle=with_ctes("inter", extra=_SPLIT) + """
+SELECT model, COUNT(DISTINCT player_id) AS n_players, true AS in_range
+FROM test, (SELECT unnest(['pmf_als', 'neural']) AS model) m GROUP BY model""")
+def q_compare_learned(spark, d):
+    """EV4 over the learned models: the metrics are there and in range."""
+    train, test = _split(spark, d)
+    train, test = cut_lineage(train), cut_lineage(test)
+    model = M.als_fit(train, rank=16, reg=ALS_REG, max_iter=5)
+    models = {"pmf_als": M.als_recommend(model, train, n=10), "neural": _neural(train)}
+    m = compare(models, test, 10)
+    ok = [F.col(c).between(0.0, 1.0) for c in ("precision_at_k", "hit_rate", "ndcg")]
+    return m.select("model", "n_players", (ok[0] & ok[1] & ok[2] & (F.col("hit_rate") >= F.col("precision_at_k"))).alias("in_range"))

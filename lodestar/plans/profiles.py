@@ -303,3 +303,32 @@ def q_missing_recs(spark, d):
 
 
 __all__ = ["ORACLE_CTES", "profile_ctes", "titles_select"]
+
+
+# P3 on a store that holds lists already: a second batch (every third document)
+# over another history replaces what it touches, the NULL id included.
+_P3_AGAIN = [(n, f"SELECT * FROM ({q}) AS _d WHERE doc_seq % 3 = 0" if n == "docs"
+              else q + " WHERE genre <> 'action'" if n == "hs" else q) for n, q in _P3_EXTRA]
+ADD_AGAIN_SQL = with_ctes("history", extra=_P3_AGAIN + profile_ctes("hs", "people")) + titles_select("touched")
+_TOUCHED_AGAIN = with_ctes(extra=_P3_AGAIN[:2]) + "SELECT DISTINCT player_id FROM adm"
+
+
+@query("add_players_again", oracle=f"""
+SELECT a.* FROM ({ADD_PLAYERS_SQL}) a WHERE NOT EXISTS (
+  SELECT 1 FROM ({_TOUCHED_AGAIN}) t WHERE t.player_id IS NOT DISTINCT FROM a.player_id)
+UNION ALL SELECT b.* FROM ({ADD_AGAIN_SQL}) b""")
+def q_add_players_again(spark, d):
+    """P3 twice over one stored store (IO3, IO4): lists of players that the
+    second batch does not name are kept, the others are replaced."""
+    import uuid
+
+    from lodestar.session import scratch_path
+    from lodestar.sources.tables import read_store, write_store
+
+    path = scratch_path(spark, f"io/store-{uuid.uuid4().hex}")
+    write_store(*_p3(spark, d), path)
+    docs = fx.player_documents(spark, d).where(F.col("doc_seq") % 3 == 0)
+    history = V.apply_history_defaults(fx.game_history(spark, d)).where(F.col("genre") != "action")
+    write_store(*add_players(*read_store(spark, path), docs, history), path)
+    _, recs = read_store(spark, path)
+    return _long(recs)

@@ -70,11 +70,54 @@ def q_stream_upsert(spark, d):
     docs = o.select(F.concat(F.lit('{"player_id": '), F.col("o_custkey"), F.lit(', "order": '),
                              F.col("o_orderkey"), F.lit("}")).alias("value"), "o_orderkey")
     # land the documents as files in key order, one directory per key range (the arrival order)
-    n = docs.agg(F.max("o_orderkey").alias("m")).first()["m"] or 0
-    step = max(int(n) // 4 + 1, 1)
-    for i in range(4):
-        part = docs.where((F.col("o_orderkey") >= i * step) & (F.col("o_orderkey") < (i + 1) * step))
-        part.select("value").coalesce(1).write.mode("overwrite").text(f"{base}/landing/{i:03d}")
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{base}/landing/*")
+    _land(docs, "o_orderkey", f"{base}/landing")
+    stream = spark.readStream.option("maxFilesPerTrigger", 4).text(f"{base}/landing/*")
     ST.upsert_documents_stream(stream, f"{base}/store", f"{base}/ckpt", order="$.order")
     return ST.latest_documents(spark, f"{base}/store").select("player_id", "doc")
+
+
+def _land(docs, order, path, parts=4):
+    """Documents as text files, one directory per range of ``order``."""
+    n = docs.agg(F.max(order).alias("m")).first()["m"] or 0
+    step = max(int(n) // parts + 1, 1)
+    for i in range(parts):
+        part = docs.where((F.col(order) >= i * step) & (F.col(order) < (i + 1) * step))
+        part.select("value").write.mode("overwrite").text(f"{path}/{i:03d}")
+
+
+@query("stream_upserted_default_order", oracle="""
+WITH b AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS player_id FROM orders),
+late AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS player_id FROM orders WHERE o_custkey % 2 = 0)
+SELECT b.player_id, '{"player_id": ' || b.player_id || ', "batch": ' || CASE WHEN late.player_id IS NULL THEN 0 ELSE 1 END || '}' AS doc
+FROM b LEFT JOIN late ON b.player_id = late.player_id""")
+def q_stream_upsert_default(spark, d):
+    """Without an order field the later batch wins: the first arrives in many
+    files and partitions, the second in a few."""
+    base = scratch_path(spark, f"streams/late-{uuid.uuid4().hex}")
+    o = fx.read_table(spark, d, "orders", ["o_custkey"]).distinct()
+    doc = lambda b: F.concat(F.lit('{"player_id": '), F.col("o_custkey"), F.lit(f', "batch": {b}}}')).alias("value")
+    o.select(doc(0)).repartition(6).write.text(f"{base}/landing/0")
+
+    def run():
+        ST.upsert_documents_stream(spark.readStream.text(f"{base}/landing/*"), f"{base}/store", f"{base}/ckpt")
+
+    run()
+    o.where(F.col("o_custkey") % 2 == 0).select(doc(1)).coalesce(2).write.text(f"{base}/landing/1")
+    run()
+    return ST.latest_documents(spark, f"{base}/store").select("player_id", "doc")
+
+
+@query("stream_session_table", ts=('start_time',), oracle=with_ctes("sessions") + """
+SELECT session_id, player_id, game_id, start_time, strftime(CAST(start_time AS DATE), '%Y-%m-%d') AS start_date FROM sessions""")
+def q_stream_session_table(spark, d):
+    """ST1 on the domain's sessions: JSON records through V1 into the IO5
+    table; some are delivered twice."""
+    base = scratch_path(spark, f"streams/sessions-{uuid.uuid4().hex}")
+    s = fx.game_sessions(spark, d).select(F.to_json(F.struct(
+        "session_id", "player_id", "game_id", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("start_time"))).alias("value"), "session_id")
+    _land(s, "session_id", f"{base}/landing", 2)
+    s.where(F.col("session_id") % 5 == 0).select("value").write.text(f"{base}/landing/again")
+    stream = spark.readStream.option("maxFilesPerTrigger", 8).text(f"{base}/landing/*")
+    ST.sessions_to_table_stream(stream, f"{base}/table", f"{base}/ckpt")
+    back = spark.read.parquet(f"{base}/table")
+    return back.select("session_id", "player_id", "game_id", "start_time", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"))

@@ -60,13 +60,26 @@ STORE_SCHEMA = T.StructType(
 )
 
 
-def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """IO3: (players(player_id, doc), recommendations(player_id, recommendations)).
+def _store_versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions of a store, oldest first (``version=N`` folders
+    whose write has finished)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    found = [int(n.split("=")[1]) for n in names if n.startswith("version=") and n.split("=")[1].isdigit()]
+    done = [v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS"))]
+    return sorted(done)
+
 
-    A missing store is an empty one.
-    """
-    if path_exists(spark, path):
-        store = spark.read.schema(STORE_SCHEMA).json(path)
+def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """IO3: (players(player_id, doc), recommendations(player_id, recommendations))
+    of the newest committed version. A missing store is an empty one."""
+    versions = _store_versions(spark, path)
+    if versions:
+        store = spark.read.schema(STORE_SCHEMA).json(f"{path}/version={versions[-1]}")
     else:
         store = spark.createDataFrame([], STORE_SCHEMA)
     players = store.where(F.col("doc").isNotNull()).select("player_id", "doc")
@@ -74,12 +87,24 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return players, recs
 
 
-def write_store(players: DataFrame, recs: DataFrame, path: str) -> None:
-    """IO4: write the store; Spark's JSON writer keeps non-ASCII text as UTF-8."""
-    joined = players.select("player_id", "doc").join(
-        recs.select("player_id", "recommendations"), "player_id", "full_outer"
-    )
-    joined.write.mode("overwrite").option("encoding", "UTF-8").json(path)
+def write_store(players: DataFrame, recs: DataFrame, path: str, keep: int = 2) -> None:
+    """IO4: write the store as a new version; Spark's JSON writer keeps
+    non-ASCII text as UTF-8. The version that was read stays in place until
+    the new one is committed, so rows may come from the same store and a
+    failed write loses nothing; the newest ``keep`` versions remain. NULL is
+    an id like any other (one row)."""
+    spark = players.sparkSession
+    p = players.select(F.col("player_id").alias("_pid"), "doc")
+    r = recs.select(F.col("player_id").alias("_rid"), "recommendations")
+    joined = p.join(r, F.col("_pid").eqNullSafe(F.col("_rid")), "full_outer").select(
+        F.coalesce("_pid", "_rid").alias("player_id"), "doc", "recommendations")
+    versions = _store_versions(spark, path)
+    new = (versions[-1] if versions else 0) + 1
+    joined.write.mode("overwrite").option("encoding", "UTF-8").json(f"{path}/version={new}")
+    jvm = spark.sparkContext._jvm
+    for old in [v for v in versions if v <= new - keep]:
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 SESSION_COLUMNS = ["session_id", "player_id", "game_id", "start_time"]

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lodestar.operators.sessions import sessionize_stream
 from lodestar.operators.validate import admit
+from lodestar.sources.tables import append_sessions, path_exists
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -56,16 +57,12 @@ def daily_quality_stream(events: DataFrame, watermark: str = "1 hour", click: st
     """ST2: per day count, avg click rate and avg conversion rate, emitted in
     append mode once the watermark passes the day's end; rows later than the
     watermark are dropped."""
-    r = events.select(
+    rates = events.select(
         F.col("ts").alias("created_at"),
         F.when(F.col("event_type") == click, 1.0).otherwise(0.0).alias("click_rate"),
         F.when(F.col("event_type") == conversion, 1.0).otherwise(0.0).alias("conversion_rate"),
-    ).withWatermark("created_at", watermark)
-    return r.groupBy(F.window("created_at", "1 day").alias("w")).agg(
-        F.count(F.lit(1)).alias("total_recommendations"),
-        F.avg("click_rate").alias("avg_click_rate"),
-        F.avg("conversion_rate").alias("avg_conversion"),
-    ).select(F.to_date("w.start").alias("date"), "total_recommendations", "avg_click_rate", "avg_conversion")
+    )
+    return quality_log_stream(rates, watermark)
 
 
 def sessions_stream(events: DataFrame, gap: str = "12 hours", watermark: str = "1 hour") -> DataFrame:
@@ -87,44 +84,114 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append
     q.awaitTermination()
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a streaming query keeps across restarts of one checkpoint."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def _run_number(spark: SparkSession, store: str, run_id: str) -> int:
+    """Runs (checkpoints) that write to a store log are numbered as they come."""
+    if not path_exists(spark, store):
+        return 1
+    runs = {r["run_id"]: r["run"] for r in spark.read.parquet(store).select("run", "run_id").distinct().collect()}
+    return runs.get(run_id, max(runs.values(), default=0) + 1)
+
+
 def upsert_documents_stream(docs: DataFrame, store: str, checkpoint: str, raw_col: str = "value",
                             order: str | None = None) -> None:
     """ST1 (documents side): admitted documents (V3) are appended to the
-    store log, partitioned by batch id; ``lodestar.operators.validate.
-    upsert_players`` / ``latest_documents`` give the current document per
-    player (V8) when read. A replayed batch overwrites its own partition.
-    ``order`` is a JSON path of a document field that orders updates; by
-    default arrival order (batch id, then position) decides."""
+    store log; ``latest_documents`` gives the current document per player (V8).
+
+    The log is partitioned by run (one per checkpoint) and batch: a replayed
+    batch overwrites its own partition, and a new checkpoint, whose batches
+    count from 0 again, writes beside the old ones. ``order`` is a JSON path
+    of a document field that orders updates; ties, and everything by default,
+    go by arrival (run, batch, position in the batch)."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run_id = _query_id(spark, checkpoint)
         adm = admit(batch.withColumnRenamed(raw_col, "raw"), "raw")
-        seq = (F.get_json_object("raw", order).cast("long") if order
-               else F.lit(batch_id) * F.lit(1 << 32) + F.monotonically_increasing_id())
-        out = adm.select("player_id", F.col("raw").alias("doc"), seq.alias("seq"), F.lit(batch_id).alias("batch_id"))
+        seq = F.get_json_object("raw", order).cast("long") if order else F.lit(None).cast("long")
+        out = adm.select("player_id", F.col("raw").alias("doc"), seq.alias("seq"),
+                         F.monotonically_increasing_id().alias("pos"),
+                         F.lit(_run_number(spark, store, run_id)).cast("long").alias("run"),
+                         F.lit(run_id).alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(store))
+         .partitionBy("run", "run_id", "batch_id").parquet(store))
 
     q = (docs.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+_ARRIVAL = ("seq", "run", "batch_id", "pos")
+
+
 def latest_documents(spark: SparkSession, store: str) -> DataFrame:
-    """Current document per player from the store log (greatest seq wins,
-    aggregated map-side)."""
+    """Current document per player from the store log: the greatest seq (none
+    is smallest), then the latest arrival; aggregated map-side."""
     log = spark.read.parquet(store)
-    best = log.groupBy("player_id").agg(F.max_by(F.struct("doc", "seq"), F.col("seq")).alias("_r"))
+    rank = F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit(-(2**63))).alias(c) for c in _ARRIVAL])
+    best = log.groupBy("player_id").agg(F.max_by(F.struct("doc", "seq"), rank).alias("_r"))
     return best.select("player_id", F.col("_r.doc").alias("doc"), F.col("_r.seq").alias("seq"))
 
 
+def compact_documents(spark: SparkSession, store: str, target: str) -> None:
+    """Write the log's winning entries (with their arrival) as a new log, so
+    reads no longer grow with the number of updates."""
+    log = spark.read.parquet(store)
+    rank = F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit(-(2**63))).alias(c) for c in _ARRIVAL])
+    cols = [c for c in log.columns if c != "player_id"]
+    best = log.groupBy("player_id").agg(F.max_by(F.struct(*cols), rank).alias("_r"))
+    best.select("player_id", "_r.*").write.partitionBy("run", "run_id", "batch_id").parquet(target)
+
+
+def sessions_to_table_stream(records: DataFrame, table: str, checkpoint: str, raw_col: str = "value") -> None:
+    """ST1 on the domain's own sessions: JSON records (session_id, player_id,
+    game_id, start_time) are validated (V1), parsed and appended to the
+    partitioned session table (IO5). A record that does not parse to a
+    session with a start time is left out of the table. A replayed batch is
+    recognised by the session ids it brings again."""
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ok = admit(batch.withColumnRenamed(raw_col, "raw"), "raw")
+        s = ok.select(F.from_json("raw", "session_id long, player_id long, game_id long, start_time timestamp_ntz").alias("s"))
+        s = s.select("s.*").where(F.col("session_id").isNotNull() & F.col("start_time").isNotNull()).dropDuplicates(["session_id"])
+        if path_exists(spark, table):
+            # days of this batch only: the table is partitioned by them
+            days = [r[0] for r in s.select(F.to_date("start_time")).distinct().collect()]
+            old = spark.read.parquet(table).where(F.col("start_date").isin(days)).select("session_id")
+            s = s.join(old, "session_id", "left_anti")
+        append_sessions(s, table)
+
+    q = (records.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def quality_log_stream(log: DataFrame, watermark: str = "1 hour", created_at: str = "created_at",
+                       click_rate: str = "click_rate", conversion_rate: str = "conversion_rate") -> DataFrame:
+    """ST2 on the recommendation log itself: per day count and mean rates,
+    emitted once the watermark passes the day's end."""
+    r = log.select(F.col(created_at).cast("timestamp").alias("created_at"), F.col(click_rate).alias("click_rate"),
+                   F.col(conversion_rate).alias("conversion_rate")).withWatermark("created_at", watermark)
+    return r.groupBy(F.window("created_at", "1 day").alias("w")).agg(
+        F.count(F.lit(1)).alias("total_recommendations"),
+        F.avg("click_rate").alias("avg_click_rate"),
+        F.avg("conversion_rate").alias("avg_conversion"),
+    ).select(F.to_date("w.start").alias("date"), "total_recommendations", "avg_click_rate", "avg_conversion")
+
+
 def stream_ingest(spark: SparkSession, src: str, sink: str, ckpt: str, watermark: str = "1 hour") -> None:
     """ST1: events landing under ``src`` -> de-duplicated append to ``sink``."""
     run_available(ingest_events(read_events_stream(spark, src), watermark), sink, ckpt)
 
 
-def stream_daily_quality(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """ST2 under its inventory name (see ``daily_quality_stream``)."""
-    return daily_quality_stream(events, delay)
+def stream_daily_quality(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """ST2 under its inventory name (see ``quality_log_stream``)."""
+    return quality_log_stream(log, delay)
 
 
 def sessionize(events: DataFrame, gap: str = "12 hours", watermark: str = "1 hour") -> DataFrame:
