@@ -52,3 +52,7 @@ def release(*tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
             t._scratch_path = None
 
+
+def task_count(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per row."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)

@@ -16,16 +16,16 @@ stands for them. Within a bucket no pairs of all members are made:
 
 1. every member is compared with the bucket's hub, the member that meets most
    others over all bands (a star), and links are closed to components;
-2. in two more rounds, members of buckets that still hold several components
-   are compared with a random member of another component;
-3. what is left, pairs of a bucket whose components still differ, is compared
-   in full, each pair in the first band it shares and only if its 2-bit sketches
-   (two bits of each signature value) can belong to a similar pair: a pair at
-   the threshold fails that with probability 3e-7.
+2. in buckets that then hold several components, the rest (members outside the
+   hub's component) is compared with the bucket's members in other components.
+   This goes by the hub's component, once for all its buckets and bands: its
+   members are cut into blocks of a bounded number of shingles, and the rest
+   passes each block as a stream. Set sizes of intersections come from the
+   block's sorted shingles; only links leave the task.
 
 Pairs inside a component need no comparison, as they can't change the result,
 so the result equals that of comparing all pairs of each bucket, while a bucket
-of thousands of near copies costs a few comparisons a member.
+of thousands of near copies costs a comparison a member.
 
 Defined results: NULL, empty and blank texts have an empty set and stand alone;
 repeated rows are copies of each other; rows with a NULL id can link others but
@@ -36,7 +36,6 @@ gives an empty result. Extra columns of any name are not read.
 from __future__ import annotations
 
 import hashlib
-import math
 import sys
 from collections.abc import Iterator
 
@@ -47,7 +46,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialise, release
+from lodestar.llm.common import materialise, release, task_count
 from lodestar.operators.joins import maybe_broadcast
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -55,7 +54,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PERMUTATIONS = 126
 ROWS = 6
 SEED = 20240117
-RANDOM_ROUNDS = 2
+BLOCK_SHINGLES = 1 << 20  # shingles of a block that the rest of a bucket meets
 MAX_ID_BYTES = 8 * 1024 * 1024  # candidate ids up to this size are broadcast
 _CHUNK = 1 << 14  # shingles hashed at a time
 _MEMO = 1 << 18  # words whose hash a task remembers
@@ -144,30 +143,6 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each value: words of 64 low bits, then words of 64 next bits."""
-    n, width = signature.shape
-    words = -(-width // 64)
-    out = np.zeros((n, 2, words * 64), np.uint8)
-    out[:, 0, :width], out[:, 1, :width] = signature & 1, (signature >> 1) & 1
-    return np.packbits(out, axis=2).reshape(n, 2 * words, 8).view("<i8").reshape(n, 2 * words)
-
-
-def sketch_bound(width: int, percent: int, deviations: float = 5.0) -> int:
-    """Values that agree in both bits at the threshold, less five deviations."""
-    p = percent / 100 + (1 - percent / 100) / 4
-    return math.floor(width * p - deviations * math.sqrt(width * p * (1 - p)))
-
-
-def sketch_agreement(a: str, b: str, width: int) -> Column:
-    words = -(-width // 64)
-    differ = [
-        F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))).bitwiseOR(F.get(a, F.lit(words + i)).bitwiseXOR(F.get(b, F.lit(words + i)))))
-        for i in range(words)
-    ]
-    return F.lit(width) - sum(differ[1:], differ[0])
-
-
 def sequence_digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
@@ -175,7 +150,7 @@ def sequence_digest(words: list[bytes]) -> bytes:
 def signatures(
     docs: DataFrame, doc_id: str, text: str, shingle: int, permutations: int, rows: int
 ) -> DataFrame:
-    """doc_id, n_shingles, seq (digest of the word sequence, NULL if empty), bands, sketch."""
+    """doc_id, n_shingles, seq (digest of the word sequence, NULL if empty), bands."""
     a, b = permutation_constants(permutations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,17 +168,15 @@ def signatures(
                         sets.append(x)
                     full = [x for x in sets if len(x)]
                     signature = min_max(full, a, b) if full else np.empty((0, 2 * len(a)), np.uint32)
-                    keys, bits = iter(band_hashes(signature, rows).tolist()), iter(sketches(signature).tolist())
+                    keys = iter(band_hashes(signature, rows).tolist())
                     bands = [next(keys) if len(x) else None for x in sets]
-                    sketch = [next(bits) if len(x) else None for x in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(sizes, pa.int64()), pa.array(seqs, pa.binary())]
-                        + [pa.array(c, pa.list_(pa.int64())) for c in (bands, sketch)],
-                        ["doc_id", "n_shingles", "seq", "bands", "sketch"],
+                        [ids, pa.array(sizes, pa.int64()), pa.array(seqs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                        ["doc_id", "n_shingles", "seq", "bands"],
                     )
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, seq binary, bands array<long>, sketch array<long>")
+    return slim.mapInArrow(run, "doc_id long, n_shingles long, seq binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
@@ -213,9 +186,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle
     has that sequence). Each text is fetched by id; a row whose text has
     another sequence (a repeated id) is passed over."""
     ids = pairs.select(F.explode(F.array("a_id", "b_id")).alias("__want")).distinct()
-    every = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
-    # only texts of candidates move on
-    slim = every.join(maybe_broadcast(ids, MAX_ID_BYTES), F.col("__id").eqNullSafe(F.col("__want")), "left_semi")
+    slim = texts_of(docs, ids, doc_id, text)
     with_b = pairs.join(slim.withColumnRenamed("__t", "b_text"), F.col("b_id").eqNullSafe(F.col("__id"))).drop("__id")
     both = with_b.join(slim.withColumnRenamed("__t", "a_text"), F.col("a_id").eqNullSafe(F.col("__id"))).drop("__id")
 
@@ -249,6 +220,86 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary").distinct()
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(__id, __t) of the documents with an id in ``ids`` (__want): only these move on."""
+    every = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
+    return every.join(maybe_broadcast(ids, MAX_ID_BYTES), F.col("__id").eqNullSafe(F.col("__want")), "left_semi")
+
+
+def rest_links(open_: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """Pairs (rank, o_rank) of different components that share a band and whose
+    hashed sets reach the threshold. ``open_``: members (rank, n, root) of
+    buckets with several components, by the component of the bucket's hub."""
+    blocks = open_.groupBy("lead_root").agg(F.ceil(F.sum(F.col("n") + 64) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    rows = open_.join(blocks, "lead_root")
+    block = F.pmod(F.xxhash64("rank.seq"), F.col("blocks")).cast("int")
+    held = rows.select("lead_root", block.alias("block"), F.lit(0).alias("kind"), "rank", "root")
+    # one of the rest meets every block of its hub's component
+    rest = rows.where(F.col("root") != F.col("lead_root")).select(
+        "lead_root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "rank", "root"
+    )
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                words = [words_of(t.as_py()) for t in batch.column(0)]
+                data = [[sequence_digest(w), shingle_hashes(w, shingle, memo).tobytes()] for w in words]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*data)] if data else [pa.array([], pa.binary())] * 2, ["seq", "set"])
+
+    ids = open_.select(F.col("rank.id").alias("__want")).distinct()
+    sets = texts_of(docs, ids, doc_id, text).select("__t").mapInArrow(make, "seq binary, set binary").dropDuplicates(["seq"])
+    full = sets.join(nodes.select("seq", "bands"), "seq")
+    both = held.unionByName(rest).withColumn("seq", F.col("rank.seq")).join(full, "seq").select(
+        "lead_root", "block", "kind", "seq", F.col("rank.id").alias("id"), F.col("root.seq").alias("root"), "bands", "set",
+        F.col("lead_root.seq").alias("lead"),
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members, index, found = None, [], None, set()
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*found)) if found else [[]] * 4
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["a", "a_id", "b", "b_id"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("lead", "block", "kind", "seq", "id", "root", "bands", "set")]
+            for lead, block, kind, seq, i, root, bands, data in zip(*cols):
+                if (lead, block) != at:
+                    at, members, index = (lead, block), [], None
+                hashes = np.frombuffer(data, np.uint64)
+                if kind == 0:
+                    members.append((seq, i, root, bands, hashes))
+                    continue
+                if not members:
+                    continue
+                if index is None:
+                    every = np.concatenate([m[4] for m in members])
+                    owner = np.repeat(np.arange(len(members)), [len(m[4]) for m in members])
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], owner[order], np.array([len(m[4]) for m in members]), np.array([m[3] for m in members])
+                sorted_, owner_, sizes, all_bands = index
+                lo, hi = np.searchsorted(sorted_, hashes, "left"), np.searchsorted(sorted_, hashes, "right")
+                span = hi - lo
+                hits = np.repeat(lo - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+                common = np.bincount(owner_[hits], minlength=len(members))
+                near = 100 * common >= percent * (len(hashes) + sizes - common)
+                near[near] = (all_bands[near] == np.array(bands)).any(axis=1)
+                for j in np.flatnonzero(near):
+                    other = members[j]
+                    if other[2] != root:
+                        found.add((seq, i, *other[:2]) if seq < other[0] else (*other[:2], seq, i))
+            if len(found) > 10_000:
+                yield flush()
+                found = set()
+        yield flush()
+
+    dealt = both.repartition(task_count(docs.sparkSession), "lead_root", "block").sortWithinPartitions("lead_root", "block", "kind")
+    out = dealt.drop("lead_root").mapInArrow(compare, "a binary, a_id long, b binary, b_id long")
+    return out.select(F.struct(F.col("a_id").alias("id"), F.col("a").alias("seq")).alias("rank"), F.struct(F.col("b_id").alias("id"), F.col("b").alias("seq")).alias("o_rank"))
+
+
 def _content(edges: DataFrame) -> tuple:
     """Number of edges and a sum of their hashes: equal for equal sets."""
     h = F.xxhash64("u", "v")
@@ -300,7 +351,7 @@ def near_duplicates(
     sig = materialise(signatures(docs, doc_id, text, shingle, permutations, rows), "minhash-signatures")
     # one representative for each word sequence; partial minimum in each task
     nodes = sig.where(F.col("seq").isNotNull()).groupBy("seq").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     nodes = materialise(nodes.withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "seq")), "minhash-classes")
     entries = nodes.select("rank", "n", F.posexplode("bands").alias("band", "key"))
@@ -337,45 +388,15 @@ def near_duplicates(
         root = comp.select(F.col("seq").alias("__seq"), "root")
         own = member.where(F.col("members") > 2).join(root, F.col("rank.seq") == F.col("__seq")).drop("__seq")
         several = own.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
-        return own.join(several.select("band", "key"), ["band", "key"], "left_semi")
+        return own.join(several.select("band", "key"), ["band", "key"], "left_semi").select("lead", "rank", "n", "root")
 
     star = member.where((F.col("rank") != F.col("lead")) & close("n", "lead_n"))
     found = links(star, "lead", "rank")
     comp = closed(found)
-    for turn in range(RANDOM_ROUNDS):
-        open_ = materialise(placed(), "minhash-open")
-        order = F.xxhash64(F.lit(turn), "band", F.col("rank.seq"))
-        pick = open_.groupBy("band", "key").agg(F.min(F.struct(order.alias("order"), "rank", "n", "root")).alias("p"))
-        met = open_.join(pick, ["band", "key"]).where(
-            (F.col("root") != F.col("p.root")) & close("n", "p.n") & (F.col("rank") != F.col("lead")) & (F.col("p.rank") != F.col("lead"))
-        )
-        more = links(met.select(F.col("p.rank").alias("o"), "rank"), "o", "rank")
-        release(open_)
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            comp = closed(found)
-
-    full = nodes.select(F.col("seq").alias("__seq"), "bands", "sketch")
     lead_root = comp.select(F.col("seq").alias("__seq"), F.col("root").alias("lead_root"))
-    open_ = placed().join(lead_root, F.col("lead.seq") == F.col("__seq")).drop("__seq").where(F.col("rank") != F.col("lead"))
-    open_ = materialise(open_.join(full, F.col("rank.seq") == F.col("__seq")).drop("__seq"), "minhash-open")
-    # the rest of a bucket: members outside the component of its hub
-    rest = open_.where(F.col("root") != F.col("lead_root")).select(
-        "band", "key", *[F.col(c).alias(f"o_{c}") for c in ("rank", "n", "root", "lead_root", "bands", "sketch")]
-    )
-    shared = F.zip_with("bands", "o_bands", lambda x, y: x == y)
-    cross = rest.join(
-        open_.select("band", "key", "rank", "n", "root", "bands", "sketch"),
-        (rest["band"] == open_["band"])
-        & (rest["key"] == open_["key"])
-        & (F.col("root") != F.col("o_root"))
-        & close("n", "o_n")
-        # two members of the rest meet once; one of the rest meets each of the others
-        & ((F.col("root") == F.col("o_lead_root")) | (F.col("rank") < F.col("o_rank")))
-        & (sketch_agreement("sketch", "o_sketch", 2 * permutations) >= sketch_bound(2 * permutations, percent))
-        & (F.array_position(shared, True) == rest["band"] + 1),
-    )
-    more = links(cross, "rank", "o_rank")
+    open_ = placed().join(lead_root, F.col("lead.seq") == F.col("__seq"))
+    open_ = materialise(open_.select("lead_root", "rank", "n", "root").distinct(), "minhash-open")
+    more = links(rest_links(open_, nodes, docs, doc_id, text, shingle, percent), "rank", "o_rank")
     release(open_, member)
     if not more.isEmpty():
         found = found.unionByName(more)
