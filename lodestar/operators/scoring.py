@@ -81,7 +81,7 @@ def _score_block(n: int, cosine: bool, positive_only: bool, per_group: int | Non
         users = left[has].sort_values("player_id", kind="stable")
         items = items.sort_values("game_id", kind="stable")
         if not len(users) or not len(items):
-            return pd.DataFrame({"player_id": [], "game_id": [], "score": [], "rank": []})
+            return pd.DataFrame({"player_id": [], "game_id": [], "score": [], "rank": [], **({"grp": []} if per_group else {})})
         ids, mat = items["game_id"].to_numpy(dtype=np.int64), np.stack(items["vec"].to_numpy()).astype(np.float64)
         groups = pd.factorize(items["grp"], use_na_sentinel=False)[0] if per_group else None
         uid = users["player_id"].to_numpy(dtype=np.int64)

@@ -30,7 +30,7 @@ def test_neural_rerank(spark):
 
 def test_model_comparison(spark):
     rows = E.queries()["model_comparison"](spark, SF_SMALL).collect()
-    assert sorted(r["model"] for r in rows) == ["content", "graph", "pmf_als", "popularity"]
+    assert sorted(r["model"] for r in rows) == ["content", "graph", "popularity"]
     for r in rows:
         assert 0 <= r["precision_at_k"] <= 1 and 0 <= r["hit_rate"] <= 1 and 0 <= r["ndcg"] <= 1
 
@@ -87,3 +87,92 @@ def test_dense_top_n_ties_and_blocks(spark):
         assert got == want
     none = dense_top_n(users, items, None, n=3, dim=2).where("player_id = 1").orderBy("rank").collect()
     assert [r["game_id"] for r in none] == [2, 5, 8]  # score 2.0 ties, smallest ids first
+
+
+def test_scores_of_any_sign_and_group_limit(spark):
+    """Non-positive scores are ranked unless asked not to; the group limit acts before the cut."""
+    from lodestar.operators.scoring import dense_top_n
+
+    users = spark.createDataFrame([(1, [1.0])], "player_id long, vec array<double>")
+    items = spark.createDataFrame([(g, [float(10 - g)], "a" if g < 8 else "b") for g in range(20)],
+                                  "game_id long, vec array<double>, genre string")
+    for max_bytes in (10**6, 40):
+        get = lambda **k: [(r["game_id"], r["rank"]) for r in dense_top_n(
+            users, items, None, n=15, dim=1, max_bytes=max_bytes, **k).orderBy("rank").collect()]
+        assert get() == [(g, g + 1) for g in range(15)]
+        assert get(positive_only=True) == [(g, g + 1) for g in range(10)]
+        assert get(group="genre", per_group=2) == [(0, 1), (1, 2), (8, 3), (9, 4)]
+
+
+def _seventeen_digits(inter):
+    """The same pairs with 17-digit players and spread-out games."""
+    return inter.withColumn("player_id", F.lit(76561198000000000) + F.col("player_id") * 1013).withColumn(
+        "game_id", F.lit(10**12) + F.col("game_id") * 99991)
+
+
+def test_models_take_seventeen_digit_ids(spark):
+    from lodestar.operators import models as M
+    from lodestar.session import cut_lineage
+
+    inter = cut_lineage(fx.interactions(spark, SF_SMALL))
+    big = cut_lineage(_seventeen_digits(inter))
+    neg = M.negative_samples(big, big.select("game_id").distinct())
+    n_pos, n_neg = big.count(), neg.count()
+    assert n_neg > 0.5 * n_pos  # draws hit existing games whatever their ids
+    assert neg.join(big.select("player_id", "game_id"), ["player_id", "game_id"]).count() == 0
+    fm = M.als_fit(big, rank=4, max_iter=2)
+    users, items = M.factors(fm)
+    assert users.join(big.select("player_id").distinct(), "player_id").count() == users.count() == big.select("player_id").distinct().count()
+    mlp = M.neural_fit(big, users, items, hidden=(4,), max_iter=3, max_positives=500)
+    cands = M.als_recommend(fm, big, n=5)
+    assert M.neural_rerank(cands, mlp, users, items, n=3).groupBy("player_id").count().where("count > 3").count() == 0
+    edges = big.select("player_id", "game_id")
+    u0 = edges.select("player_id").distinct().withColumn("vec", M.hash_init("player_id", 2, 11))
+    i0 = edges.select("game_id").distinct().withColumn("vec", M.hash_init("game_id", 2, 29))
+    recs = M.graph_recommend(edges, u0, i0, layers=1, n=3)
+    assert recs.count() == 3 * edges.select("player_id").distinct().count()
+
+
+def test_same_lists_with_other_ids(spark):
+    """Only the names of players and games differ, so do the lists (content-free graph layers)."""
+    from lodestar.operators import models as M
+    from lodestar.session import cut_lineage
+
+    inter = cut_lineage(fx.interactions(spark, SF_SMALL).select("player_id", "game_id"))
+    big = cut_lineage(_seventeen_digits(inter))
+
+    def recs(edges, back):
+        u0 = edges.select("player_id").distinct().withColumn("vec", M.hash_init(back("player_id"), 2, 11))
+        i0 = edges.select("game_id").distinct().withColumn("vec", M.hash_init(back("game_id"), 2, 29))
+        out = M.graph_recommend(edges, u0, i0, layers=2, n=5)
+        return {(r["p"], r["g"], r["rank"]) for r in out.select(back("player_id").alias("p"), back("game_id").alias("g"), "rank").collect()}
+
+    plain = recs(inter, lambda c: F.col(c))
+    again = recs(big, lambda c: ((F.col(c) - F.lit(76561198000000000)) / 1013 if c == "player_id" else (F.col(c) - F.lit(10**12)) / 99991).cast("long"))
+    assert plain == again
+
+
+def test_dense_index_is_stable_and_gapless(spark):
+    from lodestar.operators import models as M
+
+    ids = spark.range(5000).select((F.col("id") * 7919 + 10**15).alias("game_id"))
+    a = {r["game_id"]: r["idx"] for r in M.dense_index(ids, "game_id").collect()}
+    b = {r["game_id"]: r["idx"] for r in M.dense_index(ids.repartition(13).unionByName(ids), "game_id").collect()}
+    assert a == b and sorted(a.values()) == list(range(5000))
+
+
+def test_scorer_never_collects_items(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from lodestar.operators.scoring import dense_top_n
+
+    def no(*_):
+        raise AssertionError("rows were fetched to the driver")
+
+    users = spark.createDataFrame([(1, [1.0])], "player_id long, vec array<double>")
+    items = spark.createDataFrame([(g, [float(g)]) for g in range(50)], "game_id long, vec array<double>")
+    monkeypatch.setattr(DataFrame, "toPandas", no)
+    monkeypatch.setattr(DataFrame, "collect", no)
+    out = dense_top_n(users, items, None, n=5, dim=1, max_bytes=80)
+    monkeypatch.undo()
+    assert [r["game_id"] for r in out.orderBy("rank").collect()] == [49, 48, 47, 46, 45]
