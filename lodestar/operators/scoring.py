@@ -83,7 +83,7 @@ def _score_block(n: int, cosine: bool, positive_only: bool, per_group: int | Non
         if not len(users) or not len(items):
             return pd.DataFrame({"player_id": [], "game_id": [], "score": [], "rank": [], **({"grp": []} if per_group else {})})
         ids, mat = items["game_id"].to_numpy(dtype=np.int64), np.stack(items["vec"].to_numpy()).astype(np.float64)
-        groups = pd.factorize(items["grp"], use_na_sentinel=False)[0] if per_group else None
+        groups = items["grp"].to_numpy(dtype=np.int64) if per_group else None
         uid = users["player_id"].to_numpy(dtype=np.int64)
         owned = left[~has]
         row = np.searchsorted(uid, owned["player_id"].to_numpy(dtype=np.int64))
@@ -108,7 +108,7 @@ def _score_block(n: int, cosine: bool, positive_only: bool, per_group: int | Non
             r, c, sc, rank = _ranked_rows(s, n) if groups is None else _grouped_rows(s, n, groups, per_group)
             out = {"player_id": uid[start + r], "game_id": ids[c], "score": sc, "rank": rank.astype(np.int32)}
             if per_group:
-                out["grp"] = items["grp"].to_numpy()[c]
+                out["grp"] = items["grp"].to_numpy(dtype=np.int64)[c]
             parts.append(pd.DataFrame(out))
         return pd.concat(parts, ignore_index=True)
 
@@ -154,7 +154,7 @@ def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n:
     from lodestar.session import cut_lineage
 
     spark = users.sparkSession
-    items = items.select("game_id", "vec", F.col(group).alias("grp") if group else F.lit(None).cast("string").alias("grp"))
+    items = items.select("game_id", "vec", (F.xxhash64(group) if group else F.lit(0).cast("long")).alias("grp"))
     # both sides are counted, then sent to their blocks: compute them once
     users, items = cut_lineage(users.select("player_id", "vec")), cut_lineage(items)
     if dim is None:
@@ -163,8 +163,7 @@ def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n:
             return spark.createDataFrame([], OUT_SCHEMA)
         dim = int(first["d"])
     left, right, item_blocks = _blocked(users, items, owned, dim, max_bytes)
-    kind = dict(items.dtypes)["grp"]
-    schema = OUT_SCHEMA + (f", grp {kind}" if per_group else "")
+    schema = OUT_SCHEMA + (", grp long" if per_group else "")
     scored = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(
         _score_block(n, cosine, positive_only, per_group), schema)
     if item_blocks > 1:

@@ -162,10 +162,10 @@ def test_titles_never_exceed_five(spark):
 def test_player_stats_without_sessions_is_one_row(spark):
     from lodestar.operators.aggregates import player_stats_one
 
-    s = spark.createDataFrame([(1, 5, "2024-01-01 00:00:00", "2024-01-01 01:00:00")],
-                              "session_id long, player_id long, start_time string, end_time string")
+    s = spark.createDataFrame([(1, 5, "2024-01-01 00:00:00", "2024-01-01 01:00:00", 3600.0)],
+                              "session_id long, player_id long, start_time string, end_time string, session_duration double")
     s = s.selectExpr("session_id", "player_id", "cast(start_time as timestamp_ntz) as start_time",
-                     "cast(end_time as timestamp_ntz) as end_time")
+                     "cast(end_time as timestamp_ntz) as end_time", "session_duration")
     rows = player_stats_one(s, 99, "2024-01-10 00:00:00").collect()
     assert [(r["n_sessions"], r["avg_duration"]) for r in rows] == [(0, None)]
     rows = player_stats_one(s, 5, "2024-01-10 00:00:00").collect()

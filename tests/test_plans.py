@@ -55,12 +55,12 @@ def test_profiles_read_history_once(spark):
     assert plan.count("lineitem.parquet") == 1 and plan.count("orders.parquet") == 1
 
 
-def test_scorer_runs_on_fixed_task_count(spark):
+def test_scorer_multiplies_blocks_by_key(spark):
     import __spark_entry__ as E
 
     df = E.queries()["content_recommendations"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" in plan and "RoundRobinPartitioning" in plan
+    assert "FlatMapCoGroupsInPandas" in plan and "hashpartitioning(ub" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
