@@ -39,7 +39,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates; of
+    rows that repeat an id one stays."""
     found = near_duplicates(docs, shingle=SHINGLE, percent=SIMILARITY)
     ids = materialise(found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "pipeline-kept")
     on = F.col("doc_id").eqNullSafe(F.col("__id"))
