@@ -23,6 +23,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # batches that tasks exchange with Python: bounded by bytes, as texts can be long
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
