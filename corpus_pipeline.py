@@ -13,6 +13,8 @@ empty table passes through every stage as an empty table.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from lodestar.llm.mixing import mix
 from lodestar.llm.quality import judged
 from lodestar.llm.tokens import sequences, shard_folder, write_training_order
 from lodestar.operators.joins import maybe_broadcast
+from lodestar.session import apply_session_conf
 from lodestar.sources.tables import read_table
 
 SHINGLE = 5  # words
@@ -33,11 +36,24 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def _stage(fn):
+    """A stage under the library's session settings."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_session_conf(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their kind."""
     return _rows(judged(docs).where("kept"))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; of
     rows that repeat an id one stays."""
@@ -51,18 +67,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(named).unionByName(again.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is in benchmark windows."""
     benchmark = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     return _rows(flag_contamination(docs, benchmark).where(~contaminated()))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")
     return _rows(mix(docs).where("copies > 0").select("row", copies))
 
 
+@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed-stride token records in training order, as read from their shards."""
     return write_training_order(sequences(docs), shard_folder(spark))
