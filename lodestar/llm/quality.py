@@ -96,7 +96,7 @@ def base_failed() -> Column:
 # Transformed statistics and the least standard deviation each is given.
 FEATURES = ("x0", "x1", "x2", "x3")
 FLOORS = (0.08, 0.04, 0.15, 0.18)
-SUPPORT = 0.75  # share of a group that decides its centre and scatter
+SUPPORT = 0.5  # share of a group that decides its centre and scatter; junk below half of it never does
 STEPS = 10
 SETTLED = 1e-6
 MIN_GROUP = 40

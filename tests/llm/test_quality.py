@@ -86,6 +86,17 @@ def test_outliers_go_and_prose_stays(spark):
     assert all(verdict[i] for i in range(150)) and not any(verdict[i] for i in range(150, 170))
 
 
+@pytest.mark.parametrize("share", [30, 45])
+def test_junk_heavy_source(spark, share):
+    """Junk below half of a source goes, and its prose stays."""
+    rng = random.Random(share)
+    texts = [prose(rng, rng.randrange(25, 120)) for _ in range(200)]
+    for i in range(2 * share):
+        texts[i] = " ".join(w + "#" * rng.randrange(1, 3) for w in texts[i].split())
+    verdict = {r["row"]["doc_id"]: r["kept"] for r in judged(documents(spark, texts)).collect()}
+    assert [verdict[i] for i in range(200)] == [False] * (2 * share) + [True] * (200 - 2 * share)
+
+
 def test_chi_square():
     assert chi_square_cut(0.05, 2) == pytest.approx(5.9915, abs=1e-3)
     assert chi_square_cut(0.05, 4) == pytest.approx(9.4877, abs=1e-3)
