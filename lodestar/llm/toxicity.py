@@ -15,8 +15,12 @@ Fitting: at most about ``MAX_POSITIVE`` + ``MAX_NEGATIVE`` labelled rows take
 part (chosen by a hash of the id if there are more; rows weigh as many as they
 stand for). Their terms are made in parallel; one task keeps the terms whose
 share of label 1 in the sample is off by ``MIN_Z`` standard deviations (with
-thousands of rare terms, weaker ones are chance), fits them with AdaGrad and
-returns those with weight, which bounds the model by the sample. Scoring reads every whole text once.
+thousands of rare terms, weaker ones are chance) and fits them with AdaGrad.
+Terms that are neutral by themselves, but beside one of these go with a label
+that this fit doesn't explain (``partners``), join them for a second fit. It
+returns the terms with weight, which bounds the model by the sample. A pair of
+which both terms are neutral by themselves isn't looked for. Scoring reads every
+whole text once.
 
 Defined results: NULL and empty texts score the intercept; labels that are NULL
 are left out, of repeated labels the largest counts; rows with NULL id are
@@ -77,6 +81,30 @@ def text_terms(text: str | None, memo: dict[str, list[int]]) -> np.ndarray:
     return np.array(sorted(out), np.int64)
 
 
+def partners(flat: np.ndarray, sizes: np.ndarray, label: np.ndarray, chance: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Terms that, beside some anchor, go with a label the anchors don't explain:
+    rows with label 1 among those that hold both, against what ``chance`` (label
+    1 by the anchors' machine) expects, differ beyond chance for as many pairs."""
+    found = np.zeros(len(anchor), bool)
+    cut = max(MIN_Z**2, 2 * math.log(max(anchor.sum() * len(anchor), 1)))
+    ends = np.cumsum(sizes)
+    held = np.flatnonzero(anchor[flat])
+    held = held[np.argsort(flat[held], kind="stable")]
+    owner = np.searchsorted(ends, held, "right")
+    for own in np.split(owner, np.flatnonzero(np.diff(flat[held])) + 1) if len(held) else []:
+        near = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in own])
+        rows = np.bincount(near, minlength=len(anchor))
+        at = np.flatnonzero(rows >= MIN_ROWS)
+        rows = rows[at]
+        ones = np.bincount(near, np.repeat(label[own], sizes[own]), len(anchor))[at]
+        expected = np.bincount(near, np.repeat(chance[own], sizes[own]), len(anchor))[at]
+        deviance = np.zeros(len(at))
+        for seen, due in ((ones, expected), (rows - ones, rows - expected)):
+            deviance += 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, due, 1))
+        found[at[deviance >= cut]] = True
+    return found
+
+
 def fit(terms: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """bias, and key / w / v of the terms with weight."""
     total = weight.sum()
@@ -88,9 +116,31 @@ def fit(terms: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: in
     hits = np.bincount(at, np.repeat(label, [len(t) for t in terms]), len(keys))
     rate = label.mean()
     z = (hits - rows * rate) / np.sqrt(np.maximum(rows * rate * (1 - rate) * (1 - rows / (len(label) + 1)), 1e-9))
-    keys = keys[(rows >= MIN_ROWS) & (np.abs(z) >= MIN_Z)]
+    anchor = (rows >= MIN_ROWS) & (np.abs(z) >= MIN_Z)
+    model = _descend(keys[anchor], terms, label, weight, share, seed)
+    logit = _logits(model, terms)
+    # rows of a label weigh alike; the sample's odds are the population's by the weights' ratio
+    logit += math.log(weight[label == 0].mean() / weight[label > 0].mean())
+    sizes = np.array([len(t) for t in terms])
+    beside = partners(at, sizes, label, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), anchor) & ~anchor
+    return _descend(keys[anchor | beside], terms, label, weight, share, seed) if beside.any() else model
+
+
+def _places(keys: np.ndarray, terms: list[np.ndarray]) -> list[np.ndarray]:
+    """The places in ``keys`` of each row's terms."""
     index = [np.searchsorted(keys, t) for t in terms]
-    index = [i[(i < len(keys)) & (keys[np.minimum(i, max(len(keys) - 1, 0))] == t)] if len(keys) else i[:0] for i, t in zip(index, terms)]
+    return [i[(i < len(keys)) & (keys[np.minimum(i, max(len(keys) - 1, 0))] == t)] if len(keys) else i[:0] for i, t in zip(index, terms)]
+
+
+def _logits(model: dict[str, np.ndarray], terms: list[np.ndarray]) -> np.ndarray:
+    w, v = model["w"].astype(float), model["v"].astype(float)
+    pairs = [0.5 * ((v[i].sum(0) ** 2).sum() - (v[i] ** 2).sum()) + w[i].sum() for i in _places(model["key"], terms)]
+    return model["bias"][0] + np.array(pairs)
+
+
+def _descend(keys: np.ndarray, terms: list[np.ndarray], label: np.ndarray, weight: np.ndarray, share: float, seed: int) -> dict[str, np.ndarray]:
+    """AdaGrad over the rows' terms that are in ``keys``."""
+    index = _places(keys, terms)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(keys)), rng.normal(0, 0.01, (len(keys), FACTORS))
     gw, gv, gb = np.full(len(keys), 1e-6), np.full((len(keys), FACTORS), 1e-6), 1e-6
@@ -103,15 +153,14 @@ def fit(terms: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: in
             flat = np.concatenate([index[i] for i in batch])
             owner = np.repeat(np.arange(len(batch)), sizes)
             vs = v[flat]
-            total_v = np.zeros((len(batch), FACTORS))
-            np.add.at(total_v, owner, vs)
+            total_v = np.stack([np.bincount(owner, vs[:, f], len(batch)) for f in range(FACTORS)], 1)
             logit = bias + np.bincount(owner, w[flat], len(batch))
             logit += 0.5 * ((total_v**2).sum(1) - np.bincount(owner, (vs**2).sum(1), len(batch)))
             err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[batch]) * scale[batch] / len(batch)
             g = err[owner]
-            touched, at = np.unique(flat, return_inverse=True)
-            dw = np.bincount(at, g, len(touched))
-            dv = np.stack([np.bincount(at, g * (total_v[owner, f] - vs[:, f]), len(touched)) for f in range(FACTORS)], 1)
+            touched = np.flatnonzero(np.bincount(flat, minlength=len(keys)))
+            dw = np.bincount(flat, g, len(keys))[touched]
+            dv = np.stack([np.bincount(flat, g * (total_v[owner, f] - vs[:, f]), len(keys))[touched] for f in range(FACTORS)], 1)
             dv += L2 * v[touched]
             gw[touched] += dw**2
             gv[touched] += dv**2

@@ -55,6 +55,30 @@ def test_pairs_are_learned():
     assert pair > 0.5  # the interaction itself, beyond the linear weights
 
 
+def test_pair_with_a_neutral_word():
+    """As many rows with the word as without it have the label; beside another word it decides."""
+    rng = np.random.default_rng(4)
+    a, b = 11, 22
+    terms, label = [], []
+    for i in range(3000):
+        t = {int(x) for x in rng.integers(100, 130, 6)}
+        kind = i % 4
+        t |= {a} if kind in (1, 3) else set()
+        t |= {b} if kind in (2, 3) else set()
+        terms.append(np.array(sorted(t)))
+        label.append(float(kind == 3 or (kind < 2 and i // 4 % 2 == 0)))
+    model = fit(terms, np.array(label), np.ones(3000))
+    place = {int(k): i for i, k in enumerate(model["key"])}
+
+    def logit(*keys):
+        i = [place[k] for k in keys if k in place]
+        w, v = model["w"][i], model["v"][i]
+        return model["bias"][0] + w.sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
+
+    assert b in place and not any(k in place for k in range(100, 130))
+    assert logit(a, b) > logit(a) + 1 and logit(b) < logit() - 1
+
+
 def test_cases(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = documents(spark, [None, "", "word", "word " * 50000], ids=[None, 1, 2, 2])
