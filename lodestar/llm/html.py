@@ -207,6 +207,11 @@ def content_paths(nodes: list[tuple[str, str]], fraction: float = 0.2) -> set[st
     return kept or {max(weight, key=lambda p: (score[p], p))}
 
 
+def in_title(e: Element | None) -> bool:
+    """The page's first heading is part of its text, however short."""
+    return e is not None and (e.tag == "h1" or in_title(e.parent))
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -220,7 +225,7 @@ def main_text(html: str | None) -> str:
     paths = [(_path(e, memo), t) for e, _, t in full]
     kept = content_paths(paths)
     for (e, _, t), (p, _) in zip(full, paths):
-        if p in kept:
+        if p in kept or in_title(e):
             while e is not None:
                 e.votes += len(t)
                 e = e.parent
@@ -228,9 +233,15 @@ def main_text(html: str | None) -> str:
     while at.tag not in WHOLE:
         best = max((c for c in at.children if c.tag in CONTAINERS), key=lambda c: c.votes, default=None)
         if best is None or best.votes < 0.9 * at.votes:
-            # several articles, or text of its own: all of it
             break
         at = best
+    if at.tag not in WHOLE:  # the lowest block that holds all votes
+        at = page.root
+        while True:
+            best = max((c for c in at.children if c.tag in CONTAINERS), key=lambda c: c.votes, default=None)
+            if best is None or best.tag in INLINE or best.votes < at.votes:
+                break
+            at = best
     inside: dict[int, bool] = {}
 
     def within(e: Element | None) -> bool:

@@ -57,6 +57,17 @@ def test_paths_are_chosen_by_ratio():
     assert content_paths(nodes) == {"/a/p"}
 
 
+def test_containers_leave_no_content_outside():
+    long = "A long paragraph, with marks. And more, still more words."
+    text = f"<p>{long}</p>" * 20
+    want = " ".join([long] * 20)
+    post = f"<div class=post><h1>Title</h1><div class=lead><p>short</p></div><div class=text>{text}</div></div>"
+    assert main_text(f"<body><nav>Home</nav><div id=page><div>{post}</div></div><footer>end</footer></body>") == "Title short " + want
+    assert main_text(f"<div><font>{long}</font> tail</div>") == long + " tail"
+    assert main_text(f"<div><span>{long * 9}</span><p>{long}</p></div>") == long * 9 + " " + long
+    assert main_text(f"<div><div><div>{text}</div><p>{long}</p></div><p>{long}</p></div>") == " ".join([long] * 22)
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "clash"), (1, "u", "<article><p>x</p></article>", "clash"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
