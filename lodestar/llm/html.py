@@ -4,8 +4,10 @@ A page is read into text nodes, each with the path of open elements from the
 root (tag and class) to the node. Elements that can't be article text by what
 they are (scripts, styles, forms, menus, page headers and footers, asides) or
 by what their class, id or role says (adverts, notices, sidebars, comments)
-are passed over with all they hold. For the rest, text length and punctuation are
-aggregated per tag path:
+are passed over with all they hold. Inside the article, class and id of headings
+and inline elements and any id say nothing, and a block whose class is on the list
+stays if its path has the ratio of the article's other text. For the rest, text
+length and punctuation are aggregated per tag path:
 
 - ratio of a path = (characters / nodes) * (1 + punctuation / nodes);
 - the ratios are smoothed along the page with a Gaussian over neighbouring
@@ -80,15 +82,18 @@ CLOSES = {
 SCOPE = frozenset("html body table div section article main aside nav header footer form ul ol dl blockquote".split())
 CONTAINERS = frozenset("html body div section article main center table tbody thead tr td font span".split())
 WHOLE = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTED_RATIO = 100.0  # of a listed block in an article: about a sentence a block
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？…¿¡\"'()]")
 _TOKENS = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "label", "parent", "skip", "whole", "votes", "children")
+    __slots__ = ("tag", "label", "parent", "skip", "listed", "whole", "votes", "children")
 
-    def __init__(self, tag, label, parent, skip):
+    def __init__(self, tag, label, parent, skip, listed=""):
         self.tag, self.label, self.parent, self.skip = tag, label, parent, skip
+        self.listed = listed  # "class" or "id", whichever is on the list
         self.whole = tag in WHOLE or bool(parent and parent.whole)
         self.votes, self.children = 0, []
         if parent is not None:
@@ -112,20 +117,21 @@ class TextNodes(HTMLParser):
         if tag in VOID:
             return
         at = {k: v or "" for k, v in attrs}
-        names = f"{at.get('class', '')} {at.get('id', '')}".lower()
-        words = set(_TOKENS.findall(names))
+        classes, ids = (set(_TOKENS.findall(at.get(k, "").lower())) for k in ("class", "id"))
         parent = self.open[-1]
         skip = (
             parent.skip
             or tag in NEVER
             or (tag == "header" and not parent.whole)
-            or ("header" in words and not parent.whole and tag not in WHOLE)
-            or (bool(words & NOT_CONTENT) and tag not in ("html", "body", "article", "main"))
+            or ("header" in classes | ids and not parent.whole and tag not in WHOLE)
             or at.get("role", "").lower() in ROLES
             or "hidden" in at
             or "display:none" in at.get("style", "").lower().replace(" ", "")
         )
-        self.open.append(Element(tag, f"{tag}.{at.get('class', '')}", parent, skip))
+        listed = ""
+        if tag not in ("html", "body", "article", "main"):
+            listed = "class" if classes & NOT_CONTENT else "id" if ids & NOT_CONTENT else ""
+        self.open.append(Element(tag, f"{tag}.{at.get('class', '')}", parent, skip, listed))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)  # "<p/>" opens a p in HTML
@@ -207,6 +213,31 @@ def content_paths(nodes: list[tuple[str, str]], fraction: float = 0.2) -> set[st
     return kept or {max(weight, key=lambda p: (score[p], p))}
 
 
+def _plain(e: Element | None, memo: dict[int, bool]) -> bool:
+    """Outside of what the word list names, which inside an article or main
+    element doesn't settle what a heading, an inline element or an id is."""
+    if e is None:
+        return True
+    v = memo.get(id(e))
+    if v is None:
+        soft = e.whole and (e.listed == "id" or e.tag in INLINE or e.tag in HEADINGS)
+        v = memo[id(e)] = (not e.listed or soft) and _plain(e.parent, memo)
+    return v
+
+
+def _block_ratios(nodes) -> dict[str, float]:
+    """Characters and punctuation by block and path, as ``path_scores`` has them by node."""
+    chars: dict[str, int] = {}
+    marks: dict[str, int] = {}
+    count: dict[str, set[int]] = {}
+    for path, block, text in nodes:
+        if not text.isspace():
+            chars[path] = chars.get(path, 0) + len(text)
+            marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
+            count.setdefault(path, set()).add(block)
+    return {p: chars[p] / len(count[p]) * (1 + marks[p] / len(count[p])) for p in chars}
+
+
 def in_title(e: Element | None) -> bool:
     """The page's first heading is part of its text, however short."""
     return e is not None and (e.tag == "h1" or in_title(e.parent))
@@ -219,7 +250,9 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     memo: dict = {}
-    full = [(e, b, t) for e, b, t in page.nodes if not t.isspace()]
+    plain: dict[int, bool] = {}
+    # an article or main inside a listed part belongs to that part
+    full = [(e, b, t) for e, b, t in page.nodes if not t.isspace() and _plain(e, plain)]
     if not full:
         return ""
     paths = [(_path(e, memo), t) for e, _, t in full]
@@ -242,20 +275,30 @@ def main_text(html: str | None) -> str:
             if best is None or best.tag in INLINE or best.votes < at.votes:
                 break
             at = best
-    inside: dict[int, bool] = {}
+    inside: dict[int, Element | None | bool] = {}
 
-    def within(e: Element | None) -> bool:
-        if e is None:
-            return False
+    def part(e: Element | None) -> Element | None | bool:
+        """``at``, the outermost listed block inside it that holds the element, or False."""
+        if e is None or e is at:
+            return e is at and at
         v = inside.get(id(e))
         if v is None:
-            v = inside[id(e)] = e is at or within(e.parent)
+            v = part(e.parent)
+            if v is at and e.listed:
+                if at.tag in ("", "html", "body"):  # all of the page, not a container
+                    v = False
+                elif e.listed == "class" and e.tag not in INLINE and e.tag not in HEADINGS:
+                    v = e
+            inside[id(e)] = v
         return v
 
+    parts = [(part(e), e, b, t) for e, b, t in page.nodes]
+    ratios = _block_ratios((_path(v, memo) if v is not at else "", b, t) for v, _, b, t in parts if v)
+    own = ratios.get("", 0.0)
     blocks: list[list[str]] = []
     last = None
-    for e, b, t in page.nodes:
-        if within(e):
+    for v, _, b, t in parts:
+        if v is at or (v and ratios.get(_path(v, memo), 0.0) >= max(LISTED_RATIO, own)):
             if b != last:
                 blocks.append([])
                 last = b

@@ -68,6 +68,20 @@ def test_containers_leave_no_content_outside():
     assert main_text(f"<div><div><div>{text}</div><p>{long}</p></div><p>{long}</p></div>") == " ".join([long] * 22)
 
 
+@pytest.mark.parametrize("wrap", [("<article>", "</article>"), ("<div class=post>", "</div>")])
+def test_names_inside_an_article(wrap):
+    """Class and id of parts of an article, which outside would name boilerplate."""
+    long = "A long paragraph, with marks. And more, still more words."
+    inner = (
+        f"<h1>Title</h1><p>{long}</p><h2 id='related-work'>Related work</h2><p>{long}</p><section id='search'><p>{long}</p></section>"
+        f"<p id='data-sharing'>Data.</p><h3 class='notice'>Mind</h3><pre>x = 1 <span class='comment'># one</span></pre>"
+        f"<div class='alert'><p>{long * 3}</p></div><div class='share'><a>Like</a> <a>Tell</a></div>"
+    )
+    full = f"<body><div id='search'><p>{long}</p></div>{wrap[0]}{inner}{wrap[1]}<div class='related'><p>{long}</p></div></body>"
+    want = f"Title {long} Related work {long} {long} Data. Mind x = 1 # one {long * 3}"
+    assert main_text(full) == want
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "clash"), (1, "u", "<article><p>x</p></article>", "clash"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
