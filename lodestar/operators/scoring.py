@@ -175,17 +175,26 @@ def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n:
     return scored.select("player_id", "game_id", "score", "rank")
 
 
-def _blend_block(models: list[tuple[str, float, int, bool, bool]], n: int):
+def _blend_block(models: list[tuple[str, float, int, bool, bool]], n: int,
+                 lists: list[tuple[str, float]] = (), dense_weight: float = 1.0):
     """Blend of several models over one player block and the whole catalogue:
-    each model's scores of all unseen items, scaled per player to [0, 1]."""
+    each model's scores of all unseen items, scaled per player to [0, 1]. With
+    ``lists``, their sum is scaled likewise and the lists' scores join it."""
+
+    def scaled(s: np.ndarray, has: np.ndarray) -> np.ndarray:
+        lo = np.where(has, s, np.inf).min(axis=1, keepdims=True)
+        hi = np.where(has, s, -np.inf).max(axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(hi == lo, 1.0, (s - lo) / (hi - lo))
 
     def run(left: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(items["game_id"].to_numpy(dtype=np.int64))
         vecs = left[left["vec"].notna()]
-        uid = np.unique(vecs["player_id"].to_numpy(dtype=np.int64))
+        listed = left[left["vec"].isna() & left["model"].notna()]
+        ids = np.union1d(items["game_id"].to_numpy(dtype=np.int64), listed["game_id"].to_numpy(dtype=np.int64))
+        uid = np.union1d(vecs["player_id"].to_numpy(dtype=np.int64), listed["player_id"].to_numpy(dtype=np.int64))
         total = np.zeros((len(uid), len(ids)))
         seen = np.zeros((len(uid), len(ids)), bool)
-        owned = left[left["vec"].isna()]
+        owned = left[left["vec"].isna() & left["model"].isna()]
         row = np.searchsorted(uid, owned["player_id"].to_numpy(dtype=np.int64))
         col = np.searchsorted(ids, owned["game_id"].to_numpy(dtype=np.int64))
         ok = (row < len(uid)) & (col < len(ids))
@@ -208,11 +217,21 @@ def _blend_block(models: list[tuple[str, float, int, bool, bool]], n: int):
             if positive:
                 s[~(s > 0)] = np.nan
             has = ~np.isnan(s)
-            lo = np.where(has, s, np.inf).min(axis=1, keepdims=True)
-            hi = np.where(has, s, -np.inf).max(axis=1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scaled = np.where(hi == lo, 1.0, (s - lo) / (hi - lo))
-            total += np.where(has, weight * scaled, 0.0)
+            total += np.where(has, weight * scaled(s, has), 0.0)
+            any_score |= has
+        if lists:
+            total = np.round(total, SCORE_DIGITS)
+            total = np.where(any_score, dense_weight * scaled(total, any_score), 0.0)
+        for name, weight in lists:
+            x = listed[listed["model"] == name]
+            if not len(x):
+                continue
+            s = np.full(total.shape, np.nan)
+            s[np.searchsorted(uid, x["player_id"].to_numpy(dtype=np.int64)),
+              np.searchsorted(ids, x["game_id"].to_numpy(dtype=np.int64))] = x["score"].to_numpy(dtype=np.float64)
+            s[row[ok], col[ok]] = np.nan
+            has = ~np.isnan(s)
+            total += np.where(has, weight * scaled(s, has), 0.0)
             any_score |= has
         s = np.where(any_score, np.round(total, SCORE_DIGITS), -np.inf)
         r, c, sc, rank = _ranked_rows(s, n)
@@ -221,7 +240,8 @@ def _blend_block(models: list[tuple[str, float, int, bool, bool]], n: int):
     return run
 
 
-def dense_blend_top_n(models: dict[str, dict], owned: DataFrame, n: int = 10) -> DataFrame:
+def dense_blend_top_n(models: dict[str, dict], owned: DataFrame, n: int = 10,
+                      lists: dict[str, dict] | None = None, dense_weight: float = 1.0) -> DataFrame:
     """Top ``n`` of a weighted blend over full score lists.
 
     ``models``: name -> {users, items, weight, cosine, positive_only}, users
@@ -230,7 +250,12 @@ def dense_blend_top_n(models: dict[str, dict], owned: DataFrame, n: int = 10) ->
     from their minimum and maximum over all of these, weighted and summed
     (an item without a score of a model adds 0). A player block meets the
     whole catalogue, as the scaling needs every item; a block is kept small
-    enough for its score matrices to stay near BLOCK_BYTES each."""
+    enough for its score matrices to stay near BLOCK_BYTES each.
+
+    ``lists``: name -> {scores (player_id, game_id, score), weight} of models
+    that score some items only. The models' sum is then scaled per player over
+    all unseen items as well and weighs ``dense_weight``; a list is scaled over
+    itself; all items are ranked once, by the sum."""
     from lodestar.session import cut_lineage
 
     users = items = None
@@ -247,8 +272,13 @@ def dense_blend_top_n(models: dict[str, dict], owned: DataFrame, n: int = 10) ->
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(tasks, -(-n_users * 8 * n_items // BLOCK_BYTES))
     ub = F.pmod(F.xxhash64("player_id"), F.lit(blocks)).cast("int").alias("ub")
-    left = users.select("model", "player_id", "vec", F.lit(None).cast("long").alias("game_id"), ub)
+    no_vec, no_score = F.lit(None).cast("array<double>").alias("vec"), F.lit(None).cast("double").alias("score")
+    left = users.select("model", "player_id", "vec", F.lit(None).cast("long").alias("game_id"), no_score, ub)
     left = left.unionByName(owned.select(F.lit(None).cast("string").alias("model"), F.col("player_id").cast("long"),
-                                         F.lit(None).cast("array<double>").alias("vec"), F.col("game_id").cast("long"), ub))
+                                         no_vec, F.col("game_id").cast("long"), no_score, ub))
+    for name, m in (lists or {}).items():
+        left = left.unionByName(m["scores"].select(F.lit(name).alias("model"), F.col("player_id").cast("long"), no_vec,
+                                                   F.col("game_id").cast("long"), F.col("score").cast("double"), ub))
     right = items.withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.groupBy("ub").cogroup(right.groupBy("ub")).applyInPandas(_blend_block(spec, n), OUT_SCHEMA)
+    return left.groupBy("ub").cogroup(right.groupBy("ub")).applyInPandas(
+        _blend_block(spec, n, [(k, float(m["weight"])) for k, m in (lists or {}).items()], dense_weight), OUT_SCHEMA)

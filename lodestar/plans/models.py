@@ -463,12 +463,11 @@ def q_hybrid_lists(spark, d):
     au, ai = M.factors(M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=5))
     edges, u0, i0 = _graph_sides(inter)
     us, its = M.propagate(edges, u0, i0, layers=3, dim=GRAPH_DIM)
-    dense = dense_blend_top_n({
+    b = dense_blend_top_n({
         "content": {"users": cu, "items": ci, "weight": 0.4, "cosine": True, "positive_only": True},
         "pmf_als": {"users": au, "items": ai, "weight": 0.4},
         "graph": {"users": M.concat_layers(us, "player_id"), "items": M.concat_layers(its, "game_id"), "weight": 0.2},
-    }, inter, n=NEURAL_POOL)
-    b = M.blend({"dense": dense, "neural": _neural(inter, n=NEURAL_POOL)}, {"dense": 0.75, "neural": 0.25}, n=10)
+    }, inter, n=10, lists={"neural": {"scores": _neural(inter, n=NEURAL_POOL), "weight": 0.25}}, dense_weight=0.75)
     return _list_checks(b, inter)
 
 

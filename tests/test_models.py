@@ -176,3 +176,20 @@ def test_scorer_never_collects_items(spark, monkeypatch):
     out = dense_top_n(users, items, None, n=5, dim=1, max_bytes=80)
     monkeypatch.undo()
     assert [r["game_id"] for r in out.orderBy("rank").collect()] == [49, 48, 47, 46, 45]
+
+
+def test_blend_with_a_list_scales_over_all_unseen(spark):
+    """A list's first game keeps its dense part wherever that ranks it."""
+    from lodestar.operators.scoring import dense_blend_top_n
+
+    users = spark.createDataFrame([(1, [1.0])], "player_id long, vec array<double>")
+    items = spark.createDataFrame([(g, [100.0 - g]) for g in range(50)], "game_id long, vec array<double>")
+    owned = spark.createDataFrame([(1, 0)], "player_id long, game_id long")
+    listed = spark.createDataFrame([(1, 31, 0.9), (1, 30, 0.5), (1, 2, 0.1), (1, 0, 1.0)], "player_id long, game_id long, score double")
+    got = dense_blend_top_n({"d": {"users": users, "items": items, "weight": 1.0}}, owned, n=49,
+                            lists={"l": {"scores": listed, "weight": 0.25}}, dense_weight=0.75).collect()
+    want = {g: 0.75 * (49 - g) / 48 + 0.25 * {31: 1.0, 30: 0.5}.get(g, 0.0) for g in range(1, 50)}
+    assert {r["game_id"] for r in got} == set(want)
+    assert all(abs(r["score"] - want[r["game_id"]]) < 1e-6 for r in got)
+    order = sorted(want, key=lambda g: (-round(want[g], 6), g))
+    assert [r["game_id"] for r in sorted(got, key=lambda r: r["rank"])] == order
