@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestar.llm import (  # noqa: F401
     q_chat,
     q_decontam,
+    q_fim,
     q_html,
     q_minhash,
     q_mixing,
