@@ -14,6 +14,7 @@ from lodestar.llm import (  # noqa: F401
     q_suffix,
     q_tokens,
     q_toxicity,
+    q_trie,
 )
 from lodestar.llm.registry import ORACLES, QUERIES
 
