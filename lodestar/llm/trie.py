@@ -46,13 +46,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialise, release, task_count
-from lodestar.operators.joins import estimated_bytes, maybe_broadcast
+from lodestar.operators.joins import maybe_broadcast
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 16
 ID_RUN = 4096
-RANGE_BYTES = 64 * 1024 * 1024  # of input a range
+RANGE_BYTES = 8 * 1024 * 1024  # of keys a range, beyond the session's number of tasks
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -471,10 +471,11 @@ def trie(conversations: DataFrame, ranges: int | None = None) -> DataFrame:
     n_leaves, saved_tokens, ends_sha256 of every node; ``conversations`` has conv_id
     and turns (see ``turn_lists``), one row a conversation."""
     spark = conversations.sparkSession
+    distinct = materialise(sequences(conversations), "trie-distinct")
     if ranges is None:
-        ranges = max(task_count(spark), estimated_bytes(conversations) // RANGE_BYTES)
-        ranges = min(ranges, 20_000)
-    dealt = sequences(conversations).repartitionByRange(ranges, "key")
+        held = distinct.agg(F.sum(F.octet_length("key") + F.lit(64))).first()[0] or 0
+        ranges = max(task_count(spark), held // RANGE_BYTES)
+    dealt = distinct.repartitionByRange(ranges, "key")
     stored = materialise(dealt.withColumn("range", F.spark_partition_id()), "trie-sequences")
     ends = stored.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     # one row a range
@@ -505,7 +506,7 @@ def trie(conversations: DataFrame, ranges: int | None = None) -> DataFrame:
     # only prefixes right under an open one, and open ones, look their parent up
     looked = below.where(F.col("parent_name").isNotNull()).join(up, "parent_name").withColumn("parent_conv_id", F.col("up_id"))
     done = looked.drop("up_id").unionByName(below.where(F.col("parent_name").isNull()))
-    release(stored)
+    release(distinct, stored)
     return done.select(
         "conv_id",
         "depth",
