@@ -7,6 +7,7 @@ from lodestar.llm import (  # noqa: F401
     q_decontam,
     q_fim,
     q_html,
+    q_lm,
     q_minhash,
     q_mixing,
     q_quality,
