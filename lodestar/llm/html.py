@@ -4,10 +4,12 @@ A page is read into text nodes, each with the path of open elements from the
 root (tag and class) to the node. Elements that can't be article text by what
 they are (scripts, styles, forms, menus, page headers and footers, asides) or
 by what their class, id or role says (adverts, notices, sidebars, comments)
-are passed over with all they hold. Inside the article, class and id of headings
-and inline elements and any id say nothing, and a block whose class is on the list
-stays if its path has the ratio of the article's other text. For the rest, text
-length and punctuation are aggregated per tag path:
+are passed over with all they hold. Blocks named as reader comments, adverts,
+newsletters or cookie notices go wherever they stand, nested articles included.
+Other words of the list (alert, related, search) may name article text: inside the
+article, class and id of headings and inline elements and any id say nothing, and a
+block whose class is on the list stays if its path has the ratio of the article's
+other text. For the rest, text length and punctuation are aggregated per tag path:
 
 - ratio of a path = (characters / nodes) * (1 + punctuation / nodes);
 - the ratios are smoothed along the page with a Gaussian over neighbouring
@@ -26,7 +28,9 @@ blocks are trimmed and joined by one space in page order. Inline elements don't
 break a block; every other tag does.
 
 Defined results: NULL, empty and textless pages give the empty string; broken
-and unclosed markup is read leniently to the end of the page; repeated pages
+and unclosed markup is read leniently to the end of the page, however deep it
+nests (nothing here recurses, and a path is a number, not a string), and any
+``<!...>`` or ``<?...>`` is a comment; repeated pages
 each give a row; an empty table gives an empty result. Extra columns are not
 read unless they are carried.
 """
@@ -67,6 +71,17 @@ NOT_CONTENT = frozenset(
     "replies respond disqus discussion footer copyright disclaimer toolbar pagination pager skip sitemap search "
     "searchbox form masthead topbar".split()
 )
+# Words of a block's class or id that never name article text, and words that stand
+# beside them in such names ("comment-list", "post-comments"; not "comments-open").
+NEVER_NAMED = frozenset(
+    "comments commentlist disqus advert adverts advertisement advertisements advertising adsense adslot sponsored "
+    "newsletter cookie cookies gdpr".split()
+)
+NEVER_CLASS = NEVER_NAMED | {"comment"}
+BESIDE = frozenset(
+    "list area section body text thread threads block box wrapper wrap container item items unit slot banner top bottom "
+    "inner outer main content post article page reader readers user users notice bar form signup hidden visible".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Open elements that a start tag closes.
 CLOSES = {
@@ -88,16 +103,31 @@ PUNCTUATION = re.compile(r"[.,;:!?、。，！？…¿¡\"'()]")
 _TOKENS = re.compile(r"[a-z0-9]+")
 
 
+def _named(names: list[str], never: frozenset[str]) -> bool:
+    """Whether one of the names consists of words of ``never`` and words beside them."""
+    for name in names:
+        words = [w for w in _TOKENS.findall(name) if not w.isdigit()]
+        if any(w in never for w in words) and all(w in never or w in BESIDE for w in words):
+            return True
+    return False
+
+
 class Element:
-    __slots__ = ("tag", "label", "parent", "skip", "listed", "whole", "votes", "children")
+    """An open element. What depends on its parents is settled when it is opened."""
+
+    __slots__ = ("tag", "path", "parent", "skip", "listed", "whole", "plain", "title", "votes", "best", "part")
 
-    def __init__(self, tag, label, parent, skip, listed=""):
-        self.tag, self.label, self.parent, self.skip = tag, label, parent, skip
+    def __init__(self, tag, path, parent, skip, listed=""):
+        self.tag, self.path, self.parent, self.skip = tag, path, parent, skip
         self.listed = listed  # "class" or "id", whichever is on the list
         self.whole = tag in WHOLE or bool(parent and parent.whole)
-        self.votes, self.children = 0, []
-        if parent is not None:
-            parent.children.append(self)
+        # outside of what the word list names, which inside an article or main
+        # element doesn't settle what a heading, an inline element or an id is
+        soft = self.whole and (listed == "id" or tag in INLINE or tag in HEADINGS)
+        self.plain = (not listed or soft) and (parent is None or parent.plain)
+        # the page's first heading is part of its text, however short
+        self.title = tag == "h1" or bool(parent and parent.title)
+        self.votes, self.best, self.part = 0, None, None
 
 
 class TextNodes(HTMLParser):
@@ -105,8 +135,11 @@ class TextNodes(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Element("", "", None, False)
+        self.paths: dict[tuple[int, str], int] = {}
+        self.root = Element("", 0, None, False)
+        self.elements = [self.root]  # parents before children
         self.open = [self.root]
+        self.opened: dict[str, int] = {}  # open elements by tag
         self.block = 0
         self.nodes: list[tuple[Element, int, str]] = []
 
@@ -117,10 +150,18 @@ class TextNodes(HTMLParser):
         if tag in VOID:
             return
         at = {k: v or "" for k, v in attrs}
-        classes, ids = (set(_TOKENS.findall(at.get(k, "").lower())) for k in ("class", "id"))
+        names = {k: at.get(k, "").lower() for k in ("class", "id")}
+        classes, ids = (set(_TOKENS.findall(names[k])) for k in ("class", "id"))
         parent = self.open[-1]
+        block = tag not in INLINE and tag not in HEADINGS and tag not in ("html", "body", "main")
+        never = (
+            block
+            and (tag != "article" or parent.whole)
+            and (_named(names["class"].split(), NEVER_CLASS) or _named([names["id"]], NEVER_NAMED))
+        )
         skip = (
             parent.skip
+            or never
             or tag in NEVER
             or (tag == "header" and not parent.whole)
             or ("header" in classes | ids and not parent.whole and tag not in WHOLE)
@@ -131,55 +172,65 @@ class TextNodes(HTMLParser):
         listed = ""
         if tag not in ("html", "body", "article", "main"):
             listed = "class" if classes & NOT_CONTENT else "id" if ids & NOT_CONTENT else ""
-        self.open.append(Element(tag, f"{tag}.{at.get('class', '')}", parent, skip, listed))
+        path = self.paths.setdefault((parent.path, f"{tag}.{at.get('class', '')}"), len(self.paths) + 1)
+        e = Element(tag, path, parent, skip, listed)
+        self.elements.append(e)
+        self.open.append(e)
+        self.opened[tag] = self.opened.get(tag, 0) + 1
+
+    def _close(self, first: int, last: int | None = None) -> None:
+        for e in self.open[first:last]:
+            self.opened[e.tag] -= 1
+        del self.open[first:last]
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)  # "<p/>" opens a p in HTML
 
     def _close_implied(self, tag: str) -> None:
-        closes = CLOSES.get(tag, {"p"})
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in closes or (tag in CLOSES and self.open[i].tag == "p"):
-                del self.open[i:]
-                if tag not in CLOSES:
+        closes = CLOSES.get(tag, set()) | {"p"}
+        while any(self.opened.get(c) for c in closes):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in closes:
+                    self._close(i)
+                    break
+                if self.open[i].tag in SCOPE:
                     return
-                return self._close_implied(tag)
-            if self.open[i].tag in SCOPE:
+            else:
+                return
+            if tag not in CLOSES:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.block += 1
+        if not self.opened.get(tag):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             e = self.open[i]
             if e.tag == tag:
                 if tag in INLINE and any(x.tag not in INLINE for x in self.open[i + 1 :]):
-                    del self.open[i]  # blocks inside go on
+                    self._close(i, i + 1)  # blocks inside go on
                 else:
-                    del self.open[i:]
+                    self._close(i)
                 return
             # an end tag of a part doesn't close what holds it
             if tag not in SCOPE and e.tag in SCOPE:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         e = self.open[-1]
         if not e.skip and data:
             self.nodes.append((e, self.block, data))
 
 
-def _path(e: Element, memo: dict) -> str:
-    p = memo.get(id(e))
-    if p is None:
-        p = memo[id(e)] = (_path(e.parent, memo) if e.parent is not None else "") + "/" + e.label
-    return p
-
-
-def path_scores(nodes: list[tuple[str, str]], spread: float = 1.5) -> list[float]:
+def path_scores(nodes: list[tuple[int, str]], spread: float = 1.5) -> list[float]:
     """Fused ratio of each (path, text) node."""
-    chars: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, int] = {}
+    chars: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
     for path, text in nodes:
         chars[path] = chars.get(path, 0) + len(text)
         marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
@@ -196,15 +247,15 @@ def path_scores(nodes: list[tuple[str, str]], spread: float = 1.5) -> list[float
     return fused
 
 
-def content_paths(nodes: list[tuple[str, str]], fraction: float = 0.2) -> set[str]:
+def content_paths(nodes: list[tuple[int, str]], fraction: float = 0.2) -> set[int]:
     """Paths whose fused ratio, weighted by length, reaches the threshold."""
     if not nodes:
         return set()
     fused = path_scores(nodes)
     mean = sum(fused) / len(fused)
     sd = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    weight: dict[str, int] = {}
-    score: dict[str, float] = {}
+    weight: dict[int, int] = {}
+    score: dict[int, float] = {}
     for (path, text), f in zip(nodes, fused):
         weight[path] = weight.get(path, 0) + len(text)
         score[path] = score.get(path, 0.0) + f * len(text)
@@ -213,23 +264,11 @@ def content_paths(nodes: list[tuple[str, str]], fraction: float = 0.2) -> set[st
     return kept or {max(weight, key=lambda p: (score[p], p))}
 
 
-def _plain(e: Element | None, memo: dict[int, bool]) -> bool:
-    """Outside of what the word list names, which inside an article or main
-    element doesn't settle what a heading, an inline element or an id is."""
-    if e is None:
-        return True
-    v = memo.get(id(e))
-    if v is None:
-        soft = e.whole and (e.listed == "id" or e.tag in INLINE or e.tag in HEADINGS)
-        v = memo[id(e)] = (not e.listed or soft) and _plain(e.parent, memo)
-    return v
-
-
-def _block_ratios(nodes) -> dict[str, float]:
+def _block_ratios(nodes) -> dict[int, float]:
     """Characters and punctuation by block and path, as ``path_scores`` has them by node."""
-    chars: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, set[int]] = {}
+    chars: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, set[int]] = {}
     for path, block, text in nodes:
         if not text.isspace():
             chars[path] = chars.get(path, 0) + len(text)
@@ -238,9 +277,16 @@ def _block_ratios(nodes) -> dict[str, float]:
     return {p: chars[p] / len(count[p]) * (1 + marks[p] / len(count[p])) for p in chars}
 
 
-def in_title(e: Element | None) -> bool:
-    """The page's first heading is part of its text, however short."""
-    return e is not None and (e.tag == "h1" or in_title(e.parent))
+def _container(elements: list[Element], whole: bool) -> Element:
+    """From the root down to the child with nearly all votes, to an article or
+    main element (``whole``), or to the lowest block that holds all votes."""
+    at = elements[0]
+    while not (whole and at.tag in WHOLE):
+        best = at.best
+        if best is None or (best.votes < 0.9 * at.votes if whole else best.tag in INLINE or best.votes < at.votes):
+            break
+        at = best
+    return at
 
 
 def main_text(html: str | None) -> str:
@@ -249,56 +295,43 @@ def main_text(html: str | None) -> str:
     page = TextNodes()
     page.feed(html)
     page.close()
-    memo: dict = {}
-    plain: dict[int, bool] = {}
     # an article or main inside a listed part belongs to that part
-    full = [(e, b, t) for e, b, t in page.nodes if not t.isspace() and _plain(e, plain)]
+    full = [(e, b, t) for e, b, t in page.nodes if not t.isspace() and e.plain]
     if not full:
         return ""
-    paths = [(_path(e, memo), t) for e, _, t in full]
+    paths = [(e.path, t) for e, _, t in full]
     kept = content_paths(paths)
     for (e, _, t), (p, _) in zip(full, paths):
-        if p in kept or in_title(e):
-            while e is not None:
-                e.votes += len(t)
-                e = e.parent
-    at = page.root
-    while at.tag not in WHOLE:
-        best = max((c for c in at.children if c.tag in CONTAINERS), key=lambda c: c.votes, default=None)
-        if best is None or best.votes < 0.9 * at.votes:
-            break
-        at = best
-    if at.tag not in WHOLE:  # the lowest block that holds all votes
-        at = page.root
-        while True:
-            best = max((c for c in at.children if c.tag in CONTAINERS), key=lambda c: c.votes, default=None)
-            if best is None or best.tag in INLINE or best.votes < at.votes:
-                break
-            at = best
-    inside: dict[int, Element | None | bool] = {}
-
-    def part(e: Element | None) -> Element | None | bool:
-        """``at``, the outermost listed block inside it that holds the element, or False."""
-        if e is None or e is at:
-            return e is at and at
-        v = inside.get(id(e))
-        if v is None:
-            v = part(e.parent)
-            if v is at and e.listed:
-                if at.tag in ("", "html", "body"):  # all of the page, not a container
-                    v = False
-                elif e.listed == "class" and e.tag not in INLINE and e.tag not in HEADINGS:
-                    v = e
-            inside[id(e)] = v
-        return v
-
-    parts = [(part(e), e, b, t) for e, b, t in page.nodes]
-    ratios = _block_ratios((_path(v, memo) if v is not at else "", b, t) for v, _, b, t in parts if v)
-    own = ratios.get("", 0.0)
+        if p in kept or e.title:
+            e.votes += len(t)
+    for e in reversed(page.elements[1:]):  # children before parents
+        e.parent.votes += e.votes
+    for e in page.elements[1:]:
+        if e.tag in CONTAINERS and (e.parent.best is None or e.votes > e.parent.best.votes):
+            e.parent.best = e
+    at = _container(page.elements, True)
+    if at.tag not in WHOLE:
+        at = _container(page.elements, False)
+    # ``part``: the container, the outermost listed block inside it that holds the
+    # element, or None
+    at.part = at
+    for e in page.elements[1:]:
+        if e is at:
+            continue
+        v = e.parent.part
+        if v is at and e.listed:
+            if at.tag in ("", "html", "body"):  # all of the page, not a container
+                v = None
+            elif e.listed == "class" and e.tag not in INLINE and e.tag not in HEADINGS:
+                v = e
+        e.part = v
+    held = [(e.part, b, t) for e, b, t in page.nodes if e.part is not None]
+    ratios = _block_ratios((v.path if v is not at else -1, b, t) for v, b, t in held)
+    own = ratios.get(-1, 0.0)
     blocks: list[list[str]] = []
     last = None
-    for v, _, b, t in parts:
-        if v is at or (v and ratios.get(_path(v, memo), 0.0) >= max(LISTED_RATIO, own)):
+    for v, b, t in held:
+        if v is at or ratios.get(v.path, 0.0) >= max(LISTED_RATIO, own):
             if b != last:
                 blocks.append([])
                 last = b

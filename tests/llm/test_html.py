@@ -82,6 +82,62 @@ def test_names_inside_an_article(wrap):
     assert main_text(full) == want
 
 
+LONG = "A long reply, with marks! And more, still more words, as readers write them. "
+SHORT = "<h1>Title</h1>" + "".join(f"<p>Short line {i}.</p>" for i in range(12))
+ARTICLE = "Title " + " ".join(f"Short line {i}." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<main>{a}<section class='comments'><p>{c}</p></section></main>",
+        "<article>{a}<div class='comments'><p>{c}</p></div></article>",
+        "<main>{a}<article class='comment'><p>{c}</p></article><article class='comment odd'><p>{c}</p></article></main>",
+        "<article>{a}</article><div id='comments'><p>{c}</p></div>",
+        "<article>{a}<div id='comments'><ol class='comment-list'><li class='comment'>{c}</li></ol></div></article>",
+        "<article>{a}<div class='advert'><p>{c}</p></div></article>",
+        "<div class='page'><div class='story'>{a}</div><div class='user-comments'><p>{c}</p></div></div>",
+        "<main><article class='post comments-open'>{a}<div class='newsletter-signup'>{c}</div></article></main>",
+    ],
+)
+def test_long_comments_and_adverts_go(around):
+    assert main_text(f"<body><nav>Home</nav>{around.format(a=SHORT, c=LONG * 9)}</body>") == ARTICLE
+
+
+def test_odd_declarations():
+    for odd in ("<![foo bar]>", "<![", "<![CDATA[x]]>", "<!DOCTYPE [", "<!-", "<!->", "<!--", "<?", "<?php x ?>", "<", "<!", "</", "<![if !IE]>", "&#", "&#x110000;", "<a b='", "<p/><br/>"):
+        assert main_text(f"<article><p>before</p>{odd}").startswith("before")
+        assert "before" in main_text(f"<article><p>before</p>{odd}<p>after > it</p></article>")
+    assert main_text("<article><p>a</p><![foo bar]><p>b</p></article>") == "a b"
+
+
+def test_depth_costs_no_recursion():
+    for opened, closed in (("<div>", "</div>"), ("<b>", ""), ("<span>", "</span>"), ("<ul><li>", ""), ("<div class=x>", "")):
+        for depth in (1500, 10_000):
+            assert main_text(f"<article><p>head</p>{opened * depth}deep{closed * depth}</article>") == "head deep"
+            assert main_text(opened * depth + "deep text, here." + closed * depth) == "deep text, here."
+    assert main_text("<b>x" * 10_000).split() == ["x" * 10_000]
+    assert main_text("<article>" + "<b>" * 5000 + "x" + "</i>" * 20_000) == "x"
+
+
+def test_mangled_pages_end_in_a_text():
+    rng = random.Random(8)
+    pieces = ["<!", "<![", "]>", "--", "<?", "&#", "&amp", "</", "/>", "<table>", "<td>", "</p>", "<svg>", "'", '"', "=", "<script>", "\x00", "\ud7ff"]
+    for _ in range(2000):
+        raw = list(page(rng, ("<article>", "</article>"))[0])
+        for _ in range(rng.randrange(1, 12)):
+            at = rng.randrange(len(raw))
+            kind = rng.randrange(3)
+            if kind == 0:
+                raw[at : at + rng.randrange(1, 40)] = []
+            elif kind == 1:
+                raw[at:at] = rng.choice(pieces)
+            else:
+                raw[at] = chr(rng.randrange(1, 300))
+        text = main_text("".join(raw))
+        assert text == " ".join(text.split())
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "clash"), (1, "u", "<article><p>x</p></article>", "clash"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
