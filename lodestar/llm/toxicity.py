@@ -25,7 +25,8 @@ whole text once.
 Defined results: NULL and empty texts score the intercept; labels that are NULL
 are left out, of repeated labels the largest counts; rows with NULL id are
 scored and never learned from; repeated rows are scored alike; without labels of
-both kinds every score is the share of label 1 (0.5 without any); an empty
+both kinds every score is the share of label 1 (0.5 without any), and near that
+share if no term passes the screen, as with a few labels; an empty
 table gives an empty result. Columns of other names are not read.
 """
 
@@ -126,6 +127,12 @@ def fit(terms: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: in
     return _descend(keys[anchor | beside], terms, label, weight, share, seed) if beside.any() else model
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by place; zeros where there is nothing (``bincount`` of
+    nothing gives integers)."""
+    return np.bincount(at, values, n).astype(float)
+
+
 def _places(keys: np.ndarray, terms: list[np.ndarray]) -> list[np.ndarray]:
     """The places in ``keys`` of each row's terms."""
     index = [np.searchsorted(keys, t) for t in terms]
@@ -139,7 +146,8 @@ def _logits(model: dict[str, np.ndarray], terms: list[np.ndarray]) -> np.ndarray
 
 
 def _descend(keys: np.ndarray, terms: list[np.ndarray], label: np.ndarray, weight: np.ndarray, share: float, seed: int) -> dict[str, np.ndarray]:
-    """AdaGrad over the rows' terms that are in ``keys``."""
+    """AdaGrad over the rows' terms that are in ``keys``; rows without any, and no
+    keys at all, move the bias alone."""
     index = _places(keys, terms)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(keys)), rng.normal(0, 0.01, (len(keys), FACTORS))
@@ -153,14 +161,14 @@ def _descend(keys: np.ndarray, terms: list[np.ndarray], label: np.ndarray, weigh
             flat = np.concatenate([index[i] for i in batch])
             owner = np.repeat(np.arange(len(batch)), sizes)
             vs = v[flat]
-            total_v = np.stack([np.bincount(owner, vs[:, f], len(batch)) for f in range(FACTORS)], 1)
-            logit = bias + np.bincount(owner, w[flat], len(batch))
-            logit += 0.5 * ((total_v**2).sum(1) - np.bincount(owner, (vs**2).sum(1), len(batch)))
+            total_v = np.stack([_sums(owner, vs[:, f], len(batch)) for f in range(FACTORS)], 1)
+            logit = bias + _sums(owner, w[flat], len(batch))
+            logit += 0.5 * ((total_v**2).sum(1) - _sums(owner, (vs**2).sum(1), len(batch)))
             err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[batch]) * scale[batch] / len(batch)
             g = err[owner]
             touched = np.flatnonzero(np.bincount(flat, minlength=len(keys)))
-            dw = np.bincount(flat, g, len(keys))[touched]
-            dv = np.stack([np.bincount(flat, g * (total_v[owner, f] - vs[:, f]), len(keys))[touched] for f in range(FACTORS)], 1)
+            dw = _sums(flat, g, len(keys))[touched]
+            dv = np.stack([_sums(flat, g * (total_v[owner, f] - vs[:, f]), len(keys))[touched] for f in range(FACTORS)], 1)
             dv += L2 * v[touched]
             gw[touched] += dw**2
             gv[touched] += dv**2

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, documents, prose
 
@@ -93,3 +94,39 @@ def test_terms_and_scorer_agree():
     assert len(text_terms("Idiot, idiot IDIOT", memo)) == 1 + 2
     model = {"bias": np.array([-1.0]), "key": text_terms("clown", {}), "w": np.ones(3, np.float32), "v": np.zeros((3, toxicity.FACTORS), np.float32)}
     assert abs(Scorer(model).score("a CLOWN.") - 1 / (1 + np.exp(-2))) < 1e-9
+
+
+@pytest.mark.parametrize("rows", [2, 3, 10, 50])
+def test_few_labels_give_defined_scores(rows):
+    terms = [text_terms("you idiot" if i % 2 else "a kind word", {}) for i in range(rows)]
+    model = fit(terms, np.arange(rows) % 2 * 1.0, np.ones(rows))
+    for text in ("you idiot", "a kind word", "", None):
+        assert 0 < Scorer(model).score(text) < 1
+
+
+def test_labels_without_strong_terms():
+    rng = random.Random(5)
+    texts = [prose(rng, 30) for _ in range(600)] + ["", "   "] * 200
+    label = np.array([float(rng.random() < 0.3) for _ in texts])
+    model = fit([text_terms(t, {}) for t in texts], label, np.ones(len(texts)))
+    got = [Scorer(model).score(t) for t in texts[:50] + [""]]
+    assert all(0 < s < 0.95 for s in got) and abs(got[-1] - 0.3) < 0.15
+    # label 1 where exactly one of two words stands: neutral alone, no crash
+    texts = [("red " if i & 1 else "") + ("blue " if i & 2 else "") + prose(rng, 5) for i in range(2000)]
+    label = np.array([float(bool(i & 1) != bool(i & 2)) for i in range(2000)])
+    model = fit([text_terms(t, {}) for t in texts], label, np.ones(2000))
+    assert 0 < Scorer(model).score("red blue") < 1
+
+
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    words = ["alpha", "be", "gamma", "delta", "omega"]
+    keys = np.unique(np.concatenate([text_terms(w, {}) for w in words]))
+    model = {"bias": np.array([-0.7]), "key": keys, "w": rng.normal(0, 1, len(keys)).astype(np.float32), "v": rng.normal(0, 0.5, (len(keys), 4)).astype(np.float32)}
+    for text in ("alpha be", "Gamma, delta! omega", "unknown words", "alpha beta gamma delta epsilon omega be"):
+        held = [int(np.searchsorted(keys, t)) for t in text_terms(text, {}) if t in keys]
+        logit = -0.7 + sum(float(model["w"][i]) for i in held)
+        for n, i in enumerate(held):
+            for j in held[n + 1 :]:
+                logit += float(model["v"][i].astype(float) @ model["v"][j].astype(float))
+        assert abs(Scorer(model).score(text) - 1 / (1 + np.exp(-logit))) < 1e-9
