@@ -84,6 +84,7 @@ from lodestar.operators.profile import (  # noqa: F401
 )
 from lodestar.operators.ranking import leave_last_out, top_genres, top_n  # noqa: F401
 from lodestar.operators.scoring import dense_top_n  # noqa: F401
+from lodestar.operators.sparse import sparse_top_n  # noqa: F401
 from lodestar.operators.validate import (  # noqa: F401
     admit,
     apply_history_defaults,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.filters import recently_played
 from lodestar.operators.joins import maybe_broadcast
-from lodestar.operators.scoring import dense_top_n
+from lodestar.operators.sparse import packed, sparse_top_n
 
 VOCAB_SIZE = 100
 
@@ -73,23 +73,33 @@ def dense_sides(user_vec: DataFrame, item_vec: DataFrame, dim: int | None = None
 
 def content_recommend(user_vec: DataFrame, item_vec: DataFrame, owned: DataFrame | None, n: int = 10,
                       dim: int | None = None, blocked: DataFrame | None = None, min_score: float | None = None,
-                      games: DataFrame | None = None, per_genre: int | None = None) -> DataFrame:
+                      games: DataFrame | None = None, per_genre: int | None = None, parts: bool = False) -> DataFrame:
     """M3: cosine(player, item) over items the player does not own, top
     ``n`` (score desc, item asc); only positive scores. Item vectors are
-    L2-normalised by M1.
+    L2-normalised by M1; they are searched by posting lists (``sparse``).
 
     Rules act on all candidates, before the list is cut: ``blocked`` games
     never compete, ``min_score`` is a floor, and with ``games`` (game_id,
-    genre_id) a list holds at most ``per_genre`` games of a genre."""
-    users, items, dim = dense_sides(user_vec, item_vec, dim)
+    genre_id) a list holds at most ``per_genre`` games of a genre. With
+    ``parts`` each row carries the shared terms and their parts of the score."""
+    if dim is None:
+        dim = int(item_vec.agg(F.max("idx").alias("m")).first()["m"] or 0) + 1
+    users, items = packed(user_vec, "player_id"), packed(item_vec, "game_id")
     if blocked is not None:
         items = items.join(maybe_broadcast(blocked.select("game_id").distinct()), "game_id", "left_anti")
     if per_genre is not None:
         items = items.join(maybe_broadcast(games.select("game_id", "genre_id")), "game_id")
     own = owned.select("player_id", "game_id") if owned is not None else None
-    out = dense_top_n(users, items, own, n=n, cosine=True, dim=dim, positive_only=True,
-                      group="genre_id" if per_genre is not None else None, per_group=per_genre)
-    return out if min_score is None else out.where(F.col("score") >= F.lit(min_score))
+    return sparse_top_n(users, items, own, max(dim, 1), n, cosine=True, positive_only=True, min_score=min_score,
+                        group="genre_id" if per_genre is not None else None, per_group=per_genre, parts=parts)
+
+
+def popular_recommend(players: DataFrame, sessions: DataFrame, owned: DataFrame | None, n: int = 10) -> DataFrame:
+    """The ``n`` unseen games with the most distinct players, for each player."""
+    one = F.array(F.lit(0)).alias("idx")
+    users = players.select("player_id", one, F.array(F.lit(1.0)).alias("w"))
+    items = popular_vectors(sessions).select("game_id", one, F.col("vec").alias("w"))
+    return sparse_top_n(users, items, owned, 1, n)
 
 
 def popular_vectors(sessions: DataFrame) -> DataFrame:
@@ -117,5 +127,5 @@ def cold_start(players: DataFrame, sessions: DataFrame, item_vec: DataFrame, as_
     inter = recent.select("player_id", "game_id", F.col("n_sessions").cast("double").alias("weight"))
     warm = content_recommend(user_vectors(inter, item_vec), item_vec, owned, n, dim)
     cold = players.select("player_id").join(recent.select("player_id").distinct(), "player_id", "left_anti")
-    popular = dense_top_n(cold.withColumn("vec", F.array(F.lit(1.0))), popular_vectors(sessions), owned, n=n, dim=1)
+    popular = popular_recommend(cold, sessions, owned, n)
     return warm.withColumn("source", F.lit("content")).unionByName(popular.withColumn("source", F.lit("popular")))

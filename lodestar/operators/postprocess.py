@@ -51,3 +51,20 @@ def explain(recs: DataFrame, user_vec: DataFrame, item_vec: DataFrame, k: int =
     ranked = c.withColumn("share", F.col("contribution") / tot).withColumn("term_rank", F.row_number().over(w))
     return ranked.where(F.col("term_rank") <= k).select("player_id", "game_id", "term_rank", "term",
                                                         "contribution", "share")
+
+
+def explain_parts(recs: DataFrame, vocab: DataFrame, k: int = 3) -> DataFrame:
+    """R3 from lists that carry their parts of the score (``content_recommend``
+    with ``parts``): as ``explain``, without joining vectors again. ``vocab`` (term,
+    idx) has at most the vocabulary's size, which is a parameter of M1."""
+    names = sorted((r["idx"], r["term"]) for r in vocab.select("idx", "term").collect())
+    if not names:
+        names = [(0, "")]
+    held = F.create_map(*[F.lit(x) for pair in names for x in pair])
+    pair = F.arrays_zip(F.transform("terms", lambda i: held[i]).alias("term"), F.col("shares").alias("part"))
+    # largest part first, equal parts by term
+    keyed = F.array_sort(F.transform(pair, lambda x: F.struct((-x["part"]).alias("o"), x["term"].alias("term"), x["part"].alias("part"))))
+    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
+    rows = recs.select("player_id", "game_id", total.alias("total"), F.posexplode(F.slice(keyed, 1, k)).alias("place", "x"))
+    return rows.select("player_id", "game_id", (F.col("place") + 1).alias("term_rank"), F.col("x.term").alias("term"),
+                       F.col("x.part").alias("contribution"), (F.col("x.part") / F.col("total")).alias("share"))

@@ -72,6 +72,29 @@ def _grouped_rows(s: np.ndarray, n: int, groups: np.ndarray, per_group: int):
     return _ranked_rows(best, n)
 
 
+PAIRS_PER_ROW = 50_000
+
+
+def owned_rows(owned: DataFrame, ub, ib) -> DataFrame:
+    """(ub, ib, owners, games): the pairs of each block in rows of about
+    PAIRS_PER_ROW, as a row a pair costs more to hand to Python than to score.
+    A player's pairs are spread over the rows, so none grows with a player."""
+    pairs = owned.select(F.col("player_id").cast("long"), F.col("game_id").cast("long"))
+    n = pairs.count()
+    part = F.pmod(F.xxhash64("player_id", "game_id"), F.lit(max(1, -(-n // PAIRS_PER_ROW))))
+    put = pairs.groupBy(ub, ib, part.alias("part")).agg(F.collect_list(F.struct("player_id", "game_id")).alias("p"))
+    # an id of 0 keeps pandas' column of ids whole numbers
+    return put.select("ub", "ib", F.lit(0).cast("long").alias("player_id"), F.transform("p", lambda x: x["player_id"]).alias("owners"),
+                      F.transform("p", lambda x: x["game_id"]).alias("games"))
+
+
+def _pairs_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and games of all pairs of a block."""
+    if not len(rows):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate([np.asarray(x, np.int64) for x in rows[c]]) for c in ("owners", "games"))
+
+
 def _score_block(n: int, cosine: bool, positive_only: bool, per_group: int | None):
     """Top ``n`` of one player block against one item block. The left side
     holds the players' vectors and the block's owned pairs."""
@@ -85,13 +108,12 @@ def _score_block(n: int, cosine: bool, positive_only: bool, per_group: int | Non
         ids, mat = items["game_id"].to_numpy(dtype=np.int64), np.stack(items["vec"].to_numpy()).astype(np.float64)
         groups = items["grp"].to_numpy(dtype=np.int64) if per_group else None
         uid = users["player_id"].to_numpy(dtype=np.int64)
-        owned = left[~has]
-        row = np.searchsorted(uid, owned["player_id"].to_numpy(dtype=np.int64))
-        col = np.searchsorted(ids, owned["game_id"].to_numpy(dtype=np.int64))
+        who, what = _pairs_of(left[~has])
+        row, col = np.searchsorted(uid, who), np.searchsorted(ids, what)
         ok = (row < len(uid)) & (col < len(ids))
-        ok[ok] = (uid[row[ok]] == owned["player_id"].to_numpy(dtype=np.int64)[ok]) & (
-            ids[col[ok]] == owned["game_id"].to_numpy(dtype=np.int64)[ok])
-        row, col = row[ok], col[ok]
+        ok[ok] = (uid[row[ok]] == who[ok]) & (ids[col[ok]] == what[ok])
+        order = np.argsort(row[ok], kind="stable")
+        row, col = row[ok][order], col[ok][order]
         # keep one score block near BLOCK_BYTES whatever the catalogue size
         step = max(1, min(USER_BATCH, BLOCK_BYTES // max(1, 8 * len(ids))))
         parts = []
@@ -101,7 +123,7 @@ def _score_block(n: int, cosine: bool, positive_only: bool, per_group: int | Non
                 norms = np.linalg.norm(u, axis=1, keepdims=True)
                 u = np.divide(u, norms, out=np.zeros_like(u), where=norms > 0)
             s = np.round(u @ mat.T, SCORE_DIGITS)
-            mine = (row >= start) & (row < start + step)
+            mine = slice(*np.searchsorted(row, (start, start + step)))
             s[row[mine] - start, col[mine]] = -np.inf
             if positive_only:
                 s[~(s > 0)] = -np.inf
@@ -123,15 +145,13 @@ def _blocked(users: DataFrame, items: DataFrame, owned: DataFrame | None, dim: i
     item_blocks = max(1, -(-n_items * 8 * max(dim, 1) // max_bytes))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     user_blocks = max(-(-tasks // item_blocks), -(-users.count() // USERS_PER_BLOCK))
-    ub = F.pmod(F.xxhash64("player_id"), F.lit(user_blocks)).cast("int")
-    ib = F.pmod(F.xxhash64("game_id"), F.lit(item_blocks)).cast("int")
+    ub = F.pmod(F.xxhash64(F.col("player_id").cast("long")), F.lit(user_blocks)).cast("int").alias("ub")
+    ib = F.pmod(F.xxhash64(F.col("game_id").cast("long")), F.lit(item_blocks)).cast("int").alias("ib")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = users.select(F.col("player_id").cast("long"), F.col("vec").cast("array<double>"),
-                        F.lit(None).cast("long").alias("game_id"), ub.alias("ub"), every(item_blocks).alias("ib"))
+                        ub, every(item_blocks).alias("ib"))
     if owned is not None:
-        pairs = owned.select(F.col("player_id").cast("long"), F.col("game_id").cast("long"))
-        left = left.unionByName(pairs.select("player_id", F.lit(None).cast("array<double>").alias("vec"), "game_id",
-                                             ub.alias("ub"), ib.alias("ib")))
+        left = left.unionByName(owned_rows(owned, ub, ib), allowMissingColumns=True)
     right = items.withColumn("ib", ib).withColumn("ub", every(user_blocks))
     return left, right, item_blocks
 

@@ -10,9 +10,9 @@ from lodestar.operators import content as C
 from lodestar.operators import models as M
 from lodestar.operators.evaluate import compare, evaluate
 from lodestar.operators.joins import exclude_owned
-from lodestar.operators.postprocess import apply_business_rules, explain
+from lodestar.operators.postprocess import apply_business_rules, explain_parts
 from lodestar.operators.ranking import leave_last_out
-from lodestar.operators.scoring import SCORE_DIGITS, dense_blend_top_n, dense_top_n
+from lodestar.operators.scoring import SCORE_DIGITS, dense_blend_top_n
 from lodestar.plans.registry import query
 from lodestar.session import cut_lineage
 from lodestar.sources import fixtures as fx
@@ -77,7 +77,7 @@ def _content(spark, d, n=10, **rules):
     inter = _inter(spark, d)
     iv, vocab = C.tfidf(games)
     uv = C.user_vectors(inter, iv)
-    return C.content_recommend(uv, iv, inter, n, dim=vocab.count(), **rules), iv, uv
+    return C.content_recommend(uv, iv, inter, n, dim=vocab.count(), **rules), vocab
 
 
 # ------------------------------------------------------------- M1 - M4
@@ -116,7 +116,7 @@ _CONTENT10 = with_ctes("inter", extra=tfidf_ctes() + user_vec_ctes("inter")
 
 @query("content_recommendations", oracle=_CONTENT10 + "SELECT player_id, game_id, score, rank FROM crec")
 def q_content(spark, d):
-    recs, _, _ = _content(spark, d)
+    recs, _ = _content(spark, d)
     return recs.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -157,7 +157,7 @@ WHERE rank <= 10""")
 def q_business_rules(spark, d):
     """R1 inside the candidate generation: all unseen, allowed games compete."""
     blocked = fx.games(spark, d).where(F.col("game_type") == "arcade").select("game_id")
-    out, _, _ = _content(spark, d, blocked=blocked, min_score=0.6)
+    out, _ = _content(spark, d, blocked=blocked, min_score=0.6)
     return out.select("player_id", "game_id", "score", F.col("rank").cast("long"))
 
 
@@ -190,7 +190,7 @@ SELECT player_id, game_id, genre_id, score, rank FROM (
 def q_diversified(spark, d):
     """R2 inside the candidate generation: the genre limit acts on all unseen games."""
     games = fx.games(spark, d)
-    recs, _, _ = _content(spark, d, games=games, per_genre=2)
+    recs, _ = _content(spark, d, games=games, per_genre=2)
     return recs.join(games.select("game_id", "genre_id"), "game_id").select(
         "player_id", "game_id", "genre_id", "score", F.col("rank").cast("long"))
 
@@ -206,8 +206,8 @@ ranked AS (SELECT *, contribution / SUM(contribution) OVER (PARTITION BY player_
 SELECT player_id, game_id, term_rank, term, ROUND(contribution, {D}) AS contribution, ROUND(share, 6) AS share
 FROM ranked WHERE term_rank <= 3""")
 def q_explanations(spark, d):
-    recs, iv, uv = _content(spark, d, 10)
-    out = explain(recs, uv, iv, k=3)
+    recs, vocab = _content(spark, d, 10, parts=True)
+    out = explain_parts(recs, vocab, k=3)
     return out.select("player_id", "game_id", F.col("term_rank").cast("long"), "term", _r("contribution"),
                       F.round("share", 6).alias("share"))
 
@@ -244,9 +244,7 @@ def _content_model(spark, d, train, n=10):
 
 
 def _popularity_model(spark, d, train, n=10):
-    pop = C.popular_vectors(train)
-    users = train.select("player_id").distinct().withColumn("vec", F.array(F.lit(1.0)))
-    return dense_top_n(users, pop, train.select("player_id", "game_id"), n=n, dim=1)
+    return C.popular_recommend(train.select("player_id").distinct(), train, train.select("player_id", "game_id"), n)
 
 
 def _rounded_metrics(df):
