@@ -195,110 +195,210 @@ def dense_top_n(users: DataFrame, items: DataFrame, owned: DataFrame | None, n:
     return scored.select("player_id", "game_id", "score", "rank")
 
 
-def _blend_block(models: list[tuple[str, float, int, bool, bool]], n: int,
-                 lists: list[tuple[str, float]] = (), dense_weight: float = 1.0):
-    """Blend of several models over one player block and the whole catalogue:
-    each model's scores of all unseen items, scaled per player to [0, 1]. With
-    ``lists``, their sum is scaled likewise and the lists' scores join it."""
-
-    def scaled(s: np.ndarray, has: np.ndarray) -> np.ndarray:
-        lo = np.where(has, s, np.inf).min(axis=1, keepdims=True)
-        hi = np.where(has, s, -np.inf).max(axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(hi == lo, 1.0, (s - lo) / (hi - lo))
+def network_sides(users: DataFrame, items: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]]):
+    """A network's first layer, split into the players' part (with the bias) and the
+    games' part, each computed once a row; returns both and the other layers.
+    ``layers``: (weights [in, out], bias) of each layer, the first over the player's
+    and the game's vector one after the other."""
+    (first, bias), rest = layers[0], layers[1:]
+
+    def part(weights: np.ndarray, add: np.ndarray, key: str):
+        def run(batches):
+            for b in batches:
+                x = np.stack(b["vec"].to_numpy()) @ weights + add if len(b) else np.empty((0, len(add)))
+                yield pd.DataFrame({key: b[key].to_numpy(), "vec": list(x)})
+
+        return run
+
+    dim = int((users.select(F.size("vec").alias("d")).first() or {"d": 0})["d"])
+    cast = lambda df, key: df.select(F.col(key).cast("long"), F.col("vec").cast("array<double>"))
+    u = cast(users, "player_id").mapInPandas(part(first[:dim], bias, "player_id"), "player_id long, vec array<double>")
+    i = cast(items, "game_id").mapInPandas(part(first[dim:], np.zeros(len(bias)), "game_id"), "game_id long, vec array<double>")
+    return u, i, rest
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    np.exp(np.minimum(x, 60.0, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _model_scores(u: np.ndarray, i: np.ndarray, spec: dict) -> np.ndarray:
+    """One model's scores of some players for all items of a block."""
+    if spec["rest"] is None:
+        if spec["cosine"]:
+            norms = np.linalg.norm(u, axis=1, keepdims=True)
+            u = np.divide(u, norms, out=np.zeros_like(u), where=norms > 0)
+        return np.round(u @ i.T, SCORE_DIGITS)
+    h = (u[:, None, :] + i[None, :, :]).reshape(-1, u.shape[1])
+    for weights, bias in spec["rest"]:
+        h = _sigmoid(h) @ weights + bias
+    return np.round(_sigmoid(h[:, 1] - h[:, 0]), SCORE_DIGITS).reshape(len(u), len(i))
+
+
+def _blend_block(specs: list[dict], step_of: str, n: int = 0, dense_weight: float | None = None):
+    """One player block against one item block. Step "bounds": the smallest and
+    largest score of each player and model; "totals": those of each player's blend
+    (as model -1); "top": the ``n`` best of the blend. Scores are scaled by the bounds
+    that come with the players' vectors (lo, hi). With ``dense_weight`` the blend is
+    scaled by its own bounds (tlo, thi) and listed scores are added."""
+    wanted = {"player_id": [], "game_id": [], "score": [], "rank": []} if step_of == "top" else {"player_id": [], "model": [], "lo": [], "hi": []}
+
+    def bounds_of(x: np.ndarray, has: np.ndarray, block: np.ndarray, k: int) -> pd.DataFrame:
+        lo, hi, some = np.where(has, x, np.inf).min(1), np.where(has, x, -np.inf).max(1), has.any(1)
+        return pd.DataFrame({"player_id": block[some], "model": np.int32(k), "lo": lo[some], "hi": hi[some]})
 
     def run(left: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        vecs = left[left["vec"].notna()]
-        listed = left[left["vec"].isna() & left["model"].notna()]
-        ids = np.union1d(items["game_id"].to_numpy(dtype=np.int64), listed["game_id"].to_numpy(dtype=np.int64))
-        uid = np.union1d(vecs["player_id"].to_numpy(dtype=np.int64), listed["player_id"].to_numpy(dtype=np.int64))
-        total = np.zeros((len(uid), len(ids)))
-        seen = np.zeros((len(uid), len(ids)), bool)
-        owned = left[left["vec"].isna() & left["model"].isna()]
-        row = np.searchsorted(uid, owned["player_id"].to_numpy(dtype=np.int64))
-        col = np.searchsorted(ids, owned["game_id"].to_numpy(dtype=np.int64))
+        has_vec = left["vec"].notna()
+        vecs = left[has_vec].sort_values("player_id", kind="stable")
+        others = left[~has_vec]
+        listed = others[others["adds"].notna()] if dense_weight is not None else others[:0]
+        l_who, l_what = _pairs_of(listed)
+        ids = np.union1d(items["game_id"].to_numpy(dtype=np.int64), l_what)
+        uid = np.union1d(vecs["player_id"].to_numpy(dtype=np.int64), l_who)
+        if not len(uid) or not len(ids):
+            return pd.DataFrame(wanted)
+        l_row, l_col = np.searchsorted(uid, l_who), np.searchsorted(ids, l_what)
+        l_add = np.concatenate([np.asarray(x, float) for x in listed["adds"]]) if len(listed) else np.empty(0)
+        who, what = _pairs_of(others[others["adds"].isna()] if dense_weight is not None else others)
+        row, col = np.searchsorted(uid, who), np.searchsorted(ids, what)
         ok = (row < len(uid)) & (col < len(ids))
-        ok[ok] = (uid[row[ok]] == owned["player_id"].to_numpy(dtype=np.int64)[ok]) & (
-            ids[col[ok]] == owned["game_id"].to_numpy(dtype=np.int64)[ok])
-        any_score = np.zeros_like(seen)
-        for name, weight, _, cosine, positive in models:
-            u, i = vecs[vecs["model"] == name], items[items["model"] == name]
-            if not len(u) or not len(i):
-                continue
-            um, im = np.stack(u["vec"].to_numpy()).astype(np.float64), np.stack(i["vec"].to_numpy()).astype(np.float64)
-            if cosine:
-                norms = np.linalg.norm(um, axis=1, keepdims=True)
-                um = np.divide(um, norms, out=np.zeros_like(um), where=norms > 0)
-            s = np.full(total.shape, np.nan)
-            at = np.ix_(np.searchsorted(uid, u["player_id"].to_numpy(dtype=np.int64)),
-                        np.searchsorted(ids, i["game_id"].to_numpy(dtype=np.int64)))
-            s[at] = np.round(um @ im.T, SCORE_DIGITS)
-            s[row[ok], col[ok]] = np.nan
-            if positive:
-                s[~(s > 0)] = np.nan
-            has = ~np.isnan(s)
-            total += np.where(has, weight * scaled(s, has), 0.0)
-            any_score |= has
-        if lists:
-            total = np.round(total, SCORE_DIGITS)
-            total = np.where(any_score, dense_weight * scaled(total, any_score), 0.0)
-        for name, weight in lists:
-            x = listed[listed["model"] == name]
-            if not len(x):
-                continue
-            s = np.full(total.shape, np.nan)
-            s[np.searchsorted(uid, x["player_id"].to_numpy(dtype=np.int64)),
-              np.searchsorted(ids, x["game_id"].to_numpy(dtype=np.int64))] = x["score"].to_numpy(dtype=np.float64)
-            s[row[ok], col[ok]] = np.nan
-            has = ~np.isnan(s)
-            total += np.where(has, weight * scaled(s, has), 0.0)
-            any_score |= has
-        s = np.where(any_score, np.round(total, SCORE_DIGITS), -np.inf)
-        r, c, sc, rank = _ranked_rows(s, n)
-        return pd.DataFrame({"player_id": uid[r], "game_id": ids[c], "score": sc, "rank": rank.astype(np.int32)})
+        ok[ok] = (uid[row[ok]] == who[ok]) & (ids[col[ok]] == what[ok])
+        order = np.argsort(row[ok], kind="stable")
+        row, col = row[ok][order], col[ok][order]
+        sides, widest = [], 1
+        for k, spec in enumerate(specs):
+            u, i = vecs[vecs["model"] == k], items[items["model"] == k]
+            if len(u) and len(i):
+                at = np.searchsorted(ids, i["game_id"].to_numpy(dtype=np.int64))
+                sides.append((k, spec, u, u["player_id"].to_numpy(dtype=np.int64), at, np.stack(i["vec"].to_numpy()).astype(np.float64)))
+                widest = max(widest, 1 if spec["rest"] is None else sides[-1][-1].shape[1])
+        step = max(1, min(USER_BATCH, BLOCK_BYTES // (8 * len(ids) * widest)))
+        out = []
+        for s in range(0, len(uid), step):
+            block = uid[s : s + step]
+            mine = slice(*np.searchsorted(row, (s, s + step)))
+            total, scored = np.zeros((len(block), len(ids))), np.zeros((len(block), len(ids)), bool)
+            for k, spec, u, owner, at, im in sides:
+                part = slice(*np.searchsorted(owner, (block[0], block[-1] + 1)))
+                if part.start == part.stop:
+                    continue
+                r = np.searchsorted(block, owner[part])
+                x = np.full(total.shape, np.nan)
+                x[np.ix_(r, at)] = _model_scores(np.stack(u["vec"].iloc[part].to_numpy()).astype(np.float64), im, spec)
+                x[row[mine] - s, col[mine]] = np.nan
+                if spec["positive"]:
+                    x[~(x > 0)] = np.nan
+                has = ~np.isnan(x)
+                if step_of == "bounds":
+                    out.append(bounds_of(x, has, block, k))
+                    continue
+                if spec["scaled"]:
+                    lo, hi = np.full((2, len(block), 1), np.nan)
+                    lo[r, 0], hi[r, 0] = u["lo"].iloc[part], u["hi"].iloc[part]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        x = np.where(hi == lo, 1.0, (x - lo) / (hi - lo))
+                total += np.where(has, spec["weight"] * x, 0.0)
+                scored |= has
+            if step_of == "totals":
+                out.append(bounds_of(np.round(total, SCORE_DIGITS), scored, block, -1))
+            elif step_of == "top":
+                if dense_weight is not None:
+                    t = np.full((2, len(block), 1), np.nan)
+                    first = vecs.drop_duplicates("player_id")
+                    mine_too = first["player_id"].isin(block).to_numpy()
+                    t[:, np.searchsorted(block, first["player_id"].to_numpy(dtype=np.int64)[mine_too]), 0] = first.loc[mine_too, ["tlo", "thi"]].to_numpy().T
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        one = np.where(t[1] == t[0], 1.0, (np.round(total, SCORE_DIGITS) - t[0]) / (t[1] - t[0]))
+                    total = np.where(scored, dense_weight * one, 0.0)
+                    here = (l_row >= s) & (l_row < s + step)
+                    total[l_row[here] - s, l_col[here]] += l_add[here]
+                    scored[l_row[here] - s, l_col[here]] = True
+                    scored[row[mine] - s, col[mine]] = False
+                r, c, sc, rank = _ranked_rows(np.where(scored, np.round(total, SCORE_DIGITS), -np.inf), n)
+                out.append(pd.DataFrame({"player_id": block[r], "game_id": ids[c], "score": sc, "rank": rank.astype(np.int32)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(wanted)
 
     return run
 
 
-def dense_blend_top_n(models: dict[str, dict], owned: DataFrame, n: int = 10,
-                      lists: dict[str, dict] | None = None, dense_weight: float = 1.0) -> DataFrame:
+def dense_blend_top_n(models: dict[str, dict], owned: DataFrame, n: int = 10, lists: dict[str, dict] | None = None,
+                      dense_weight: float = 1.0, scaled: bool = True, max_bytes: int = MAX_ITEM_BLOCK_BYTES) -> DataFrame:
     """Top ``n`` of a weighted blend over full score lists.
 
-    ``models``: name -> {users, items, weight, cosine, positive_only}, users
-    and items as in ``dense_top_n`` (dimensions may differ between models).
-    Every model scores every unseen item; its scores are scaled per player
-    from their minimum and maximum over all of these, weighted and summed
-    (an item without a score of a model adds 0). A player block meets the
-    whole catalogue, as the scaling needs every item; a block is kept small
-    enough for its score matrices to stay near BLOCK_BYTES each.
-
-    ``lists``: name -> {scores (player_id, game_id, score), weight} of models
-    that score some items only. The models' sum is then scaled per player over
-    all unseen items as well and weighs ``dense_weight``; a list is scaled over
-    itself; all items are ranked once, by the sum."""
+    ``models``: name -> {users, items, weight, cosine, positive_only, rest}, users
+    and items as in ``dense_top_n`` (dimensions may differ between models); with
+    ``rest`` the sides are a network's halves (``network_sides``). Every model scores
+    every unseen item; its scores are scaled per player from their minimum and
+    maximum over all of these (unless ``scaled`` is off), weighted and summed (an item
+    without a score of a model adds 0).
+
+    Two passes over the same pairs of player and item blocks: the first gives each
+    block's minimum and maximum per (player, model), which merge by aggregation, the
+    second scores with these bounds and keeps N a block. Item blocks hold about
+    ``max_bytes`` of vectors, so no task holds the catalogue.
+
+    ``lists``: name -> {scores (player_id, game_id, score), weight} of models that
+    score some items only. The models' sum is then scaled per player over all unseen
+    items as well (a pass of its own) and weighs ``dense_weight``; a list is scaled
+    over itself; all items are ranked once, by the sum."""
     from lodestar.session import cut_lineage
 
     users = items = None
-    spec = []
-    for name, m in models.items():
-        u = m["users"].select(F.lit(name).alias("model"), F.col("player_id").cast("long"), F.col("vec").cast("array<double>"))
-        i = m["items"].select(F.lit(name).alias("model"), F.col("game_id").cast("long"), F.col("vec").cast("array<double>"))
+    specs, width = [], 1
+    for k, (name, m) in enumerate(models.items()):
+        u = m["users"].select(F.lit(k).alias("model"), F.col("player_id").cast("long"), F.col("vec").cast("array<double>"))
+        i = m["items"].select(F.lit(k).alias("model"), F.col("game_id").cast("long"), F.col("vec").cast("array<double>"))
         users, items = (u, i) if users is None else (users.unionByName(u), items.unionByName(i))
-        spec.append((name, float(m["weight"]), 0, bool(m.get("cosine")), bool(m.get("positive_only"))))
+        specs.append({"name": name, "weight": float(m["weight"]), "cosine": bool(m.get("cosine")), "rest": m.get("rest"),
+                      "positive": bool(m.get("positive_only")), "scaled": scaled})
     users, items = cut_lineage(users), cut_lineage(items)
     spark = users.sparkSession
-    n_items = max(1, items.select("game_id").distinct().count())
+    bytes_of = items.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0
+    item_blocks = max(1, -(-bytes_of // max_bytes))
     n_users = users.select("player_id").distinct().count()
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = max(tasks, -(-n_users * 8 * n_items // BLOCK_BYTES))
-    ub = F.pmod(F.xxhash64("player_id"), F.lit(blocks)).cast("int").alias("ub")
-    no_vec, no_score = F.lit(None).cast("array<double>").alias("vec"), F.lit(None).cast("double").alias("score")
-    left = users.select("model", "player_id", "vec", F.lit(None).cast("long").alias("game_id"), no_score, ub)
-    left = left.unionByName(owned.select(F.lit(None).cast("string").alias("model"), F.col("player_id").cast("long"),
-                                         no_vec, F.col("game_id").cast("long"), no_score, ub))
-    for name, m in (lists or {}).items():
-        left = left.unionByName(m["scores"].select(F.lit(name).alias("model"), F.col("player_id").cast("long"), no_vec,
-                                                   F.col("game_id").cast("long"), F.col("score").cast("double"), ub))
-    right = items.withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.groupBy("ub").cogroup(right.groupBy("ub")).applyInPandas(
-        _blend_block(spec, n, [(k, float(m["weight"])) for k, m in (lists or {}).items()], dense_weight), OUT_SCHEMA)
+    user_blocks = max(-(-tasks // item_blocks), -(-n_users // USERS_PER_BLOCK))
+    ub = F.pmod(F.xxhash64(F.col("player_id").cast("long")), F.lit(user_blocks)).cast("int").alias("ub")
+    ib = F.pmod(F.xxhash64(F.col("game_id").cast("long")), F.lit(item_blocks)).cast("int").alias("ib")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    right = items.withColumn("ib", ib).withColumn("ub", every(user_blocks)).groupBy("ub", "ib")
+    pairs = cut_lineage(owned_rows(owned, ub, ib))
+
+    def met(side: DataFrame, block, schema: str) -> DataFrame:
+        left = side.withColumn("ub", ub).withColumn("ib", every(item_blocks)).unionByName(pairs, allowMissingColumns=True)
+        return left.groupBy("ub", "ib").cogroup(right).applyInPandas(block, schema)
+
+    kind = "player_id long, model int, lo double, hi double"
+    merged = lambda found: found.groupBy("player_id", "model").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    if scaled:
+        users = users.join(merged(met(users, _blend_block(specs, "bounds"), kind)), ["player_id", "model"], "left")
+    if lists:
+        users = cut_lineage(users)
+        whole = merged(met(users, _blend_block(specs, "totals"), kind))
+        users = users.join(whole.select("player_id", F.col("lo").alias("tlo"), F.col("hi").alias("thi")), "player_id", "left")
+        pairs = pairs.unionByName(_listed_rows(lists, owned, ub, ib), allowMissingColumns=True)
+    out = met(users, _blend_block(specs, "top", n, dense_weight if lists else None), OUT_SCHEMA)
+    if item_blocks > 1:
+        out = top_n(out.drop("rank"), n).withColumn("rank", F.col("rank").cast("int"))
+    return out
+
+
+def _listed_rows(lists: dict[str, dict], owned: DataFrame, ub, ib) -> DataFrame:
+    """(ub, ib, owners, games, adds): each list's unowned scores, scaled over the
+    list and weighted, summed per pair."""
+    parts = None
+    for name, m in lists.items():
+        x = m["scores"].select(F.lit(name).alias("name"), F.col("player_id").cast("long"), F.col("game_id").cast("long"),
+                               F.col("score").cast("double"), F.lit(float(m["weight"])).alias("weight"))
+        parts = x if parts is None else parts.unionByName(x)
+    parts = parts.join(owned.select("player_id", "game_id"), ["player_id", "game_id"], "left_anti")
+    ends = parts.groupBy("player_id", "name").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    j = parts.join(ends, ["player_id", "name"])
+    one = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    added = j.groupBy("player_id", "game_id").agg(F.sum(F.col("weight") * one).alias("add"))
+    part = F.pmod(F.xxhash64("player_id", "game_id"), F.lit(max(1, -(-added.count() // PAIRS_PER_ROW))))
+    put = added.groupBy(ub, ib, part.alias("part")).agg(F.collect_list(F.struct("player_id", "game_id", "add")).alias("p"))
+    return put.select("ub", "ib", F.lit(0).cast("long").alias("player_id"), F.col("p.player_id").alias("owners"),
+                      F.col("p.game_id").alias("games"), F.col("p.add").alias("adds"))

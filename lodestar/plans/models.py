@@ -12,7 +12,7 @@ from lodestar.operators.evaluate import compare, evaluate
 from lodestar.operators.joins import exclude_owned
 from lodestar.operators.postprocess import apply_business_rules, explain_parts
 from lodestar.operators.ranking import leave_last_out
-from lodestar.operators.scoring import SCORE_DIGITS, dense_blend_top_n
+from lodestar.operators.scoring import SCORE_DIGITS, dense_blend_top_n, network_sides
 from lodestar.plans.registry import query
 from lodestar.session import cut_lineage
 from lodestar.sources import fixtures as fx
@@ -451,22 +451,38 @@ def _neural(inter, n=10, pool=NEURAL_POOL):
     return M.neural_rerank(cands, mlp, users, items, n=n)
 
 
-@query("hybrid_lists", oracle=with_ctes("inter") + _lists_sql("inter"))
-def q_hybrid_lists(spark, d):
-    """M8 over the four models: content, factors and graph score every unseen
-    game, the network's probabilities join for the games it re-ranked."""
-    inter = _inter(spark, d)
-    iv, vocab = C.tfidf(fx.games(spark, d))
+def hybrid(inter, games, n=10, max_iter=10, **kw):
+    """M8 over the four models, each scoring every unseen game of every player."""
+    iv, vocab = C.tfidf(games)
     cu, ci, _ = C.dense_sides(C.user_vectors(inter, iv), iv, vocab.count())
-    au, ai = M.factors(M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=5))
+    au, ai = (cut_lineage(x) for x in M.factors(M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=5)))
     edges, u0, i0 = _graph_sides(inter)
     us, its = M.propagate(edges, u0, i0, layers=3, dim=GRAPH_DIM)
-    b = dense_blend_top_n({
-        "content": {"users": cu, "items": ci, "weight": 0.4, "cosine": True, "positive_only": True},
-        "pmf_als": {"users": au, "items": ai, "weight": 0.4},
-        "graph": {"users": M.concat_layers(us, "player_id"), "items": M.concat_layers(its, "game_id"), "weight": 0.2},
-    }, inter, n=10, lists={"neural": {"scores": _neural(inter, n=NEURAL_POOL), "weight": 0.25}}, dense_weight=0.75)
-    return _list_checks(b, inter)
+    mlp = M.neural_fit(inter, au, ai, hidden=(128, 64), max_iter=max_iter)
+    nu, ni, rest = network_sides(au, ai, M.network_layers(mlp))
+    models = {
+        "content": {"users": cu, "items": ci, "weight": 0.3, "cosine": True, "positive_only": True},
+        "pmf_als": {"users": au, "items": ai, "weight": 0.3},
+        "graph": {"users": M.concat_layers(us, "player_id"), "items": M.concat_layers(its, "game_id"), "weight": 0.15},
+        "neural": {"users": nu, "items": ni, "rest": rest, "weight": 0.25},
+    }
+    return dense_blend_top_n(models, inter, n=n, **kw), models, (au, ai, mlp)
+
+
+@query("hybrid_lists", oracle=with_ctes("inter") + _lists_sql("inter"))
+def q_hybrid_lists(spark, d):
+    """M8 over the four models: what must hold of the lists."""
+    inter = _inter(spark, d)
+    return _list_checks(hybrid(inter, fx.games(spark, d))[0], inter)
+
+
+@query("neural_unpooled_lists", oracle=with_ctes("inter") + _lists_sql("inter"))
+def q_neural_unpooled_lists(spark, d):
+    """M6 over all unseen games: what must hold of the lists."""
+    inter = _inter(spark, d)
+    users, items = (cut_lineage(x) for x in M.factors(M.als_fit(inter, rank=16, reg=ALS_REG, max_iter=5)))
+    mlp = M.neural_fit(inter, users, items, hidden=(128, 64), max_iter=10)
+    return _list_checks(M.neural_recommend(mlp, users, items, inter), inter)
 
 
 _COMPARED = ["content", "popularity", "graph"]
