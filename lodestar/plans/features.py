@@ -121,6 +121,24 @@ def q_feature_store(spark, d):
     return FE.read_feature_store(spark, path)
 
 
+@query("features_as_of", ts=("start_time", "as_of"), oracle=with_ctes("sessions", extra=[
+    ("snap_a", _temporal_sql(_SNAP_A)),
+    ("recent", f"SELECT * FROM sessions WHERE start_time > TIMESTAMP '{AS_OF_RECENT}' - INTERVAL 14 DAY"),
+    ("snap_b", _temporal_sql(AS_OF_RECENT, "recent")),
+    ("snaps", f"""SELECT *, TIMESTAMP '{_SNAP_A}' AS as_of FROM snap_a
+        UNION ALL SELECT *, TIMESTAMP '{AS_OF_RECENT}' - INTERVAL 10 DAY AS as_of FROM snap_b"""),
+]) + """SELECT s.session_id, s.player_id, s.start_time, v.as_of, v.FEATURES FROM sessions s
+  ASOF LEFT JOIN snaps v ON s.player_id = v.player_id AND s.start_time >= v.as_of""".replace("v.FEATURES", "v.* EXCLUDE (player_id, as_of)"))
+def q_features_as_of(spark, d):
+    """Every session with the feature snapshot that was known when it began."""
+    s = fx.game_sessions(spark, d)
+    recent = s.where(F.col("start_time") > F.lit(AS_OF_RECENT).cast("timestamp_ntz") - F.expr("INTERVAL 14 DAYS"))
+    a = FE.temporal_features(s, _SNAP_A).withColumn("as_of", F.lit(_SNAP_A).cast("timestamp_ntz"))
+    at = F.lit(AS_OF_RECENT).cast("timestamp_ntz") - F.expr("INTERVAL 10 DAYS")
+    b = FE.temporal_features(recent, AS_OF_RECENT).withColumn("as_of", at)
+    return FE.as_of_features(s.select("session_id", "player_id", "start_time"), a.unionByName(b), ts="start_time")
+
+
 # --------------------------------------------------------------- monitoring
 _DAILY30 = ("daily", f"""SELECT CAST(created_at AS DATE) AS date, COUNT(*) AS total_recommendations,
   AVG(click_rate) AS avg_click_rate, AVG(conversion_rate) AS avg_conversion FROM reclog

@@ -12,7 +12,7 @@ from lodestar.operators.evaluate import compare, evaluate
 from lodestar.operators.joins import exclude_owned
 from lodestar.operators.postprocess import apply_business_rules, explain_parts
 from lodestar.operators.ranking import leave_last_out
-from lodestar.operators.scoring import SCORE_DIGITS, dense_blend_top_n, network_sides
+from lodestar.operators.scoring import SCORE_DIGITS, dense_blend_top_n, dense_top_n, network_sides
 from lodestar.plans.registry import query
 from lodestar.session import cut_lineage
 from lodestar.sources import fixtures as fx
@@ -421,6 +421,41 @@ def q_als_lists(spark, d):
     return _list_checks(M.als_recommend(model, inter, n=10), inter)
 
 
+# Two dimensions, so that SQL can write the solution of the equations down.
+_FOLD_SQL = f""",
+iv2 AS (SELECT game_id, {_init_sql('game_id', 29).replace('(j + 1)', '1')} AS x, {_init_sql('game_id', 29).replace('(j + 1)', '2')} AS y
+  FROM (SELECT DISTINCT game_id FROM inter) g),
+s AS (SELECT i.player_id, SUM(x * x) + 0.1 AS a, SUM(x * y) AS b, SUM(y * y) + 0.1 AS c,
+    SUM(ln(1 + i.weight) * x) AS p, SUM(ln(1 + i.weight) * y) AS q
+  FROM inter i JOIN iv2 ON i.game_id = iv2.game_id GROUP BY 1)
+SELECT player_id, ROUND((c * p - b * q) / (a * c - b * b), 6) AS u1, ROUND((a * q - b * p) / (a * c - b * b), 6) AS u2 FROM s"""
+
+
+@query("fold_in_factors", oracle=with_ctes("inter") + _FOLD_SQL)
+def q_fold_in_factors(spark, d):
+    """M5: players folded into fixed game factors; exact in two dimensions."""
+    inter = _inter(spark, d)
+    items = inter.select("game_id").distinct().withColumn("vec", M.hash_init("game_id", 2, 29))
+    return M.fold_in(inter, items, reg=ALS_REG, dim=2).select(
+        "player_id", F.round(F.col("vec")[0], 6).alias("u1"), F.round(F.col("vec")[1], 6).alias("u2"))
+
+
+@query("fold_in_lists", oracle=with_ctes("inter", extra=[("late", "SELECT * FROM inter WHERE player_id % 10 = 3")]) + """,
+known AS (SELECT DISTINCT game_id FROM inter WHERE player_id % 10 <> 3),
+cat AS (SELECT COUNT(*) AS n FROM known)
+SELECT player_id, LEAST(10, MAX(cat.n) - COUNT(DISTINCT known.game_id)) AS n_games, 0::BIGINT AS n_owned, true AS ranks_ok
+FROM late LEFT JOIN known ON late.game_id = known.game_id, cat GROUP BY player_id""")
+def q_fold_in_lists(spark, d):
+    """M5: lists for players that the fit has never seen (those with an id ending in
+    3 join after it); the others are fitted."""
+    inter = _inter(spark, d)
+    late = F.col("player_id") % 10 == 3
+    _, items = M.factors(M.als_fit(inter.where(~late), rank=16, reg=ALS_REG, max_iter=ALS_ITER))
+    new = inter.where(late)
+    items = cut_lineage(items)
+    return _list_checks(dense_top_n(M.fold_in(new, items, reg=ALS_REG), items, new, n=10), new)
+
+
 @query("als_fit_quality", oracle=with_ctes("inter") + """
 SELECT COUNT(*) AS n_pairs, true AS better_than_mean FROM inter""")
 def q_als_quality(spark, d):

@@ -58,7 +58,7 @@ def test_profiles_read_history_once(spark):
 def test_scorer_multiplies_blocks_by_key(spark):
     import __spark_entry__ as E
 
-    df = E.queries()["content_recommendations"](spark, SF_SMALL)
+    df = E.queries()["graph_recommendations"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "hashpartitioning(ub" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -87,3 +87,13 @@ def test_recent_sessions_prunes_date_partitions(spark):
     assert "PartitionFilters: [isnotnull(start_date" in plan and "PushedFilters: [IsNotNull(start_time)" in plan
     expected = fx.game_sessions(spark, SF_SMALL).where("start_time > timestamp_ntz'2024-01-24 00:00:00'").count()
     assert df.count() == expected > 0
+
+
+def test_content_is_searched_by_posting_lists(spark):
+    """No dense item block: items travel as classes (terms, weights, ids), by block."""
+    import __spark_entry__ as E
+
+    for name in ("content_recommendations", "diversified", "business_rules", "explanations"):
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "hashpartitioning(ub" in plan
+        assert "CartesianProduct" not in plan and "vec#" not in plan
