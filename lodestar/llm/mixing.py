@@ -19,15 +19,17 @@ Copies: rates times counts are rounded along the sizes of a source, largest
 first, so that running sums of copies stay within half a copy; the tokens that
 are still missing or too many are then given to or taken from the largest size
 that fits, until less than the smallest movable document is left. Within a
-(source, size) group the documents with the smallest hashes of (id, size) take
+(source, size) group the documents with the smallest hashes of the whole row take
 the extra copy. The cut between them is found in a histogram of hash buckets
-and ranked in one bucket only, so a group with a third of all rows is never in
-one task.
+and by counts of equal hashes in one bucket only, so a group with a third of all
+rows is never in one task. Rows that share the hash at the cut are numbered
+within the tasks that read them, and as many as are due take the extra copy.
 
 Defined results: a NULL or blank text has size 0 and is taken once, adding no
-tokens; NULL sources form one source; repeated rows share a hash and are taken
-alike; a source without words has target 0; an empty table gives an empty
-result. Extra columns are kept; added names replace clashing ones.
+tokens; NULL sources form one source; repeated ids and NULL ids are rows like
+others; of fully equal rows some may be taken once more than the others; a source
+without words has target 0; an empty table gives an empty result. Extra columns
+are kept (maps take no part in the hash); added names replace clashing ones.
 """
 
 from __future__ import annotations
@@ -52,8 +54,12 @@ def word_count(text: Column) -> Column:
     return F.size(space_words(text)).cast("long")
 
 
-def rank_hash(doc_id: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit("mix"), doc_id, size)
+def rank_hash(docs: DataFrame, row: str | None = None) -> Column:
+    """A hash of all columns of a row, from the columns or from the struct ``row``."""
+    names = [f.name for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    cols = [F.col(row)[n] if row else F.col(f"`{n}`") for n in names]
+    # hashes pass over NULL, so the places of NULLs are hashed too
+    return F.xxhash64(F.lit("mix"), F.array(*[c.isNull() for c in cols]), *cols)
 
 
 def targets(hist: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -159,7 +165,8 @@ def rounded_groups(hist: DataFrame, goal: DataFrame, lam: DataFrame, cap: int =
 
 def with_cuts(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups with ``base`` copies of every document and ``cut``: documents
-    whose hash is at most ``cut`` take one more. ``rows``: source, size, hash."""
+    whose hash is below ``cut`` take one more, and ``take`` of the ``ties``
+    documents that have it. ``rows``: source, size, hash."""
     g = groups.withColumn("base", F.floor(F.col("copies") / F.col("n"))).withColumn("extra", F.col("copies") - F.col("base") * F.col("n"))
     part = g.where(F.col("extra") > 0).select(F.col("source").alias("s"), F.col("size").alias("z"), "extra")
     bucket = F.shiftrightunsigned(F.col("hash"), 54)  # the top 10 bits
@@ -175,10 +182,14 @@ def with_cuts(rows: DataFrame, groups: DataFrame) -> DataFrame:
     inside = rows.select("source", "size", "hash", top.alias("b")).join(
         maybe_broadcast(hit), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("b") == F.col("cb"))
     )
-    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("source", "size").orderBy("hash")))
-    cut = ranked.where(F.col("r") == F.col("k")).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("hash").alias("cut"))
+    ties = inside.groupBy("source", "size", "k", "hash").agg(F.count(F.lit(1)).alias("ties"))
+    by_hash = Window.partitionBy("source", "size").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ties.withColumn("upto", F.sum("ties").over(by_hash)).withColumn("take", F.col("k") - F.col("upto") + F.col("ties"))
+    cut = ranked.where((F.col("take") > 0) & (F.col("take") <= F.col("ties"))).select(
+        F.col("source").alias("s"), F.col("size").alias("z"), F.col("hash").alias("cut"), "take", "ties"
+    )
     return g.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").select(
-        F.col("source").alias("g_source"), F.col("size").alias("g_size"), "source_size", "target", "base", "cut"
+        F.col("source").alias("g_source"), F.col("size").alias("g_size"), "source_size", "target", "base", "cut", "take", "ties"
     )
 
 
@@ -193,19 +204,37 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (with source, size, hash) and source_size, target, copies, taken."""
     joined = rows.join(maybe_broadcast(plan), F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size")))
-    extra = F.coalesce((F.col("hash") <= F.col("cut")).cast("long"), F.lit(0))
-    return joined.withColumn("copies", (F.col("base") + extra).cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop(
-        "g_source", "g_size", "base", "cut"
+    split = F.coalesce((F.col("hash") == F.col("cut")) & (F.col("take") < F.col("ties")), F.lit(False))
+    more = F.coalesce((F.col("hash") <= F.col("cut")).cast("long"), F.lit(0))
+    out = joined.where(~split).withColumn("extra", more)
+    if not plan.where(F.col("take") < F.col("ties")).isEmpty():
+        out = out.unionByName(_split_ties(joined.where(split)))
+    return out.withColumn("copies", (F.col("base") + F.col("extra")).cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop(
+        "g_source", "g_size", "base", "cut", "take", "ties", "extra"
     )
 
 
+def _split_ties(tied: DataFrame) -> DataFrame:
+    """Rows that share the hash at their group's cut, with ``extra`` 1 for ``take``
+    of them: each task's rows are counted, and numbered among themselves."""
+    stored = materialise(tied.withColumn("part", F.spark_partition_id()), "mix-ties")
+    upto = Window.partitionBy("s", "z").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    per = stored.groupBy(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    per = per.withColumn("before", F.sum("c").over(upto) - F.col("c")).drop("c")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))
+    inside = Window.partitionBy("source", "size", "part").orderBy("hash")
+    numbered = stored.withColumn("r", F.row_number().over(inside)).join(maybe_broadcast(per), same)
+    extra = (F.col("before") + F.col("r") <= F.col("take")).cast("long")
+    return numbered.withColumn("extra", extra).drop("s", "z", "p", "part", "before", "r")
+
+
 def mix(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
+    docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 ) -> DataFrame:
     """``row`` (all columns of a document), size, source_size, target, copies
     and taken. ``copies`` times the row is the mix."""
     size = word_count(F.col(text))
-    key = [F.col(source).alias("source"), size.alias("size"), rank_hash(F.col(doc_id), size).alias("hash")]
+    key = [F.col(source).alias("source"), size.alias("size"), rank_hash(docs).alias("hash")]
     rows = materialise(docs.select(*key), "mix-rows")
     plan = plan_mix(rows, weights, cap)
     carried = docs.select(F.struct("*").alias("row")).select(
@@ -213,4 +242,4 @@ def mix(
         F.col("row")[source].alias("source"),
         word_count(F.col("row")[text]).alias("size"),
     )
-    return with_copies(carried.withColumn("hash", rank_hash(F.col("row")[doc_id], F.col("size"))), plan).drop("hash", "source")
+    return with_copies(carried.withColumn("hash", rank_hash(docs, "row")), plan).drop("hash", "source")

@@ -14,6 +14,6 @@ from lodestar.sources.tables import read_table
 @query("op5_entropy_balanced_mix")
 def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows = materialise(sized.withColumn("hash", rank_hash(F.col("doc_id"), F.col("size"))), "mix-documents")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), rank_hash(docs).alias("hash"))
+    rows = materialise(sized, "mix-documents")
     return with_copies(rows, plan_mix(rows)).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -91,3 +91,24 @@ def test_hot_group_is_split_by_hash(spark):
     out = mix(spark.createDataFrame(rows, DOCS)).groupBy(F.col("row.source").alias("s"), "target").agg(F.sum("taken").alias("t")).collect()
     for r in out:
         assert abs(r["t"] - r["target"]) <= 3
+
+
+@pytest.mark.parametrize("kind", ["null ids", "one id", "equal rows"])
+def test_rows_without_ids_of_their_own_meet_the_target(spark, kind):
+    """Equal ids and sizes, or equal rows, are taken one by one."""
+    rows = []
+    for i in range(600):
+        doc = None if kind == "null ids" else 7
+        word = "w" if kind == "equal rows" else f"w{i}"
+        rows.append((doc, " ".join([word] * 50), "en", "a" if i < 300 else "b", 1))
+    rows += [(1000 + i, "x y z", "en", "c", 1) for i in range(500)]
+    docs = spark.createDataFrame(rows, DOCS)
+    first = mix(docs.repartition(5)).collect()
+    assert len(first) == len(rows)
+    for s in "abc":
+        mine = [r for r in first if r["row"]["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= mine[0]["size"], s
+        assert max(r["copies"] for r in mine) <= CAP
+    again = mix(docs.repartition(3)).collect()
+    key = lambda r: (repr(r["row"]), r["copies"])
+    assert sorted(map(key, first)) == sorted(map(key, again))
