@@ -27,6 +27,9 @@ Pairs inside a component need no comparison, as they can't change the result,
 so the result equals that of comparing all pairs of each bucket, while a bucket
 of thousands of near copies costs a comparison a member.
 
+Texts are fetched by a digest of the text, one for each class, so ids may be
+repeated or NULL without more work.
+
 Defined results: NULL, empty and blank texts have an empty set and stand alone;
 repeated rows are copies of each other; rows with a NULL id can link others but
 take the smallest id of their component, NULL if it has none; an empty table
@@ -147,10 +150,15 @@ def sequence_digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that name a text, NULL for none; ids need not be unique."""
+    return F.unhex(F.md5(text))
+
+
 def signatures(
     docs: DataFrame, doc_id: str, text: str, shingle: int, permutations: int, rows: int
 ) -> DataFrame:
-    """doc_id, n_shingles, seq (digest of the word sequence, NULL if empty), bands."""
+    """doc_id, text_key, n_shingles, seq (digest of the word sequence, NULL if empty), bands."""
     a, b = permutation_constants(permutations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +166,7 @@ def signatures(
         with np.errstate(over="ignore"):
             for batch in batches:
                 for s in range(0, batch.num_rows, 256):
-                    ids, texts = batch.column(0).slice(s, 256), batch.column(1).slice(s, 256)
+                    ids, keys_, texts = (batch.column(c).slice(s, 256) for c in range(3))
                     sizes, seqs, sets = [], [], []
                     for t in texts:
                         words = words_of(t.as_py())
@@ -171,24 +179,23 @@ def signatures(
                     keys = iter(band_hashes(signature, rows).tolist())
                     bands = [next(keys) if len(x) else None for x in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(sizes, pa.int64()), pa.array(seqs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                        ["doc_id", "n_shingles", "seq", "bands"],
+                        [ids, keys_, pa.array(sizes, pa.int64()), pa.array(seqs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                        ["doc_id", "text_key", "n_shingles", "seq", "bands"],
                     )
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, seq binary, bands array<long>")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("t"))
+    return slim.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, seq binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) of class representatives whose full sets reach the threshold.
 
-    ``pairs`` has a, b (word-sequence digests) and a_id, b_id (ids whose text
-    has that sequence). Each text is fetched by id; a row whose text has
-    another sequence (a repeated id) is passed over."""
-    ids = pairs.select(F.explode(F.array("a_id", "b_id")).alias("__want")).distinct()
-    slim = texts_of(docs, ids, doc_id, text)
-    with_b = pairs.join(slim.withColumnRenamed("__t", "b_text"), F.col("b_id").eqNullSafe(F.col("__id"))).drop("__id")
-    both = with_b.join(slim.withColumnRenamed("__t", "a_text"), F.col("a_id").eqNullSafe(F.col("__id"))).drop("__id")
+    ``pairs`` has a, b (word-sequence digests) and a_key, b_key (``text_key`` of a
+    text with that sequence). One text is fetched a key, however many rows hold it."""
+    keys = pairs.select(F.explode(F.array("a_key", "b_key")).alias("__want")).distinct()
+    slim = texts_of(docs, keys, text).dropDuplicates(["__key"])
+    with_b = pairs.join(slim.withColumnRenamed("__t", "b_text"), F.col("b_key") == F.col("__key")).drop("__key")
+    both = with_b.join(slim.withColumnRenamed("__t", "a_text"), F.col("a_key") == F.col("__key")).drop("__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a_set, a_ok = None, frozenset(), False
@@ -220,13 +227,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(__id, __t) of the documents with an id in ``ids`` (__want): only these move on."""
-    every = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
-    return every.join(maybe_broadcast(ids, MAX_ID_BYTES), F.col("__id").eqNullSafe(F.col("__want")), "left_semi")
+def texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
+    """(__key, __t) of the documents with a text key in ``keys`` (__want): only these move on."""
+    every = docs.select(F.col(text).alias("__t")).where(F.col("__t").isNotNull()).select(text_key(F.col("__t")).alias("__key"), "__t")
+    return every.join(maybe_broadcast(keys, MAX_ID_BYTES), F.col("__key") == F.col("__want"), "left_semi")
 
 
-def rest_links(open_: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+def rest_links(open_: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
     """Pairs (rank, o_rank) of different components that share a band and whose
     hashed sets reach the threshold. ``open_``: members (rank, n, root) of
     buckets with several components, by the component of the bucket's hub."""
@@ -247,11 +254,11 @@ def rest_links(open_: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str,
                 data = [[sequence_digest(w), shingle_hashes(w, shingle, memo).tobytes()] for w in words]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*data)] if data else [pa.array([], pa.binary())] * 2, ["seq", "set"])
 
-    ids = open_.select(F.col("rank.id").alias("__want")).distinct()
-    sets = texts_of(docs, ids, doc_id, text).select("__t").mapInArrow(make, "seq binary, set binary").dropDuplicates(["seq"])
+    keys = open_.select(F.col("rank.key").alias("__want")).distinct()
+    sets = texts_of(docs, keys, text).select("__t").mapInArrow(make, "seq binary, set binary").dropDuplicates(["seq"])
     full = sets.join(nodes.select("seq", "bands"), "seq")
     both = held.unionByName(rest).withColumn("seq", F.col("rank.seq")).join(full, "seq").select(
-        "lead_root", "block", "kind", "seq", F.col("rank.id").alias("id"), F.col("root.seq").alias("root"), "bands", "set",
+        "lead_root", "block", "kind", "seq", F.col("rank.key").alias("key"), F.col("root.seq").alias("root"), "bands", "set",
         F.col("lead_root.seq").alias("lead"),
     )
 
@@ -260,17 +267,16 @@ def rest_links(open_: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str,
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*found)) if found else [[]] * 4
-            types = (pa.binary(), pa.int64(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["a", "a_id", "b", "b_id"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "a_key", "b", "b_key"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("lead", "block", "kind", "seq", "id", "root", "bands", "set")]
-            for lead, block, kind, seq, i, root, bands, data in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("lead", "block", "kind", "seq", "key", "root", "bands", "set")]
+            for lead, block, kind, seq, key, root, bands, data in zip(*cols):
                 if (lead, block) != at:
                     at, members, index = (lead, block), [], None
                 hashes = np.frombuffer(data, np.uint64)
                 if kind == 0:
-                    members.append((seq, i, root, bands, hashes))
+                    members.append((seq, key, root, bands, hashes))
                     continue
                 if not members:
                     continue
@@ -289,15 +295,15 @@ def rest_links(open_: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str,
                 for j in np.flatnonzero(near):
                     other = members[j]
                     if other[2] != root:
-                        found.add((seq, i, *other[:2]) if seq < other[0] else (*other[:2], seq, i))
+                        found.add((seq, key, *other[:2]) if seq < other[0] else (*other[:2], seq, key))
             if len(found) > 10_000:
                 yield flush()
                 found = set()
         yield flush()
 
     dealt = both.repartition(task_count(docs.sparkSession), "lead_root", "block").sortWithinPartitions("lead_root", "block", "kind")
-    out = dealt.drop("lead_root").mapInArrow(compare, "a binary, a_id long, b binary, b_id long")
-    return out.select(F.struct(F.col("a_id").alias("id"), F.col("a").alias("seq")).alias("rank"), F.struct(F.col("b_id").alias("id"), F.col("b").alias("seq")).alias("o_rank"))
+    out = dealt.drop("lead_root").mapInArrow(compare, "a binary, a_key binary, b binary, b_key binary")
+    return out.select(F.struct(F.col("a_key").alias("key"), F.col("a").alias("seq")).alias("rank"), F.struct(F.col("b_key").alias("key"), F.col("b").alias("seq")).alias("o_rank"))
 
 
 def _content(edges: DataFrame) -> tuple:
@@ -347,13 +353,18 @@ def near_duplicates(
     permutations: int = PERMUTATIONS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, text_key, chosen: one row for each
+    row of ``docs``. ``chosen`` marks the rows with the id and text that stand for
+    their component (its smallest id, NULL last, then text key)."""
     sig = materialise(signatures(docs, doc_id, text, shingle, permutations, rows), "minhash-signatures")
     # one representative for each word sequence; partial minimum in each task
     nodes = sig.where(F.col("seq").isNotNull()).groupBy("seq").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("low"),
+        F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands"),
     )
-    nodes = materialise(nodes.withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "seq")), "minhash-classes")
+    nodes = nodes.select("seq", "n", "bands", F.struct("low.none", "low.id", "seq", "low.key").alias("rank"))
+    nodes = materialise(nodes, "minhash-classes")
     entries = nodes.select("rank", "n", F.posexplode("bands").alias("band", "key"))
     size = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     # rows of buckets with two members or more
@@ -373,10 +384,10 @@ def near_duplicates(
 
     def links(df: DataFrame, a: str, b: str) -> DataFrame:
         pairs = df.select(
-            F.col(f"{a}.seq").alias("a"), F.col(f"{a}.id").alias("a_id"), F.col(f"{b}.seq").alias("b"), F.col(f"{b}.id").alias("b_id")
+            F.col(f"{a}.seq").alias("a"), F.col(f"{a}.key").alias("a_key"), F.col(f"{b}.seq").alias("b"), F.col(f"{b}.key").alias("b_key")
         )
         pairs = materialise(pairs.distinct(), "minhash-pairs")
-        found = materialise(confirmed(pairs, docs, doc_id, text, shingle, percent), "minhash-links")
+        found = materialise(confirmed(pairs, docs, text, shingle, percent), "minhash-links")
         release(pairs)
         return found
 
@@ -396,17 +407,18 @@ def near_duplicates(
     lead_root = comp.select(F.col("seq").alias("__seq"), F.col("root").alias("lead_root"))
     open_ = placed().join(lead_root, F.col("lead.seq") == F.col("__seq"))
     open_ = materialise(open_.select("lead_root", "rank", "n", "root").distinct(), "minhash-open")
-    more = links(rest_links(open_, nodes, docs, doc_id, text, shingle, percent), "rank", "o_rank")
+    more = links(rest_links(open_, nodes, docs, text, shingle, percent), "rank", "o_rank")
     release(open_, member)
     if not more.isEmpty():
         found = found.unionByName(more)
         comp = closed(found)
-    roots = comp.select("seq", F.col("root.id").alias("__root"))
-    return (
-        sig.select("doc_id", "n_shingles", "seq")
-        .join(roots, "seq", "left")
-        .withColumn("component_id", F.when(F.col("seq").isNull(), F.col("doc_id")).otherwise(F.col("__root")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    roots = comp.select("seq", F.col("root.id").alias("__root"), F.col("root.key").alias("__root_key"))
+    alone = F.col("seq").isNull()
+    out = sig.select("doc_id", "text_key", "n_shingles", "seq").join(roots, "seq", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("__root")).alias("component_id"),
+        "text_key",
+        (alone | (F.col("doc_id").eqNullSafe(F.col("__root")) & (F.col("text_key") == F.col("__root_key")))).alias("chosen"),
     )
-
-
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

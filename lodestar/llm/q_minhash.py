@@ -34,4 +34,4 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 @query("op3_minmax_near_duplicates", ORACLE)
 def op3_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return near_duplicates(docs, shingle=2, percent=80)
+    return near_duplicates(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")

@@ -79,6 +79,15 @@ def test_null_and_repeated_ids(spark):
     check(spark, [a, a, b, None, "", a], 2, ids=[None, 7, None, None, 3, 9])
 
 
+def test_many_near_copies_without_ids(spark):
+    """One text a class is fetched, however many rows share an id or have none."""
+    rng = random.Random(6)
+    base = prose(rng, 60).split()
+    texts = [" ".join([*base[:i], f"z{i}", *base[i + 1 :]]) for i in range(60)] * 2
+    check(spark, texts, 2, ids=[None] * 120)
+    check(spark, texts, 2, ids=[4] * 120)
+
+
 def test_empty_table(spark):
     assert near_duplicates(documents(spark, [])).collect() == []
 
