@@ -6,8 +6,8 @@ documents. Stages are written as Parquet and read again, so each starts from
 stored rows.
 
 Cases: NULL columns, empty and long texts, repeated rows and extra columns take
-the results that the operators' docstrings give. A document without id can
-link others, but among documents without id only equal texts are reduced. An
+the results that the operators' docstrings give. Documents without id are reduced
+like others; a group without any id keeps one of its documents. An
 empty table passes through every stage as an empty table.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialise
 from lodestar.llm.decontam import contaminated, flag_contamination
-from lodestar.llm.minhash import near_duplicates
+from lodestar.llm.minhash import near_duplicates, text_key
 from lodestar.llm.mixing import mix
 from lodestar.llm.quality import judged
 from lodestar.llm.tokens import sequences, shard_folder, write_training_order
@@ -55,16 +55,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of
-    rows that repeat an id one stays."""
-    found = near_duplicates(docs, shingle=SHINGLE, percent=SIMILARITY)
-    ids = materialise(found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "pipeline-kept")
-    on = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = docs.join(maybe_broadcast(ids.where("__n = 1")), on, "left_semi")
-    # rows that repeat an id
-    again = docs.join(maybe_broadcast(ids.where("__n > 1")), on, "left_semi")
-    named = again.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return once.unionByName(named).unionByName(again.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    """The document with the smallest id (NULL last) of each group of near
+    duplicates. Rows are told apart by id and text, so different texts under one id
+    stay; of rows that repeat both, one stays, by a hash of the row."""
+    found = near_duplicates(docs, shingle=SHINGLE, percent=SIMILARITY).where("chosen")
+    names = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
+    names = materialise(names, "pipeline-kept")
+    key = text_key(F.col("text"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__text"))
+    once = docs.join(maybe_broadcast(names.where("__n = 1")), on, "left_semi")
+    again = docs.join(maybe_broadcast(names.where("__n > 1")), on, "left_semi").select("doc_id", key.alias("__text"), F.struct("*").alias("row"))
+    first = again.groupBy("doc_id", "__text").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.unionByName(_rows(first))
 
 
 @_stage
