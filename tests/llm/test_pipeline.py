@@ -83,6 +83,17 @@ def test_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted([(5, a), (1, None), (None, b)], key=repr)
 
 
+def test_dedup_keeps_different_texts_under_one_id(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(40)]
+    near = texts[0].split()
+    near[5] = "changed"
+    docs = documents(spark, [*texts, " ".join(near), texts[1]], ids=[*[i // 2 for i in range(40)], 0, None])
+    outs = [sorted((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs.repartition(n), "").collect()) for n in (2, 5)]
+    assert outs[0] == outs[1] and len(outs[0]) == 40
+    assert {t for _, t in outs[0]} - {texts[0], " ".join(near)} == set(texts[1:])
+
+
 def test_run(spark):
     sf = "/root/testdata/sf0.001"
     rows = P.run(spark, sf).collect()
