@@ -74,3 +74,37 @@ def test_clean_hot_key_keeps_greatest(spark):
     got = clean(df, ["k"], order_by=["o"]).collect()
     want = max(((o, v.strip()) for _, v, o in rows))
     assert [(r["k"], r["o"], r["v"]) for r in got] == [(HOT, want[0], want[1])]
+
+
+def test_a_game_in_a_third_of_all_edges(spark):
+    """Propagation with hubs on both sides equals numpy, and no stripe is large."""
+    import numpy as np
+
+    from lodestar.operators import models as M
+
+    rng = random.Random(8)
+    pairs = {(p, HOT) for p in range(3000)} | {(5, g) for g in range(100, 900)}
+    pairs |= {(rng.randrange(3000), rng.randrange(100, 900)) for _ in range(5300)}
+    pairs = sorted(pairs)
+    edges = spark.createDataFrame(pairs, "player_id long, game_id long").repartition(8)
+    players, games = sorted({p for p, _ in pairs}), sorted({g for _, g in pairs})
+    u0 = spark.createDataFrame([(p, [1.0 + p % 3, 0.5]) for p in players], "player_id long, vec array<double>")
+    i0 = spark.createDataFrame([(g, [g % 5 - 1.0, 2.0]) for g in games], "game_id long, vec array<double>")
+    a = np.zeros((len(players), len(games)))
+    at_p, at_g = {p: i for i, p in enumerate(players)}, {g: i for i, g in enumerate(games)}
+    for p, g in pairs:
+        a[at_p[p], at_g[g]] = 1.0
+    a /= np.sqrt(np.outer(a.sum(1), a.sum(0)))
+    u, i = np.array([[1.0 + p % 3, 0.5] for p in players]), np.array([[g % 5 - 1.0, 2.0] for g in games])
+    us, its = M.propagate(edges, u0, i0, layers=2, stripe=300)
+    for layer in (1, 2):
+        u, i = a @ i, a.T @ u
+        got_u = {r["player_id"]: r["vec"] for r in us[layer].collect()}
+        got_i = {r["game_id"]: r["vec"] for r in its[layer].collect()}
+        assert np.allclose([got_u[p] for p in players], u) and np.allclose([got_i[g] for g in games], i)
+    graph = M.Graph(edges, stripe=300)
+    for keys in (["game_id", "g_stripe"], ["player_id", "p_stripe"]):
+        assert graph.edges.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 450
+    share = graph.edges.repartition(16, "game_id", "g_stripe").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] / len(pairs)
+    assert share < 0.2, share
+    assert M.Graph(edges).hubs is None
