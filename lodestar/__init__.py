@@ -17,7 +17,7 @@ The operators of the inventory, by group (see README for the query names):
   diversify, explain
 - models / metrics: tfidf, user_vectors, content_recommend, cold_start, als, als_recommend,
   neural_fit, neural_rerank, propagate, graph_recommend, blend, dense_top_n, precision_at,
-  hit_rate, ndcg, evaluate, compare
+  hit_rate, ndcg, evaluate, compare, compare_paired
 - streaming: stream_ingest, stream_daily_quality, sessionize, upsert_documents_stream
 """
 
@@ -49,7 +49,7 @@ from lodestar.operators.aggregates import (  # noqa: F401
     type_counts,
 )
 from lodestar.operators.content import cold_start, content_recommend, tfidf, user_vectors  # noqa: F401
-from lodestar.operators.evaluate import compare, evaluate, hit_rate, ndcg, precision_at  # noqa: F401
+from lodestar.operators.evaluate import compare, compare_paired, evaluate, hit_rate, ndcg, precision_at  # noqa: F401
 from lodestar.operators.features import (  # noqa: F401
     behavioral_features,
     normalize,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import content as C
 from lodestar.operators import models as M
-from lodestar.operators.evaluate import compare, evaluate
+from lodestar.operators.evaluate import REPLICATES, compare, compare_paired, evaluate, poisson_cuts
 from lodestar.operators.joins import exclude_owned
 from lodestar.operators.postprocess import apply_business_rules, explain_parts
 from lodestar.operators.ranking import leave_last_out
@@ -533,24 +533,37 @@ def _compare_sql() -> str:
 _TRAIN_GRAPH = [(n, q.replace("FROM inter", "FROM train")) for n, q in _GRAPH_CTES + _GRAPH_SCORES]
 
 
-@query("model_comparison", oracle=with_ctes("games", "inter", extra=_SPLIT + tfidf_ctes() + user_vec_ctes("train")
+_COMPARED_LISTS = with_ctes("games", "inter", extra=_SPLIT + tfidf_ctes() + user_vec_ctes("train")
        + content_rec_ctes("uv", "iv", "train", 10, "crec") + _TRAIN_GRAPH + [
     ("popc", "SELECT game_id, CAST(COUNT(DISTINCT player_id) AS DOUBLE) AS pop FROM train GROUP BY 1"),
     ("prec", """SELECT player_id, game_id, score, rank FROM (SELECT u.player_id, p.game_id, p.pop AS score,
         row_number() OVER (PARTITION BY u.player_id ORDER BY p.pop DESC, p.game_id ASC) AS rank
         FROM (SELECT DISTINCT player_id FROM train) u, popc p WHERE NOT EXISTS (
           SELECT 1 FROM train o WHERE o.player_id = u.player_id AND o.game_id = p.game_id)) x WHERE rank <= 10"""),
-]) + _compare_sql())
-def q_compare(spark, d):
-    """EV4 over the models that SQL can compute as well."""
+])
+
+
+def _split_models(spark, d, learned: bool = False):
+    """Models fitted on the split's train side, by name, and its test side."""
     train, test = _split(spark, d)
     train, test = cut_lineage(train), cut_lineage(test)
     edges, u0, i0 = _graph_sides(train)
-    models = {
-        "content": _content_model(spark, d, train),
-        "popularity": _popularity_model(spark, d, train),
-        "graph": M.graph_recommend(edges, u0, i0, layers=3, n=10),
-    }
+    models = {"content": _content_model(spark, d, train)}
+    if learned:
+        users, items = (cut_lineage(x) for x in M.factors(M.als_fit(train, rank=16, reg=ALS_REG, max_iter=5)))
+        mlp = M.neural_fit(train, users, items, hidden=(128, 64), max_iter=10)
+        models["pmf_als"] = dense_top_n(users, items, train, n=10)
+        models["neural"] = M.neural_recommend(mlp, users, items, train)
+    else:
+        models["popularity"] = _popularity_model(spark, d, train)
+    models["graph"] = M.graph_recommend(edges, u0, i0, layers=3, n=10)
+    return models, test
+
+
+@query("model_comparison", oracle=_COMPARED_LISTS + _compare_sql())
+def q_compare(spark, d):
+    """EV4 over the models that SQL can compute as well."""
+    models, test = _split_models(spark, d)
     out = compare(models, test, 10)
     return out.select("model", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "hit_rate", "ndcg")], "n_players")
 
@@ -567,3 +580,56 @@ def q_compare_learned(spark, d):
     m = compare(models, test, 10)
     ok = [F.col(c).between(0.0, 1.0) for c in ("precision_at_k", "hit_rate", "ndcg")]
     return m.select("model", "n_players", (ok[0] & ok[1] & ok[2] & (F.col("hit_rate") >= F.col("precision_at_k"))).alias("in_range"))
+
+
+def _paired_sql() -> str:
+    """Weights, sums, means and ranks of the paired comparison, written out."""
+    lists = " UNION ALL ".join(
+        f"SELECT '{m}' AS model, {i} AS place, player_id, game_id, rank FROM {t} WHERE rank <= 10"
+        for i, (m, t) in enumerate({"content": "crec", "popularity": "prec", "graph": "grec"}.items()))
+    weight = " + ".join(f"CAST(u >= {c} AS INT)" for c in poisson_cuts())
+    return f""",
+lists AS ({lists}),
+names AS (SELECT DISTINCT model, place FROM lists),
+truth AS (SELECT DISTINCT player_id, game_id FROM test),
+nt AS (SELECT player_id, COUNT(*) AS n_truth FROM truth GROUP BY 1),
+ideal AS (SELECT nt.player_id, SUM(1.0 / log2(g.i + 1.0)) AS idcg FROM nt, range(1, 11) g(i) WHERE g.i <= LEAST(10, nt.n_truth) GROUP BY 1),
+hits AS (SELECT l.player_id, l.model, COUNT(*) AS hits, SUM(1.0 / log2(l.rank + 1.0)) AS dcg
+  FROM lists l JOIN truth t ON l.player_id = t.player_id AND l.game_id = t.game_id GROUP BY 1, 2),
+per AS (SELECT i.player_id, m.model, m.place, CAST(ROUND(COALESCE(h.hits, 0) / 10.0 * 1e9) AS BIGINT) AS precision_at_k,
+    CAST(CASE WHEN h.hits > 0 THEN 1000000000 ELSE 0 END AS BIGINT) AS hit_rate, CAST(ROUND(COALESCE(h.dcg, 0.0) / i.idcg * 1e9) AS BIGINT) AS ndcg
+  FROM ideal i CROSS JOIN names m LEFT JOIN hits h ON h.player_id = i.player_id AND h.model = m.model),
+drawn AS (SELECT player_id, r AS rep, CASE WHEN r = 0 THEN 1 ELSE {weight} END AS w
+  FROM (SELECT player_id, r, CAST('0x' || substr(md5(player_id || ':' || r), 1, 8) AS BIGINT) AS u FROM ideal, range(0, {REPLICATES + 1}) g(r)) x),
+means AS (SELECT d.rep, p.model, p.place, SUM(d.w) AS n, SUM(d.w * p.precision_at_k)::DOUBLE / SUM(d.w) / 1e9 AS precision_at_k,
+    SUM(d.w * p.hit_rate)::DOUBLE / SUM(d.w) / 1e9 AS hit_rate, SUM(d.w * p.ndcg)::DOUBLE / SUM(d.w) / 1e9 AS ndcg
+  FROM per p JOIN drawn d ON d.player_id = p.player_id GROUP BY 1, 2, 3 HAVING SUM(d.w) > 0),
+long AS (UNPIVOT means ON precision_at_k, hit_rate, ndcg INTO NAME metric VALUE v),
+pairs AS (SELECT a.rep, a.model AS model_a, b.model AS model_b, a.metric, a.n, a.v AS a, b.v AS b, ROUND(a.v - b.v, 9) AS d
+  FROM long a JOIN long b ON a.rep = b.rep AND a.metric = b.metric AND a.place < b.place),
+ds AS (SELECT model_a, model_b, metric, list_sort(list(d)) AS ds FROM pairs WHERE rep > 0 GROUP BY 1, 2, 3)
+SELECT p.model_a, p.model_b, p.metric, CAST(p.n AS BIGINT) AS n_players, ROUND(p.a, 6) AS value_a, ROUND(p.b, 6) AS value_b,
+  ROUND(p.d, 6) AS difference, ROUND(ds[GREATEST(1, CAST(ceil(len(ds) * 0.025) AS BIGINT))], 6) AS low,
+  ROUND(ds[GREATEST(1, CAST(ceil(len(ds) * 0.975) AS BIGINT))], 6) AS high,
+  ROUND(len(list_filter(ds, lambda x: x > 0)) / len(ds), 6) AS share_above
+FROM pairs p JOIN ds ON p.model_a = ds.model_a AND p.model_b = ds.model_b AND p.metric = ds.metric WHERE p.rep = 0"""
+
+
+def _rounded_pairs(df):
+    return df.select("model_a", "model_b", "metric", "n_players",
+                     *[F.round(c, 6).alias(c) for c in ("value_a", "value_b", "difference", "low", "high", "share_above")])
+
+
+@query("paired_comparison", oracle=_COMPARED_LISTS + _paired_sql())
+def q_paired(spark, d):
+    """EV4: differences of metrics with intervals, for the models that SQL can compute as well."""
+    models, test = _split_models(spark, d)
+    return _rounded_pairs(compare_paired(models, test, 10))
+
+
+@query("four_model_comparison")
+def q_four_models(spark, d):
+    """EV4: content, factors, network and graph, on one split, in one table of paired
+    differences with intervals; each scores every unseen game."""
+    models, test = _split_models(spark, d, learned=True)
+    return _rounded_pairs(compare_paired(models, test, 10))
