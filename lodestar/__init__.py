@@ -11,7 +11,7 @@ The operators of the inventory, by group (see README for the query names):
   genre_stats, total_play_time, genre_counts, type_counts, describe, exact_quantiles,
   list_players, interactions
 - ranking / profiles: top_genres, top_n, leave_last_out, build_profiles, recommend_titles,
-  add_players, get_recommendations
+  add_players, add_players_to_store, get_recommendations
 - features / monitoring / post-processing: behavioral_features, normalize, temporal_features,
   update_feature_store, read_feature_store, log_quality, alerts, apply_business_rules,
   diversify, explain
@@ -78,6 +78,7 @@ from lodestar.operators.monitor import alerts, log_quality  # noqa: F401
 from lodestar.operators.postprocess import apply_business_rules, diversify, explain  # noqa: F401
 from lodestar.operators.profile import (  # noqa: F401
     add_players,
+    add_players_to_store,
     build_profiles,
     get_recommendations,
     recommend_titles,

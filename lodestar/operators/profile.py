@@ -22,6 +22,7 @@ from lodestar.functions.scalar import (
 )
 from lodestar.operators.joins import left_join
 from lodestar.operators.validate import admit, id_is_hashable, require_truthy_id, upsert_players
+from lodestar.sources.tables import read_store, store_bucket, store_buckets, write_store
 
 PROFILE_COLUMNS = ["player_id", "total_play_time", "favorite_genres", "skill_level", "preferred_game_types"]
 
@@ -121,6 +122,20 @@ def add_players(store_players: DataFrame, store_recs: DataFrame, docs: DataFrame
     return players, kept.unionByName(new_recs)
 
 
+def add_players_to_store(path: str, docs: DataFrame, history: DataFrame, raw_col: str = "raw", seq: str = "doc_seq") -> list[int]:
+    """P3 over a stored store (IO3, IO4): only the buckets that hold an admitted id are
+    read and written; the others keep their files. Returns these buckets; with nothing
+    admitted the store stays as it is."""
+    spark = docs.sparkSession
+    n = store_buckets(spark, path)
+    ids = admit(docs, raw_col).where(id_is_hashable(raw_col)).select(store_bucket(F.col("player_id"), n).alias("b"))
+    touched = sorted(r["b"] for r in ids.distinct().collect())  # at most the number of buckets
+    if touched:
+        new = add_players(*read_store(spark, path, only=touched), docs, history, raw_col, seq)
+        write_store(*new, path, only=touched)
+    return touched
+
+
 def get_recommendations(recs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, not_found) for the requested player ids."""
     found = requests.join(recs, "player_id", "inner")

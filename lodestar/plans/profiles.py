@@ -14,7 +14,7 @@ from lodestar.functions.scalar import (
     TYPE_TITLES,
 )
 from lodestar.operators import validate as V
-from lodestar.operators.profile import add_players, build_profiles, get_recommendations, recommend_titles, titles_long
+from lodestar.operators.profile import add_players, add_players_to_store, build_profiles, get_recommendations, recommend_titles, titles_long
 from lodestar.plans.registry import query
 from lodestar.sources import fixtures as fx
 from lodestar.sources.fixtures import ORACLE_CTES, with_ctes
@@ -329,6 +329,6 @@ def q_add_players_again(spark, d):
     write_store(*_p3(spark, d), path)
     docs = fx.player_documents(spark, d).where(F.col("doc_seq") % 3 == 0)
     history = V.apply_history_defaults(fx.game_history(spark, d)).where(F.col("genre") != "action")
-    write_store(*add_players(*read_store(spark, path), docs, history), path)
+    add_players_to_store(path, docs, history)
     _, recs = read_store(spark, path)
     return _long(recs)
