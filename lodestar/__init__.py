@@ -18,7 +18,8 @@ The operators of the inventory, by group (see README for the query names):
 - models / metrics: tfidf, user_vectors, content_recommend, cold_start, als, als_recommend,
   neural_fit, neural_rerank, propagate, graph_recommend, blend, dense_top_n, precision_at,
   hit_rate, ndcg, evaluate, compare, compare_paired
-- streaming: stream_ingest, stream_daily_quality, sessionize, upsert_documents_stream
+- streaming: stream_ingest, stream_daily_quality, sessionize, revise_sessions_stream,
+  upsert_players_stream, upsert_documents_stream; stores: revise_sessions, read_sessions
 """
 
 from lodestar.functions.scalar import (  # noqa: F401
@@ -104,7 +105,10 @@ from lodestar.sources.tables import (  # noqa: F401
     write_dataset,
     write_store,
 )
+from lodestar.sources.session_store import read_sessions, revise_sessions  # noqa: F401
+from lodestar.streaming.keyed import upsert_players_stream  # noqa: F401
 from lodestar.streaming.streams import (  # noqa: F401
+    revise_sessions_stream,
     sessionize,
     stream_daily_quality,
     stream_ingest,

@@ -14,8 +14,10 @@ from lodestar.plans.registry import date_text, query
 from lodestar.session import scratch_path
 from lodestar.sources import fixtures as fx
 from lodestar.sources.fixtures import with_ctes
-from lodestar.sources.tables import table_path
+from lodestar.sources.session_store import read_sessions
+from lodestar.sources.tables import read_store, table_path
 from lodestar.streaming import streams as ST
+from lodestar.streaming.keyed import upsert_players_stream
 
 DELAY = "1 hour"
 
@@ -45,12 +47,18 @@ def q_stream_daily(spark, d):
     return out.select(date_text("date").alias("date"), "total_recommendations", "avg_click_rate", "avg_conversion")
 
 
+def _actions(events):
+    """The domain's actions (player_id, ts, event_id, game_id) from the events table."""
+    return events.select("event_id", F.col("user_id").alias("player_id"), "ts",
+                         F.get_json_object("props", "$.k").cast("long").alias("game_id"))
+
+
 @query("stream_sessions", ts=('start_time', 'end_time'), oracle=with_ctes("sessions_all") + f"""
 SELECT session_id, player_id, game_id, start_time, last_ts AS end_time, n_events FROM sessions_all
 WHERE last_ts + INTERVAL 12 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL {DELAY}""")
 def q_stream_sessions(spark, d):
     ev = ST.read_events_stream(spark, table_path(d, "events"))
-    out = _run(spark, ST.sessions_stream(ev, fx.SESSION_GAP, DELAY), "sessions")
+    out = _run(spark, ST.sessionize(_actions(ev), fx.SESSION_GAP, DELAY), "sessions")
     return out.select("session_id", "player_id", "game_id",
                       F.col("session_start").cast("timestamp_ntz").alias("start_time"),
                       F.col("session_end").cast("timestamp_ntz").alias("end_time"), "n_events")
@@ -63,8 +71,8 @@ SELECT player_id, doc FROM (SELECT *, row_number() OVER (PARTITION BY player_id
   FROM docs) x WHERE rn = 1""")
 def q_stream_upsert(spark, d):
     """Documents (one per order, derived by Spark and landed as text files in
-    order-key ranges) stream through V3 into the store log; the current
-    document per player is the newest one."""
+    order-key ranges) stream through V3 and keyed state into the player store;
+    the current document per player is the newest one."""
     base = scratch_path(spark, f"streams/docs-{uuid.uuid4().hex}")
     o = fx.read_table(spark, d, "orders", ["o_orderkey", "o_custkey"])
     docs = o.select(F.concat(F.lit('{"player_id": '), F.col("o_custkey"), F.lit(', "order": '),
@@ -72,8 +80,8 @@ def q_stream_upsert(spark, d):
     # land the documents as files in key order, one directory per key range (the arrival order)
     _land(docs, "o_orderkey", f"{base}/landing")
     stream = spark.readStream.option("maxFilesPerTrigger", 4).text(f"{base}/landing/*")
-    ST.upsert_documents_stream(stream, f"{base}/store", f"{base}/ckpt", order="$.order")
-    return ST.latest_documents(spark, f"{base}/store").select("player_id", "doc")
+    upsert_players_stream(stream, f"{base}/store", f"{base}/ckpt", order="$.order")
+    return read_store(spark, f"{base}/store")[0]
 
 
 def _land(docs, order, path, parts=4):
@@ -99,12 +107,12 @@ def q_stream_upsert_default(spark, d):
     o.select(doc(0)).repartition(6).write.text(f"{base}/landing/0")
 
     def run():
-        ST.upsert_documents_stream(spark.readStream.text(f"{base}/landing/*"), f"{base}/store", f"{base}/ckpt")
+        upsert_players_stream(spark.readStream.text(f"{base}/landing/*"), f"{base}/store", f"{base}/ckpt")
 
     run()
     o.where(F.col("o_custkey") % 2 == 0).select(doc(1)).coalesce(2).write.text(f"{base}/landing/1")
     run()
-    return ST.latest_documents(spark, f"{base}/store").select("player_id", "doc")
+    return read_store(spark, f"{base}/store")[0]
 
 
 @query("stream_session_table", ts=('start_time',), oracle=with_ctes("sessions") + """
@@ -121,3 +129,22 @@ def q_stream_session_table(spark, d):
     ST.sessions_to_table_stream(stream, f"{base}/table", f"{base}/ckpt")
     back = spark.read.parquet(f"{base}/table")
     return back.select("session_id", "player_id", "game_id", "start_time", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"))
+
+
+@query("stream_revised_sessions", ts=('start_time', 'end_time'), oracle=with_ctes("sessions_all") + """
+SELECT session_id, player_id, game_id, start_time, last_ts AS end_time,
+  CAST(date_diff('microsecond', start_time, last_ts) AS DOUBLE) / 1000000 AS session_duration,
+  strftime(CAST(start_time AS DATE), '%Y-%m-%d') AS start_date FROM sessions_all""")
+def q_stream_revised(spark, d):
+    """ST3 with late actions: the events arrive in three parts, each spread over all
+    days, so later parts extend and join sessions that earlier ones wrote."""
+    base = scratch_path(spark, f"streams/revised-{uuid.uuid4().hex}")
+    ev = fx.read_table(spark, d, "events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int")
+    ev.withColumn("part", part).write.partitionBy("part").parquet(f"{base}/landing")
+    for i in range(3):
+        stream = ST.read_events_stream(spark, f"{base}/landing/part={i}")
+        ST.revise_sessions_stream(_actions(stream), f"{base}/sessions", f"{base}/ckpt-{i}", fx.SESSION_GAP)
+    return read_sessions(spark, f"{base}/sessions").select(
+        "session_id", "player_id", "game_id", "start_time", "end_time", "session_duration",
+        F.date_format("start_date", "yyyy-MM-dd").alias("start_date"))

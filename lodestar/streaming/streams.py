@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from lodestar.operators.sessions import sessionize_stream
 from lodestar.operators.validate import admit
-from lodestar.sources.tables import append_sessions, path_exists
+from lodestar.sources.session_store import revise_sessions
+from lodestar.sources.tables import _Folder, append_sessions, path_exists
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -65,18 +66,35 @@ def daily_quality_stream(events: DataFrame, watermark: str = "1 hour", click: st
     return quality_log_stream(rates, watermark)
 
 
-def sessions_stream(events: DataFrame, gap: str = "12 hours", watermark: str = "1 hour") -> DataFrame:
+def sessions_stream(actions: DataFrame, gap: str = "12 hours", watermark: str = "1 hour", player: str = "player_id",
+                    ts: str = "ts", event: str = "event_id", game: str = "game_id") -> DataFrame:
     """ST3: gap sessions per player; a session is emitted once the watermark
-    passes its last event + gap."""
-    a = events.select("event_id", F.col("user_id").alias("player_id"), "ts",
-                      F.get_json_object("props", "$.k").cast("long").alias("k"))
+    passes its last event + gap. Actions later than the watermark are dropped;
+    ``revise_sessions_stream`` takes them in."""
+    a = actions.select(F.col(event).alias("event_id"), F.col(player).alias("player_id"), F.col(ts).alias("ts"),
+                       F.col(game).alias("game_id"))
     return sessionize_stream(a, "player_id", "ts", gap, watermark, aggs=[
         F.min("event_id").alias("session_id"),
-        F.min_by("k", F.struct("ts", "event_id")).alias("game_id"),
+        F.min_by("game_id", F.struct("ts", "event_id")).alias("game_id"),
         F.count(F.lit(1)).alias("n_events"),
     ])
 
 
+def revise_sessions_stream(actions: DataFrame, store: str, checkpoint: str, gap: str = "12 hours",
+                           player: str = "player_id", ts: str = "ts", event: str = "event_id",
+                           game: str = "game_id") -> None:
+    """ST3 without a watermark: every batch of actions is merged into the session store
+    (IO5), where a late action extends or joins sessions written before. The store names
+    the batches it holds, so one that runs again is left out."""
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        revise_sessions(batch, store, gap, player, ts, event, game, _query_id(batch.sparkSession, checkpoint), batch_id)
+
+    q = (actions.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> None:
     """Process everything available now, then stop (no server, no port)."""
     q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
@@ -90,11 +108,12 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def _run_number(spark: SparkSession, store: str, run_id: str) -> int:
-    """Runs (checkpoints) that write to a store log are numbered as they come."""
-    if not path_exists(spark, store):
-        return 1
-    runs = {r["run_id"]: r["run"] for r in spark.read.parquet(store).select("run", "run_id").distinct().collect()}
-    return runs.get(run_id, max(runs.values(), default=0) + 1)
+    """Runs (checkpoints) that write to a store log are numbered as they come; the
+    numbers are read from the log's folders, not from its rows."""
+    folder = _Folder(spark, store)
+    numbers = [n for n in folder.names("") if n.startswith("run=")]
+    held = [n for n in numbers if f"run_id={run_id}" in folder.names(n)]
+    return int(held[0][4:]) if held else max((int(n[4:]) for n in numbers), default=0) + 1
 
 
 def upsert_documents_stream(docs: DataFrame, store: str, checkpoint: str, raw_col: str = "value",
@@ -151,18 +170,22 @@ def sessions_to_table_stream(records: DataFrame, table: str, checkpoint: str, ra
     """ST1 on the domain's own sessions: JSON records (session_id, player_id,
     game_id, start_time) are validated (V1), parsed and appended to the
     partitioned session table (IO5). A record that does not parse to a
-    session with a start time is left out of the table. A replayed batch is
-    recognised by the session ids it brings again."""
+    session with a start time is left out of the table. Of the records of one
+    session id the first stays: by batch, then by position in the batch. A
+    replayed batch is recognised by the session ids it brings again."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ok = admit(batch.withColumnRenamed(raw_col, "raw"), "raw")
-        s = ok.select(F.from_json("raw", "session_id long, player_id long, game_id long, start_time timestamp_ntz").alias("s"))
-        s = s.select("s.*").where(F.col("session_id").isNotNull() & F.col("start_time").isNotNull()).dropDuplicates(["session_id"])
+        s = ok.select(F.from_json("raw", "session_id long, player_id long, game_id long, start_time timestamp_ntz").alias("s"),
+                      F.monotonically_increasing_id().alias("pos"))
+        s = s.where(F.col("s.session_id").isNotNull() & F.col("s.start_time").isNotNull())
+        s = s.groupBy(F.col("s.session_id").alias("_id")).agg(F.min_by("s", "pos").alias("s")).select("s.*")
         if path_exists(spark, table):
-            # days of this batch only: the table is partitioned by them
-            days = [r[0] for r in s.select(F.to_date("start_time")).distinct().collect()]
-            old = spark.read.parquet(table).where(F.col("start_date").isin(days)).select("session_id")
+            # a record may come again with another day: ids are compared over all days, in
+            # the files whose range of ids meets the batch's
+            low, high = s.agg(F.min("session_id"), F.max("session_id")).first()
+            old = spark.read.parquet(table).where(F.col("session_id").between(low, high)).select("session_id")
             s = s.join(old, "session_id", "left_anti")
         append_sessions(s, table)
 
@@ -194,6 +217,7 @@ def stream_daily_quality(log: DataFrame, delay: str = "1 hour") -> DataFrame:
     return quality_log_stream(log, delay)
 
 
-def sessionize(events: DataFrame, gap: str = "12 hours", watermark: str = "1 hour") -> DataFrame:
+def sessionize(actions: DataFrame, gap: str = "12 hours", watermark: str = "1 hour", player: str = "player_id",
+               ts: str = "ts", event: str = "event_id", game: str = "game_id") -> DataFrame:
     """ST3 under its inventory name (see ``sessions_stream``)."""
-    return sessions_stream(events, gap, watermark)
+    return sessions_stream(actions, gap, watermark, player, ts, event, game)
