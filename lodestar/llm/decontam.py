@@ -41,9 +41,9 @@ from lodestar.llm.common import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
-# Benchmark text up to this size is indexed in every task (about ten times
-# the bytes in memory); beyond it windows and documents meet in a shuffle.
-MAX_INDEX_BYTES = 16 * 1024 * 1024
+# Benchmark text up to this size is indexed in every task (about 43 times the
+# bytes in memory, 13 times when sent); beyond it windows and documents meet in a shuffle.
+MAX_INDEX_BYTES = 2 * 1024 * 1024
 
 # Bytes outside words become spaces, A-Z become a-z.
 _KEEP = bytes(
