@@ -4,7 +4,7 @@ task on the wire."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalar import (
@@ -105,101 +105,119 @@ def type_counts(history: DataFrame) -> DataFrame:
     )
 
 
-def _splits_agg(buckets: int):
-    fr = [i / buckets for i in range(1, buckets)]
-    return F.percentile_approx("value", F.array(*[F.lit(x) for x in fr]), 10 * buckets).alias("splits")
+def _bin(lo: float, hi: float, bins: int) -> Column:
+    """Bin of ``value`` among ``bins`` of equal width on lo .. hi, in the order of the
+    values; halves keep the width finite."""
+    width = hi / 2 - lo / 2
+    if width == 0:  # neighbours so small that their halves meet
+        return F.when(F.col("value") > F.lit(lo), 1).otherwise(0)
+    at = F.floor((F.col("value") / 2 - F.lit(lo / 2)) / F.lit(width) * bins)
+    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int")
 
 
-def exact_quantiles(long: DataFrame, qs: list[float], buckets: int = 128, stats: list | None = None,
+def exact_quantiles(long: DataFrame, qs: list[float], buckets: int = 1024, stats: list | None = None,
                     small: int = 100_000) -> DataFrame:
     """Exact quantiles with linear interpolation (as ``percentile``) of
     ``value`` per ``column`` in a long (column, value) DataFrame, without
     holding a column in one task and without shuffling its values.
 
-    1. per column: n and ``buckets - 1`` approximate split points (a bounded
-       sketch);
-    2. rows per (column, interval), counted in each task, so that only columns
-       x intervals rows are shuffled and collected;
-    3. an interval that holds a wanted rank and more than ``small`` rows is
-       narrowed: new split points of its values alone, and counts again;
-    4. the values of the intervals left, at most ``small`` rows or one value
-       each, are counted by value and ranked, one window partition an interval.
+    1. per column: n, least and greatest value;
+    2. rows, least and greatest value per (column, interval, one of ``buckets`` bins of
+       equal width), counted in each task, so that only bins are shuffled and collected;
+    3. a bin that holds a wanted rank, more than one value and more than ``small`` rows
+       is the next interval, from its least to its greatest value (its ends fall into
+       different bins, so this ends), and 2 again;
+    4. the values of the bins left, at most ``small`` rows each, are counted by value and
+       ranked, one window partition a bin. A bin of one value needs no ranking.
 
-    ``stats`` may carry rows (column, n, splits) computed by the caller in
+    ``stats`` may carry rows (column, n, least, greatest) computed by the caller in
     the same pass as other statistics. Returns (column, q, value)."""
     spark = long.sparkSession
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     st = stats if stats is not None else vals.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), _splits_agg(buckets)).collect()
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest")).collect()
     n_of = {r["column"]: int(r["n"]) for r in st if r["n"]}
     if not n_of:
         return spark.createDataFrame([], "column string, q double, value double")
-    # open intervals (lo, hi] per column, the wanted ranks they hold and the rows before them
     ranks = {c: sorted({r for q in qs for r in (int(q * (n - 1) // 1), int(-(-(q * (n - 1)) // 1)))}) for c, n in n_of.items()}
-    splits = {(r["column"], 0): sorted(set(r["splits"])) for r in st if r["n"]}
-    todo = {(c, 0): (None, None, ranks[c], 0) for c in n_of}
+    # closed intervals: column, number -> least and greatest value, wanted ranks, rows before
+    todo = {(r["column"], 0): (r["least"], r["greatest"], ranks[r["column"]], 0) for r in st if r["n"]}
+    known: list[tuple] = []  # column, rank, value
     final: dict[tuple[str, int], tuple] = {}
     serial = 0
     while todo:
-        rows = _in_intervals(vals, todo)
-        if not splits:
-            splits = {(r["column"], r["iv"]): sorted(set(r["splits"])) for r in rows.groupBy("column", "iv").agg(_splits_agg(buckets)).collect()}
-        smap = F.create_map(*[x for (c, i), sp in splits.items() for x in (F.lit(f"{c}/{i}"), F.array(*[F.lit(float(v)) for v in sp]))])
-        at = F.element_at(smap, F.concat_ws("/", "column", "iv"))
-        b = F.size(F.filter(at, lambda x: x < F.col("value")))
-        counts: dict = {}
-        for r in rows.groupBy("column", "iv", b.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
-            counts.setdefault((r["column"], r["iv"]), {})[r["b"]] = int(r["n"])
-        again = {}
-        for key, (lo, hi, want, before) in todo.items():
-            sp = splits.get(key, [])
-            for k in sorted(counts.get(key, {})):
-                n = counts[key][k]
-                held = [r for r in want if before <= r < before + n]
+        open_ = {}
+        for (c, i), (lo, hi, want, before) in todo.items():
+            if lo == hi:
+                known += [(c, r, lo) for r in want]
+            else:
+                open_[(c, i)] = (lo, hi, want, before)
+        if not open_:
+            break
+        rows = _in_intervals(vals, open_)
+        # infinite ends have bins of their own; the others share the finite values' width
+        ends = {k: (max(lo, -_MAX), min(hi, _MAX)) for k, (lo, hi, *_) in open_.items()}
+        b = None
+        for k, (lo, hi) in ends.items():
+            inside = F.col("iv") == F.lit(_number(open_, k))
+            b = F.when(inside, _bin(lo, hi, buckets)) if b is None else b.when(inside, _bin(lo, hi, buckets))
+        b = F.when(F.col("value") == F.lit(float("-inf")), -1).when(F.col("value") == F.lit(float("inf")), buckets).otherwise(b)
+        counted = rows.groupBy("iv", b.alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest")).collect()
+        bins: dict = {}
+        for r in sorted(counted, key=lambda r: (r["iv"], r["b"])):
+            bins.setdefault(r["iv"], []).append(r)
+        todo = {}
+        for k, (_, _, want, before) in open_.items():
+            for r in bins.get(_number(open_, k), []):
+                n = int(r["n"])
+                held = [x for x in want if before <= x < before + n]
                 if held:
                     serial += 1
-                    left = sp[k - 1] if k > 0 else lo
-                    right = sp[k] if k < len(sp) else hi
-                    one = right is not None and left is not None and left == right
-                    # one value (its interval starts just below it) or few rows: done
-                    done = n <= small or one or (left, right) == (lo, hi)
-                    (final if done else again)[(key[0], serial)] = (left, right, held, before)
+                    narrow = n > small or r["least"] == r["greatest"]
+                    (todo if narrow else final)[(k[0], serial)] = (r["least"], r["greatest"], held, before)
                 before += n
-        todo, splits = again, {}
-    inside = _in_intervals(vals, final).groupBy("column", "iv", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    wanted = spark.createDataFrame([(c, i, r, before) for (c, i), (_, _, held, before) in final.items() for r in held],
-                                   "column string, iv int, r long, off long")
-    w = Window.partitionBy("column", "iv").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("upto", F.sum("cnt").over(w))
-    at = ranked.join(F.broadcast(wanted), ["column", "iv"]).where(  # a row a wanted rank
-        (F.col("r") >= F.col("off") + F.col("upto") - F.col("cnt")) & (F.col("r") < F.col("off") + F.col("upto"))
-    ).select("column", "r", "value")
+    at = spark.createDataFrame(known, "column string, r long, value double")
+    if final:
+        inside = _in_intervals(vals, final).groupBy("iv", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        wanted = spark.createDataFrame([(k[0], _number(final, k), r, before) for k, (_, _, held, before) in final.items() for r in held],
+                                       "column string, iv int, r long, off long")
+        w = Window.partitionBy("iv").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = inside.withColumn("upto", F.sum("cnt").over(w))
+        at = at.unionByName(ranked.join(F.broadcast(wanted), "iv").where(  # a row a wanted rank
+            (F.col("r") >= F.col("off") + F.col("upto") - F.col("cnt")) & (F.col("r") < F.col("off") + F.col("upto"))
+        ).select("column", "r", "value"))
     qrows = []
     for c, n in n_of.items():
         for q in qs:
             pos = q * (n - 1)
             qrows.append((c, float(q), int(pos // 1), int(-(-pos // 1)), float(pos - pos // 1)))
     qdf = spark.createDataFrame(qrows, "column string, q double, lo long, hi long, frac double")
-    lo = at.select("column", F.col("r").alias("lo"), F.col("value").alias("v_lo"))
-    hi = at.select("column", F.col("r").alias("hi"), F.col("value").alias("v_hi"))
-    out = qdf.join(lo, ["column", "lo"]).join(hi, ["column", "hi"])
-    return out.select("column", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+    # a row a quantile meets at most two ranks: both ends in one grouping
+    ends = qdf.join(F.broadcast(at), "column").where(F.col("r").isin(F.col("lo"), F.col("hi")))  # rows: quantiles and ranks
+    both = ends.groupBy("column", "q", "frac").agg(F.min_by("value", "r").alias("v_lo"), F.max_by("value", "r").alias("v_hi"))
+    mixed = F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))
+    return both.select("column", "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(mixed).alias("value"))
+
+
+_MAX = 1.7976931348623157e308  # the greatest finite double
+
+
+def _number(intervals: dict, key: tuple[str, int]) -> int:
+    return list(intervals).index(key)
 
 
 def _in_intervals(vals: DataFrame, intervals: dict) -> DataFrame:
-    """Values inside the (lo, hi] intervals of their column, with the interval's number."""
+    """Values inside the closed intervals (least to greatest) of their column, with the
+    interval's place in ``intervals`` as ``iv``."""
     pick = None
-    for (c, i), (lo, hi, *_rest) in intervals.items():
-        inside = F.col("column") == F.lit(c)
-        if lo is not None:
-            inside = inside & (F.col("value") > F.lit(float(lo)))
-        if hi is not None:
-            inside = inside & (F.col("value") <= F.lit(float(hi)))
+    for i, ((c, _), (lo, hi, *_rest)) in enumerate(intervals.items()):
+        inside = (F.col("column") == F.lit(c)) & F.col("value").between(F.lit(float(lo)), F.lit(float(hi)))
         pick = F.when(inside, F.lit(i)) if pick is None else pick.when(inside, F.lit(i))
     return vals.withColumn("iv", pick).where(F.col("iv").isNotNull())
 
 
-def describe(df: DataFrame, cols: list[str], buckets: int = 128) -> DataFrame:
+def describe(df: DataFrame, cols: list[str], buckets: int = 1024) -> DataFrame:
     """Long-form statistics, one row per column: count, nulls, mean,
     sample stddev, min, max and exact quartiles (linear interpolation).
 
@@ -220,8 +238,8 @@ def describe(df: DataFrame, cols: list[str], buckets: int = 128) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.count_if(ok).alias("n"),
-        F.percentile_approx(F.when(ok, F.col("value")), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]),
-                            10 * buckets).alias("splits"),
+        F.min(F.when(ok, F.col("value"))).alias("least"),
+        F.max(F.when(ok, F.col("value"))).alias("greatest"),
     ).collect()  # one row per column
     moments = spark.createDataFrame(
         [(r["column"], r["n_all"], r["nulls"], r["mean"], r["stddev"], r["min"], r["max"]) for r in rows],
