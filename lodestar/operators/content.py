@@ -46,12 +46,20 @@ def tfidf(items: DataFrame, vocab_size: int = VOCAB_SIZE, item: str = "game_id",
 def user_vectors(inter: DataFrame, item_vec: DataFrame, key: str = "player_id", item: str = "game_id",
                  weight: str = "weight") -> DataFrame:
     """M2: player vector = weighted mean of the vectors of the items the
-    player likes (positive weight): sum_i w_i x_it / sum_i w_i."""
+    player likes (positive weight): sum_i w_i x_it / sum_i w_i.
+
+    An item's vector meets a liked pair as one row. The rows go to their player
+    before the entries are taken apart, so a task sums its own players' terms
+    only, at most a vocabulary a player, and no sums are shuffled."""
     liked = inter.where(F.col(weight) > 0).select(key, item, F.col(weight).alias("_w"))
-    num = (liked.join(maybe_broadcast(item_vec), item)
-           .groupBy(key, "term", "idx").agg(F.sum(F.col("_w") * F.col("weight")).alias("_s")))
+    met = liked.join(maybe_broadcast(packed(item_vec, item)), item).select(key, "_w", "idx", "w").repartition(key)
+    num = (met.select(key, "_w", F.explode(F.arrays_zip("idx", "w")).alias("_x"))
+           .groupBy(key, F.col("_x.idx").alias("idx")).agg(F.sum(F.col("_w") * F.col("_x.w")).alias("_s")))
     den = liked.groupBy(key).agg(F.sum("_w").alias("_tw"))
-    return num.join(den, key).select(key, "term", "idx", (F.col("_s") / F.col("_tw")).alias("weight"))
+    names = item_vec.select(F.col("idx").cast("int").alias("idx"), "term").distinct()  # the vocabulary
+    kind = item_vec.schema["idx"].dataType
+    return num.join(den, key).join(F.broadcast(names), "idx").select(
+        key, "term", F.col("idx").cast(kind).alias("idx"), (F.col("_s") / F.col("_tw")).alias("weight"))
 
 
 def to_dense(vecs: DataFrame, key: str, dim: int) -> DataFrame:
