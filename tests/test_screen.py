@@ -86,3 +86,30 @@ def test_rows_without_any_class_over_the_limit():
     lists = Lists(np.array([0, 2, 3]), np.array([0, 1, 0]), np.array([0.5, 0.5, 0.9]), np.array([0, 1, 2]), np.array([4, 5]), 2)
     got = lists.best_classes(np.array([[0.6, 0.6]]), 1, np.empty(0, np.int64), 0.65)
     assert [len(x) for x in got] == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("scale", [0.1, 0.5, 3.0])
+def test_a_networks_expansion_bounds_its_error(scale):
+    """Of what is left out, and of rounding; smooth networks pass few pairs."""
+    rng = np.random.default_rng(8)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    halves = rng.normal(size=(4, 20))  # games lie in four dimensions
+    u, v = rng.normal(size=(30, 20)), scale * rng.normal(size=(700, 4)) @ halves
+    rest = [(rng.normal(size=(20, 9)), rng.normal(size=9)), (rng.normal(size=(9, 2)), rng.normal(size=2))]
+    net = screen.Net(u, v, spec(rest=rest))
+    z, off, rounding = net.near(np.arange(30))(np.arange(700))
+    h = sig(sig(u[:, None] + v[None]) @ rest[0][0] + rest[0][1]) @ rest[1][0] + rest[1][1]
+    assert (np.abs(z - (h[..., 1] - h[..., 0])) <= off + rounding[:, None]).all()
+
+
+def test_a_smooth_network_runs_few_pairs(monkeypatch):
+    """It used to run all of them."""
+    rng = np.random.default_rng(9)
+    u, v = 0.3 * rng.normal(size=(40, 16)), 0.2 * rng.normal(size=(3000, 16))
+    rest = [(0.3 * rng.normal(size=(16, 8)), rng.normal(size=8)), (rng.normal(size=(8, 2)), rng.normal(size=2))]
+    run, quick = [], screen.Net._quick
+    monkeypatch.setattr(screen.Net, "_quick", lambda self, like, n, sides: run.append(n) or quick(self, like, n, sides))
+    left, right = sides([dict(enumerate(u))], [dict(enumerate(v))], [(0, 0)])
+    screen.top_block([spec(rest=rest)], 10, False)(left, right)
+    screen.ends_block([spec(rest=rest)])(left, right)
+    assert run and sum(run) < 0.5 * 2 * 40 * 3000
